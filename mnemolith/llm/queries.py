@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .langid import fit, held_out, predict
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_rules
+from .vafile import top_k
 
 
 def word_vocabulary() -> str:
@@ -25,6 +27,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    flagged = docs.select(F.struct("doc_id", held_out().alias("held_out")).alias("key"), "text")
+    return predict(flagged, model, id_col="key").select("key.doc_id", "key.held_out", "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,10 +47,17 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_lines": op6_lines,
+    "op9_topk": op9_topk,
 }
 ORACLE: dict[str, str] = {}
