@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .html import extract_text
 from .langid import fit, held_out, predict
+from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_rules
@@ -27,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
@@ -47,17 +53,23 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_lines": op6_lines,
+    "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
 }
 ORACLE: dict[str, str] = {}
