@@ -83,11 +83,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     every = F.array(*[F.lit(x) for x in sorted({x for _, _, s in known for x in s})])
     words = docs.select(F.col(id_col).alias("_id"), F.transform(scan_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
     rows = words.select("_id", shingles(F.col("_h")).alias("_s")).where(F.arrays_overlap("_s", every))
-    starts = [
-        F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / F.lit(size // 2)).cast("int")), lambda i, size=size: F.struct(F.lit(size).alias("size"), (i * (size // 2)).alias("at"), (F.lit(3 * size // 2 - SHINGLE + 1)).alias("n")))
-        for size in sorted({size for _, size, _ in known})
-    ]
-    windows = rows.select("_id", "_s", F.explode(F.concat(*starts)).alias("_w")).select("_id", "_w.size", "_w.at", F.array_distinct(F.slice("_s", F.col("_w.at") + 1, F.col("_w.n"))).alias("_s")).where(F.arrays_overlap("_s", every))
+
+    def starts(size: int) -> Column:
+        step, most = size // 2, 3 * size // 2 - SHINGLE + 1
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / step).cast("int")), lambda i: F.struct(F.lit(size).alias("size"), (i * step).alias("at"), F.lit(most).alias("n")))
+
+    windows = rows.select("_id", "_s", F.explode(F.concat(*[starts(size) for size in sorted({x for _, x, _ in known})])).alias("_w")).select("_id", "_w.size", "_w.at", F.array_distinct(F.slice("_s", F.col("_w.at") + 1, F.col("_w.n"))).alias("_s")).where(F.arrays_overlap("_s", every))
     marked = windows.select("_id", "size", "at", "_s", F.posexplode(min_hashes(F.col("_s"))).alias("band", "value"))
     # templates are literals of bounded number, so their bands can be broadcast
     meet = marked.join(F.broadcast(bands), ["size", "band", "value"]).dropDuplicates(["_id", "at", "license", "_s"])
