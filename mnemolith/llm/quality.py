@@ -59,7 +59,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     classes = classes.select("_lang", F.array(*[F.col(c) / F.greatest(total, F.lit(1)) for c in CLASS_COLUMNS]).alias("classes"))
     each = base.select("_lang", F.explode(words(F.lower("_text"))).alias("_w"))
     each = each.select("_lang", F.when(F.char_length("_w") <= COMMON_LENGTH, F.col("_w")).alias("_w"))
-    counts = each.groupBy("_lang", "_w").agg(F.count("*").alias("_k"))
+    counts = cut(each.groupBy("_lang", "_w").agg(F.count("*").alias("_k")))
     totals = counts.groupBy("_lang").agg(F.sum("_k").alias("_all"))
     top = counts.where("_w is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_k"), "_w"))).where(F.col("_r") <= COMMON_WORDS)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_r", "_w", "_k"))).alias("_top"))
