@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import table
 from .html import extract_text
+from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_rules
+from .substrings import dedup_substrings
 from .vafile import top_k
 
 
@@ -53,6 +55,11 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -62,6 +69,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_language": op2_language,
@@ -69,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_lines": op6_lines,
+    "op7_substrings": op7_substrings,
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLE: dict[str, str] = {}
