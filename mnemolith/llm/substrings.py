@@ -1,10 +1,11 @@
 """Operator 7: substring dedup by super-k-mers.
 
-A window is k consecutive words; its minimiser is the m-gram of least hash in it, the leftmost of equals. Consecutive
-windows with the same minimiser occurrence form a super-k-mer. Equal windows have equal minimisers, so only super-k-mers
-whose minimiser occurs twice in the corpus can hold repeats, and only these travel, as one packed string each, to
-the bucket of their minimiser. Equal strings are first reduced to their earliest occurrence, which settles the
-later ones whole; in the buckets, the windows of different strings are compared word by word.
+A window is k consecutive words; its minimiser is the rarest m-gram in it, by a counting sketch of the whole corpus, then
+the one of least hash, then the leftmost. Consecutive windows with the same minimiser occurrence form a super-k-mer.
+Equal windows have equal minimisers, and a common phrase is only chosen where all of its surroundings are as common, so
+buckets stay small. Of equal super-k-mers all but the earliest repeat it whole, which 128 bits of hash tell without
+their text. Only the earliest of those that share a minimiser with different ones travel, as one packed string
+each, to the bucket of their minimiser, where their windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import release, store
+from .sketch import bucket, levels
 
 K, M = 20, 6
 #: Bytes of text looked at together, and super-k-mers held until those that repeat among them are told apart.
-PIECE, HELD = 1 << 20, 1_000_000
+PIECE, HELD = 1 << 20, 500_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -56,16 +59,21 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def super_kmers(hashes: np.ndarray, of: np.ndarray, k: int, m: int):
-    """(minimiser, first window, windows) of each super-k-mer of words with documents ``of``, all in one piece of under 2^20 words."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = hashes[: len(hashes) - m + 1].copy()
+def gram_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
+    grams = hashes[: max(0, len(hashes) - m + 1)].copy()
     for j in range(1, m):
         grams = grams * ODD + hashes[j : len(hashes) - m + 1 + j]
-    grams = mix(grams)
-    least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+    return mix(grams)
+
+
+def super_kmers(hashes: np.ndarray, of: np.ndarray, k: int, m: int, common: np.ndarray):
+    """(minimiser, hash of all words, first window, windows) of each super-k-mer of words with documents ``of``, in one piece of under 2^20 words."""
+    n = len(hashes) - k + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none.view(np.uint64), none.view(np.uint64), none, none
+    grams = gram_hashes(hashes, m)
+    least = (common[bucket(grams)].astype(np.uint64) << np.uint64(58)) | ((grams >> np.uint64(6)) & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
     width, span = k - m + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -74,10 +82,15 @@ def super_kmers(hashes: np.ndarray, of: np.ndarray, k: int, m: int):
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     at = np.flatnonzero(of[:n] == of[k - 1 :])
     if not len(at):
-        return np.zeros(0, np.uint64), at, at
+        return none.view(np.uint64), none.view(np.uint64), none, none
     place = (least[at] & PLACE).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return grams[place[first]], at[first], np.diff(first, append=len(at))
+    cuts = np.flatnonzero(np.diff(place, prepend=-1))
+    first, count = at[cuts], np.diff(cuts, append=len(at))
+    power, inverse = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    whole = mix((sums[first + count + k - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
+    return grams[place[cuts]], whole, first, count
 
 
 def pieces(texts: list[bytes]):
@@ -99,17 +112,17 @@ def pieces(texts: list[bytes]):
             row += 1
 
 
-def document_kmers(texts: list[bytes], k: int, m: int):
-    """(row, minimiser, first window, windows) arrays of the super-k-mers of some texts, a piece at a time."""
+def word_runs(texts: list[bytes], k: int):
+    """(row or rows, word hashes, document of each word, first word of each document, number of the first word): pieces of some texts.
+
+    Windows of k words lie in exactly one piece.
+    """
     for raw, row, to in pieces(texts):
         if to is not None:
-            data = np.frombuffer(raw, np.uint8)
-            starts, hashes = word_hashes(data)
+            starts, hashes = word_hashes(np.frombuffer(raw, np.uint8))
             begins = np.cumsum([0] + [len(x) + 1 for x in texts[row:to]][:-1])
             of = np.searchsorted(begins, starts, "right") - 1
-            first = np.searchsorted(of, np.arange(to - row))
-            mins, at, n = super_kmers(hashes, of, k, m)
-            yield of[at] + row, mins, at - first[of[at]], n
+            yield row, hashes, of, np.searchsorted(of, np.arange(to - row)), 0
             continue
         byte = word = 0
         while True:
@@ -120,88 +133,97 @@ def document_kmers(texts: list[bytes], k: int, m: int):
             if len(starts) < k and end < len(raw):  # words of enormous length
                 end = len(raw)
                 starts, hashes = word_hashes(np.frombuffer(raw[byte:end] + b"\n", np.uint8))
-            mins, at, n = super_kmers(hashes, np.zeros(len(hashes), np.int64), k, m)
-            yield np.full(len(at), row), mins, at + word, n
+            yield row, hashes, np.zeros(len(hashes), np.int64), np.zeros(1, np.int64), word
             if end >= len(raw):
                 break
             word += len(starts) - (k - 1)
             byte += int(starts[len(starts) - (k - 1)])
 
 
-def _find(k: int, m: int):
+def document_kmers(texts: list[bytes], k: int, m: int, common: np.ndarray):
+    """(row, minimiser, hash, first window, windows) arrays of the super-k-mers of some texts, a piece at a time."""
+    for row, hashes, of, first, word in word_runs(texts, k):
+        mins, whole, at, n = super_kmers(hashes, of, k, m, common)
+        yield of[at] + row, mins, whole, at - first[of[at]] + word, n
+
+
+def _find(k: int, m: int, shared):
+    names = ["h", "s", "id", "loc", "salt"]
+
     def run(batches):
-        held: list[tuple] = []
+        common, held, size = shared.value, [], 0
 
         def told():
-            """Held super-k-mers: weight 1 if alone among them; else weight 0, and a marker of weight 2 for all of that minimiser."""
-            h, ids, th, at, n = (np.concatenate(x) for x in zip(*held))
+            """Held super-k-mers; those that repeat an earlier one among them whole are settled and dealt by a salt over 0."""
+            h, s, ids, at, rest = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            keys, back, count = np.unique(h, return_inverse=True, return_counts=True)
-            weight = np.where(count[back] > 1, 0, 1)
-            more = keys[count > 1]
-            zero = np.zeros(len(more), np.int64)
-            yield from batches_of([h, ids, th, at, n, weight])
-            yield from batches_of([more, zero, zero, zero, zero, zero + 2])
-
-        def batches_of(columns):
-            for i in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in columns], names=["h", "id", "th", "at", "n", "weight"])
-
-        size = 0
+            seq = np.lexsort((at, ids, s, h))
+            h, s, ids, at, rest = h[seq], s[seq], ids[seq], at[seq], rest[seq]
+            new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (ids != ids[lead]) | (at != at[lead])
+            salt = np.where(later, (np.arange(len(h)) & 4095) + 1, 0)
+            cols = h, s, ids, (at << 32) | rest, salt
+            for i in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=names)
+
         for batch in batches:
             ids, th, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for at, to in slices(texts):
-                for row, mins, first, n in document_kmers(texts.slice(at, to - at).to_pylist(), k, m):
-                    held.append((mins.view(np.int64), ids[at:to][row], th[at:to][row], first, n))
+                for row, mins, whole, first, n in document_kmers(texts.slice(at, to - at).to_pylist(), k, m, common):
+                    held.append((mins.view(np.int64), whole.view(np.int64), ids[at:to][row], first, (n << 16) | th[at:to][row]))
                     size += len(mins)
                     if size >= HELD:
                         yield from told()
                         size = 0
-        if held:
+        if size:
             yield from told()
+        release()
 
     return run
 
 
 def _pack(k: int):
+    names = ["h", "id", "th", "at", "packed"]
+
     def run(batches):
         for batch in batches:
             ids, th, texts, kmers = batch.column(0), batch.column(1), batch.column(2), batch.column(3)
             for a in range(batch.num_rows):
                 words = texts[a].as_py().split()
-                out = [(x["h"], x["at"], x["n"], b" ".join(words[x["at"] : x["at"] + x["n"] + k - 1])) for x in kmers[a].as_py()]
-                cols = list(zip(*out))
+                own = kmers[a].as_py()
+                n = len(own)
+                packed = [b" ".join(words[x["at"] : x["at"] + x["n"] + k - 1]) for x in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array([ids[a].as_py()] * len(out), pa.int64()), pa.array([th[a].as_py()] * len(out), pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                    names=["h", "id", "th", "at", "n", "packed"],
+                    [pa.array([x["h"] for x in own], pa.int64()), pa.array([ids[a].as_py()] * n, pa.int64()), pa.array([th[a].as_py()] * n, pa.int64()), pa.array([x["at"] for x in own], pa.int64()), pa.array(packed, pa.binary())], names=names
                 )
 
     return run
 
 
 def _compare(k: int):
-    """Rows sorted by minimiser: (h, s, later), with a 1 in later for each window of a string that starts earlier in another."""
+    """Rows sorted by minimiser: (id, th, at, n, later), with a 1 in later for each window of a string that starts earlier in another."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("later", pa.binary())])
 
     def settle(group):
         if len(group) < 2:
             return
         earliest: dict[bytes, tuple] = {}
         cut = []
-        for h, s, id_, at, packed in group:
+        for _, id_, _, at, packed in group:
             words = packed.split()
             windows = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
             cut.append(windows)
             for i, w in enumerate(windows):
                 if (x := earliest.get(w)) is None or (id_, at + i) < x:
                     earliest[w] = id_, at + i
-        for (h, s, id_, at, _), windows in zip(group, cut):
+        for (_, id_, th, at, _), windows in zip(group, cut):
             later = bytes(earliest[w] != (id_, at + i) for i, w in enumerate(windows))
             if any(later):
-                yield h, s, later
+                yield id_, th, at, len(windows), later
 
     def run(batches):
         group, now = [], None
-        schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("later", pa.binary())])
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -245,38 +267,33 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_words, n_removed, kept_text): each text without the words of windows that also start earlier.
 
     Earlier is a smaller id, or an earlier word of the same id; all windows are judged on the input. Null and empty texts
-    have no words; a null id comes before all others. Rows that share id and text are one document, judged once each;
+    have no words; a null id comes before all others (and
+    stands for the least long). Rows that share id and text are one document, judged once each;
     rows that share only the id are compared by word number, like parts of it. Ids must be whole numbers.
 
-    Text is shuffled once, to meet what was found about its document; from a minimiser that many documents share, each task
-    passes on one row for counting, and equal strings meet as partial minima.
+    Text is shuffled once, to meet what was found about its document. Repeats that meet in one task are settled there, so of
+    a passage that many documents share each task sends one super-k-mer.
     """
-    if m > k or k - m + 1 >= 1 << 19:
+    if m > k or k - m + 1 >= 1 << 16:
         raise ValueError("an m-gram must fit in a window")
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(id_col).alias("key")
+        F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
     )
-    found = rows.select("id", "th", "text").mapInArrow(_find(k, m), "h bigint, id bigint, th bigint, at bigint, n bigint, weight bigint")
-    # rows known to repeat are dealt at random, the others by minimiser
-    found = found.withColumn("deal", F.when(F.col("weight") == 0, F.xxhash64("id", "at", "th")).otherwise(F.col("h")))
-    weights = F.sum("weight").over(Window.partitionBy("deal"))
-    again = found.withColumn("all", weights).where("n > 0 and (weight = 0 or all > 1)")
-    per = again.groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "n")).alias("kmers"))
-    texts = rows.select("id", "th", "text", "key")
-    packed = texts.join(per.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, n bigint, packed binary")
-    packed = packed.withColumn("s", F.xxhash64("packed"))
-    # the least (id, at) as one number, which partial sums of work can hold in place
-    place = F.col("id").cast("decimal(38,0)") * F.lit(10**10).cast("decimal(12,0)") + F.col("at")
-    place = place.cast("decimal(38,0)")
-    firsts = packed.groupBy("h", "s", "packed").agg(F.min(place).alias("first"))
-    spot = firsts.withColumn("id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(12,0)")).cast("long")).withColumn("at", F.pmod(F.col("first"), F.lit(10**10).cast("decimal(12,0)")).cast("long"))
-    buckets = spot.select("h", "s", "id", "at", "packed").repartition("h").sortWithinPartitions("h")
-    later = buckets.mapInArrow(_compare(k), "h bigint, s bigint, later binary")
-    settled = firsts.select("h", "s", "first").join(later, ["h", "s"], "left")
-    marks = packed.select("h", "s", "id", "th", "at", "n", place.alias("place")).join(settled, ["h", "s"])
-    marks = marks.where("place != first or later is not null").select("id", "th", F.struct("at", "n", F.when(F.col("place") == F.col("first"), F.col("later")).alias("later")).alias("mark"))
-    marks = marks.groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    done = texts.join(marks.hint("merge"), ["id", "th"], "left").select("key", "text", "marks").mapInArrow(_remove(k), f"key {kind}, n_words bigint, n_removed bigint, kept binary")
-    return done.select(F.col("key").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+    common = levels(rows.select("text"), lambda texts: (gram_hashes(x[1], m) for x in word_runs(texts, k)))
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    found = rows.select("id", "th", "text").mapInArrow(_find(k, m, shared), "h bigint, s bigint, id bigint, loc bigint, salt bigint")
+    at, n, th = F.shiftright("loc", 32), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)), F.col("loc").bitwiseAND(F.lit(0xFFFF))
+    order = F.rank().over(Window.partitionBy("h", "salt", "s").orderBy("id", at))
+    bucket_ = Window.partitionBy("h", "salt")
+    judged = found.withColumn("place", order).withColumn("many", F.min("s").over(bucket_) != F.max("s").over(bucket_)).withColumn("whole", (F.col("salt") > 0) | (F.col("place") > 1)).where("whole or many")
+    judged = store(judged.select("h", "id", th.alias("th"), at.alias("at"), n.alias("n"), "whole"))
+    texts = rows.select("id", "th", "text")  # shuffled once: both joins need the same columns of it
+    ask = judged.where("not whole").groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "n")).alias("kmers"))
+    packed = texts.join(ask.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, packed binary")
+    later = packed.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(k), "id bigint, th bigint, at bigint, n bigint, later binary")
+    marks = judged.where("whole").select("id", "th", "at", "n", F.lit(None).cast("binary").alias("later")).unionByName(later)
+    marks = marks.groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "later")).alias("marks"))
+    done = texts.join(marks.hint("merge"), ["id", "th"], "left").select("id", "text", "marks").mapInArrow(_remove(k), "key bigint, n_words bigint, n_removed bigint, kept binary")
+    key = F.when(F.col("key") != lowest, F.col("key")).cast(docs.schema[id_col].dataType)
+    return done.select(key.alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))

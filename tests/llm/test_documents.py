@@ -142,13 +142,16 @@ def test_substrings(any_docs, rows):
 
 
 def test_kmers_of_parts(monkeypatch):
+    import numpy as np
+
 
     from mnemolith.llm import substrings
 
+    level = np.zeros(1 << 20, np.uint8)
     text = b" ".join(b"%d" % (i * i % 977) for i in range(9000))
-    whole = {(h, at + i) for _, m, f, n in document_kmers([text], 20, 6) for h, at, k in zip(m, f, n) for i in range(k)}
+    whole = {(h, at + i) for _, m, _, f, n in document_kmers([text], 20, 6, level) for h, at, k in zip(m, f, n) for i in range(k)}
     monkeypatch.setattr(substrings, "PIECE", 3000)
-    parts = [(h, at + i) for _, m, f, n in document_kmers([text, b"", b"a b"], 20, 6) for h, at, k in zip(m, f, n) for i in range(k)]
+    parts = [(h, at + i) for _, m, _, f, n in document_kmers([text, b"", b"a b"], 20, 6, level) for h, at, k in zip(m, f, n) for i in range(k)]
     assert set(parts) == whole and len(parts) == len(whole) == 9000 - 19
 
 
@@ -205,3 +208,13 @@ def test_empty_tables(docs, spark):
         assert f(none).count() == 0
 
 
+
+
+def test_jaccard_blocks(monkeypatch, docs, rows):
+    """Small blocks and signatures for all tokens find the same components."""
+    from mnemolith.llm import jaccard
+
+    want = sorted(map(tuple, jaccard_components(docs).collect()))
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == want
