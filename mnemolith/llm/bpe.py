@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import release, text_slices
 
 END = "Ā"
 #: Unicode white space, spelled out since regex libraries differ on the separators 1C-1F.
@@ -22,7 +22,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Above this code point, letter and number classes depend on the Unicode version of the library, so its own splitter is asked.
 STABLE = "[^\x00-ԯ‐-‧‰-⁞₠-€]"
 #: Words kept with their tokens in each Python worker; a full cache is emptied, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SLICE_CHARS = 1_000_000
 
 
@@ -222,7 +222,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         bpe = coder(vocab_path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, to in slices(texts):
+            for at, to in slices(texts, 1_000_000):
                 part = [x or "" for x in texts.slice(at, to - at).to_pylist()]
                 out = bpe.encode(part)
                 ids = [x[0] for x in out]
@@ -230,6 +230,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
                     [keys.slice(at, to - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x[1] for x in out], pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"],
                 )
+        release()
 
     return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", id_col)
 
