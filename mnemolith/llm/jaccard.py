@@ -1,13 +1,16 @@
 """Operator 10: n-gram Jaccard join by grouped prefixes.
 
-Two sets can only reach the threshold if their prefixes, the first tokens of each in one order of all tokens, share a token.
-Tokens are ordered by how common they are, told by a counting sketch over the whole corpus, so prefixes hold
-the rare ones. Documents with equal sets are one; sets with identical prefix and size are one group in the join.
-
-Candidates are verified in two steps that find all links between components, though not each pair of a large
-group: first every holder of a token against one centre of that token, which is linear; then, for tokens whose holders are
-still in different components, every pair of groups across components that passes the length and position filters, expanded
-to its members. A pair inside one component can't change it and is left out.
+Tokens are ordered by how common they are, told by a counting sketch over the whole corpus. Two sets that reach the
+threshold share some of the first tokens in this order, their prefixes; prefixes are l - 1 tokens longer than
+needed for one common token, so that such sets share l of them, which few others do. Documents with equal sets are
+one; sets with identical prefix and size are one group, which is what meets at tokens. Pairs of groups are filtered by
+size, position and number of common prefix tokens, then expanded to members; a parity signature of each set, a bit or
+two for each shingle, bounds the difference of two sets from below and refuses most of the rest, and what is left is
+verified on the texts.
+
+All links between components are found, though not each pair of a large group: first every holder of a token is compared
+to one centre of that token, which is linear; then, for tokens whose holders are still in different components, all
+pairs across components. A pair inside one component can't change it and is left out.
 """
 
 from __future__ import annotations
@@ -18,17 +21,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut
+from .common import cut, release, store
 from .components import components
+from .sketch import bucket, levels
 from .substrings import ODD, PIECE, SPACE, mix, word_hashes
 
 N, PERCENT = 4, 85
-#: log2 of the sketch's counters, its parts and the salts of their first sums.
-SKETCH, PARTS, SALTS = 20, 64, 1024
 #: Token rows told apart together, and holders of a token in a block of the pair search.
-HELD, BLOCK = 1_000_000, 1_000
+HELD, BLOCK = 500_000, 1_000
+#: A token that more groups hold brings their signatures to the pair search, which then tells of no pair that they refuse.
+HOT = 32
 #: Ids up to this number are broadcast (8 bytes each) to pick out candidate texts; more of them meet the texts in a join.
 BROADCAST_IDS = 1_000_000
+#: A prefix has one more token for so many shingles; a group's key has its size in the low bits.
+MORE, SIZE_BITS = 60, 20
+SIZE_MASK = (1 << SIZE_BITS) - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -78,38 +85,13 @@ def long_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(words)
 
 
-def sketch(texts: DataFrame, n: int = N) -> np.ndarray:
-    """For each counter the log2 of its shingles in all texts; partial counters are added in two steps of bounded groups."""
-    size = (1 << SKETCH) // PARTS
-
-    def count(batches):
-        total = np.zeros(1 << SKETCH, np.int64)
-        for batch in batches:
-            for at, to in slices(batch.column(0)):
-                for _, _, _, h in shingles(batch.column(0).slice(at, to - at).to_pylist(), n):
-                    total += np.bincount((h >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
-        parts = total.reshape(PARTS, size)
-        at = [i for i in range(PARTS) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([parts[i].tobytes() for i in at], pa.binary())], names=["part", "n"])
-
-    def add(key, table):
-        total = np.zeros(size, np.int64)
-        for x in table["n"]:
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
-
-    each = texts.mapInArrow(count, "part int, n binary").withColumn("salt", F.spark_partition_id() % SALTS)
-    some = each.groupBy("part", "salt").applyInArrow(add, "part int, n binary")
-    out = np.zeros((PARTS, size), np.int64)
-    for r in some.groupBy("part").applyInArrow(add, "part int, n binary").collect():
-        out[r.part] = np.frombuffer(r.n, np.int64)
-    return np.log2(out.ravel() + 1).astype(np.uint8)
-
-
 def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(id, n, d1, d2, prefix, p1, p2): size and digest of each set, its prefix and the prefix's digest. rows: (id, text as binary)."""
+    """(id, n, d1, d2, g, prefix, sig): size and digest of each set, its group, prefix and parity signature. rows: (id, text as binary).
+
+    A group's key has the commonness of the set, 36 bits of the prefix's digest, and the size; groups that meet by chance are told apart by their members.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(order)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("p1", pa.int64()), ("p2", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("g", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         common = shared.value
@@ -118,7 +100,7 @@ def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int =
             for at, to in slices(texts):
                 for row, end, of, h in shingles(texts.slice(at, to - at).to_pylist(), n):
                     docs = end - row
-                    level = common[(h >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64)
+                    level = common[bucket(h)].astype(np.uint64)
                     seq = np.argsort((of.astype(np.uint64) << np.uint64(52)) | (level << np.uint64(46)) | (h >> np.uint64(18)))
                     of, h = of[seq], h[seq]
                     new = np.ones(len(h), bool)
@@ -132,71 +114,114 @@ def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int =
                         if len(v):
                             cuts = np.flatnonzero(np.diff(of, prepend=-1))
                             total[of[cuts]] = np.add.reduceat(v, cuts)
-                        return total.view(np.int64)
+                        return total
 
-                    keep = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+                    keep = np.where(size > 0, np.minimum(size, size - (percent * size + 99) // 100 + 1 + size // MORE), 0)
                     inside = np.arange(len(h)) - first[of] < keep[of]
                     prefix, owner = h[inside], of[inside]
-                    other = mix(h ^ ODD)
+                    # the more common a set's shingles, the less its group's key: an original comes before its edited copies
+                    level = level[seq][new]
+                    rare = 127 - np.minimum(127, 4 * digest(level).astype(np.int64) // np.maximum(size, 1)).astype(np.uint64)
+                    group = (rare << np.uint64(56)) | ((digest(mix(prefix), owner) >> np.uint64(28)) << np.uint64(SIZE_BITS)) | np.minimum(size, SIZE_MASK).astype(np.uint64)
                     offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+                    # parity of the shingles that fall on each bit; a power of two bits, one to two for each shingle
+                    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+                    begin = np.concatenate([[0], np.cumsum(bits)])
+                    place = begin[:-1][of] + (mix(h) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+                    parity = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[at + row : at + end]), pa.array(size), pa.array(digest(mix(h))), pa.array(digest(other)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))),
-                            pa.array(digest(mix(prefix), owner)), pa.array(digest(mix(prefix ^ ODD), owner)),
+                            pa.array(ids[at + row : at + end]), pa.array(size), pa.array(digest(mix(h)).view(np.int64)), pa.array(digest(mix(h ^ ODD)).view(np.int64)), pa.array(group.view(np.int64)),
+                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))), pa.array([parity[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary()),
                         ],
                         schema=schema,
                     )
+        release()
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, p1 bigint, p2 bigint")
+    return rows.select("id", "text").mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, g bigint, prefix array<bigint>, sig binary")
 
 
-def holders(groups: DataFrame) -> DataFrame:
-    """(token, gid, n, pos, centre): the holders of each token that more than one group holds, with a group to compare each to first.
+def holders(sets: DataFrame) -> DataFrame:
+    """(token, g, pos, centre): the groups that hold each token that more than one holds, with a group to compare each to first.
 
-    Holders that meet in one task are compared to one of them, and only that one goes on to meet those of other tasks;
+    Groups that meet in one task are compared to one of them, and only that one goes on to meet those of other tasks;
     so a token that a third of all groups hold sends one row from each task.
     """
-    names = ["token", "gid", "n", "pos", "centre", "deal"]
+    names = ["token", "g", "centre", "pos"]
 
     def run(batches):
-        held: list[tuple] = []
+        held, size = [], 0
 
         def told():
-            token, gid, n, pos = (np.concatenate(x) for x in zip(*held))
+            token, g, pos = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            seq = np.lexsort((gid, token))
-            token, gid, n, pos = token[seq], gid[seq], n[seq], pos[seq]
-            new = np.diff(token, prepend=token[0] - 1) != 0
-            centre = gid[np.flatnonzero(new)][np.cumsum(new) - 1]
-            cols = [token, gid, n, pos, centre, (~new).astype(np.int64)]
-            more = np.flatnonzero(new & ~np.append(new[1:], True))  # the centre of several: a second row says so to all
-            for part in (cols, [c[more] for c in cols[:5]] + [np.full(len(more), 2)]):
+            seq = np.lexsort((g, token))
+            token, g, pos = token[seq], g[seq], pos[seq]
+            one = np.append(True, (token[1:] != token[:-1]) | (g[1:] != g[:-1]))  # equal sets send one row
+            token, g, pos = token[one], g[one], pos[one]
+            new = np.append(True, token[1:] != token[:-1])
+            centre = g[np.flatnonzero(new)][np.cumsum(new) - 1]
+            several = np.flatnonzero(new & ~np.append(new[1:], True))  # a second row of such a centre tells all others
+            for part in ((token, g, centre, pos), [x[several] for x in (token, g, centre)] + [np.full(len(several), -1)]):
                 for i in range(0, len(part[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in part], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in part], names=names)
 
-        size = 0
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             count = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy()
-            first = np.cumsum(count) - count
-            held.append((token, np.repeat(batch.column(0).to_numpy(), count), np.repeat(batch.column(1).to_numpy(), count), np.arange(len(token)) - np.repeat(first, count)))
+            held.append((token, np.repeat(batch.column(0).to_numpy(), count), np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)))
             size += len(token)
             if size >= HELD:
                 yield from told()
                 size = 0
         if size:
             yield from told()
+        release()
+
+    rows = sets.select("g", "prefix").mapInArrow(run, "token bigint, g bigint, centre bigint, pos bigint")
+    rows = rows.withColumn("salt", F.when(F.col("g") == F.col("centre"), 0).otherwise(F.pmod(F.hash("g"), F.lit(4096)) + 1))
+    own = Window.partitionBy("token", "salt")
+    least, some = F.min("g").over(own), (F.min("g").over(own) != F.max("g").over(own)) | (F.min("pos").over(own) < 0)
+    rows = rows.withColumn("least", least).withColumn("some", some).where("pos >= 0 and (salt > 0 or some)")
+    # a centre of several is compared to the least of all such centres
+    return rows.select("token", "g", "pos", F.when(F.col("salt") > 0, F.col("centre")).otherwise(F.col("least")).alias("centre"))
+
+
+def size_of(g: Column) -> Column:
+    return g.bitwiseAND(F.lit(SIZE_MASK))
 
-    rows = groups.select("gid", "n", "prefix").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
-    rows = rows.withColumn("key", F.when(F.col("deal") == 1, F.xxhash64("gid", "pos", "token")).otherwise(F.col("token")))
-    own = Window.partitionBy("key")
-    rows = rows.withColumn("held", F.count("*").over(own)).withColumn("least", F.min("gid").over(own)).where("deal = 1 or (deal = 0 and held > 1)")
-    return rows.select("token", "gid", "n", "pos", F.when(F.col("deal") == 1, F.col("centre")).otherwise(F.col("least")).alias("centre"))
 
+def in_reach(g1: Column, g2: Column, percent: int) -> Column:
+    """Whether the sizes of two groups allow a link; a size beyond the mask is not known."""
+    n1, n2 = size_of(g1), size_of(g2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) | (F.greatest(n1, n2) == SIZE_MASK)
+
+
+def in_common(g1: Column, g2: Column) -> Column:
+    """Prefix tokens that linked sets of two groups share at least."""
+    return F.least(size_of(g1), size_of(g2)) / F.lit(MORE) + 1
+
+
+def signed(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v, n1, n2, s1, s2) whose parity signatures allow a link: a difference of d shingles leaves at most d odd places."""
+
+    def differ(a: bytes, b: bytes) -> int:
+        if len(a) < len(b):
+            a, b = b, a
+        x, size = int.from_bytes(a, "big"), len(a) * 8
+        while size > len(b) * 8:  # folded, it is the signature of fewer bits
+            size //= 2
+            x = (x >> size) ^ (x & ((1 << size) - 1))
+        return (x ^ int.from_bytes(b, "big")).bit_count()
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            odd = np.array([differ(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield batch.filter(pa.array((100 + percent) * odd <= (100 - percent) * n)).select(["u", "v"])
 
-def alike(n1: Column, n2: Column, percent: int) -> Column:
-    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    return pairs.select("u", "v", "n1", "n2", "s1", "s2").mapInArrow(run, "u bigint, v bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -227,39 +252,69 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERCEN
     return pairs.join(two, "v").join(one, "u").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
-def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """(g1, l1, g2, l2): pairs of groups of different labels that share a token and pass the filters, from (token, gid, n, pos, label).
+def crossing(held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(g1, l1, g2, l2): pairs of groups of different labels that share enough tokens and pass the filters.
 
-    Holders of a token are dealt to blocks, and pairs of blocks to tasks; in a task they are taken in order of size, each with those in reach.
+    held: (token, g, pos); named: (g, label, sig). Holders of a token are dealt to blocks, and pairs of blocks to tasks; in a task
+    they are taken in order of size, each with those in reach. Those of tokens that many hold have signatures.
     """
-    spread = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = rows.join(spread, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "gid", "label", "n", "pos")
+    rows = held.join(named.select("g", "label").distinct(), "g")
+    spread = cut(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("token", "k"))
+    few = rows.join(spread.where(F.col("k") <= HOT), "token").withColumn("sig", F.lit(None).cast("binary"))
+    many = held.join(spread.where(F.col("k") > HOT), "token").join(named.select("g", "label", "sig").distinct(), "g")
+    cols = ["token", "g", "pos", "label", "sig", "k"]
+    dealt = few.select(*cols).unionByName(many.select(*cols)).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "g", "label", "pos", "sig")
+
+    def refused(sigs, n):
+        """For entry a and others, those whose signatures refuse a link."""
+        words = [None if x is None else np.frombuffer(x, np.uint64) for x in sigs]
+        size = np.array([0 if w is None else len(w) for w in words])
+        whole = {L: np.stack([w if len(w) == L else np.zeros(L, np.uint64) for w in words]) for L in set(size.tolist()) - {0}} if (size > 0).all() else {}
+
+        def of(a, at):
+            bad = np.zeros(len(at), bool)
+            for L, s in whole.items():
+                if L not in (size[a], 2 * size[a]):
+                    continue
+                own = np.flatnonzero((size[at] == L) & (n[at] < SIZE_MASK))
+                if len(own):
+                    other = s[at[own]]
+                    if L == 2 * size[a]:
+                        other = other[:, : L // 2] ^ other[:, L // 2 :]
+                    odd = np.bitwise_count(other ^ words[a]).sum(1).astype(np.int64)
+                    bad[own] = (100 + percent) * odd > (100 - percent) * (n[a] + n[at[own]])
+            return bad
+
+        return of
 
     def run(batches):
         group, now = [], None
 
         def pairs():
-            x = np.array([r[3:] for r in group], np.int64)
-            x = x[np.argsort(x[:, 3], kind="stable")]
-            own, gid, label, n, pos = x.T
-            reach = np.searchsorted(n, n * 100 // percent, "right")
-            first, second = now[1], now[2]
+            seq = sorted(range(len(group)), key=lambda i: group[i][4] & SIZE_MASK)
+            own, g, label, pos = np.array([group[i][3:7] for i in seq], np.int64).T
+            n = g & SIZE_MASK
+            no = refused([group[i][7] for i in seq], n)
+            reach = np.where(n == SIZE_MASK, len(n), np.searchsorted(n, n * 100 // percent, "right"))
+            unknown = np.searchsorted(n, SIZE_MASK)
             out = []
-            for a in range(len(x) - 1):
-                s = slice(a + 1, reach[a])
-                need = (percent * (n[a] + n[s]) + percent + 99) // (100 + percent)
-                ok = (label[s] != label[a]) & (np.minimum(n[a] - pos[a], n[s] - pos[s]) >= need)
-                if first != second:
-                    ok &= own[s] != own[a]
-                at = np.flatnonzero(ok) + a + 1
+            for a in range(len(n) - 1):
+                at = np.arange(a + 1, reach[a])
+                if unknown < len(n):
+                    at = np.union1d(at, np.arange(max(a + 1, unknown), len(n)))
+                need = (percent * (n[a] + n[at]) + percent + 99) // (100 + percent)
+                # the j-th common token leaves j - 1 before it, and the first few are those that count
+                left = np.minimum(n[a] - pos[a], n[at] - pos[at]) + np.minimum(n[a], n[at]) // MORE
+                ok = (label[at] != label[a]) & ((left >= need) | (n[at] == SIZE_MASK))
+                if now[1] != now[2]:
+                    ok &= own[at] != own[a]
+                at = at[ok]
+                at = at[~no(a, at)]
                 if len(at):
-                    flip = gid[at] < gid[a]
-                    mine, theirs = np.full(len(at), gid[a]), gid[at]
-                    lm, lt = np.full(len(at), label[a]), label[at]
-                    out.append(np.stack([np.where(flip, theirs, mine), np.where(flip, lt, lm), np.where(flip, mine, theirs), np.where(flip, lm, lt)]))
+                    flip = g[at] < g[a]
+                    out.append(np.stack([np.where(flip, g[at], g[a]), np.where(flip, label[at], label[a]), np.where(flip, g[a], g[at]), np.where(flip, label[a], label[at])]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["g1", "l1", "g2", "l2"])
 
@@ -272,8 +327,11 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
                 group.append(row)
         if len(group) > 1:
             yield from pairs()
+        release()
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "g1 bigint, l1 bigint, g2 bigint, l2 bigint").distinct()
+    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "g1 bigint, l1 bigint, g2 bigint, l2 bigint")
+    common = found.groupBy("g1", "l1", "g2", "l2").agg(F.count("*").alias("k"))
+    return common.where(F.col("k") >= F.floor(in_common(F.col("g1"), F.col("g2")))).drop("k")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -286,40 +344,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole numbers; null ids link with nothing and have a null component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    order = sketch(rows.where("id is not null").select("text"), n)
-    sets = cut(shingle_sets(rows, order, n, percent))
+    order = levels(rows.where("id is not null").select("text"), lambda texts: (h for _, _, _, h in shingles(texts, n)))
+    sets = store(shingle_sets(rows, order, n, percent))
     usable = sets.where("n > 0 and id is not null")
-    same = usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    # one row for each different set, then for each prefix and size
-    slim = usable.select("id", "d1", "d2", "n", "p1", "p2").join(same.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"], "left_semi").distinct()
-    members = cut(slim.join(slim.groupBy("p1", "p2", "n").agg(F.min("id").alias("gid")), ["p1", "p2", "n"]).select("id", "gid", "n"))
-    heads = members.where("id = gid").select("gid", "n")
-    groups = usable.select(F.col("id").alias("gid"), "n", "prefix").join(heads, ["gid", "n"], "left_semi")
-    held = cut(holders(groups))
-    # candidates: holders of shared tokens, and members of groups of several
-    several = members.where("id != gid")
-    ids = cut(held.select(F.col("gid").alias("id")).unionByName(several.select("id")).unionByName(several.select(F.col("gid").alias("id"))).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    more = members.join(ids.select(F.col("id").alias("gid")), "gid", "left_semi").select("id").unionByName(ids).distinct()
-    texts = cut(rows.where("id is not null").join(F.broadcast(more) if few else more, "id", "left_semi"))
-    sizes = members.select(F.col("gid").alias("centre"), F.col("n").alias("cn")).distinct()
-    star = held.where("gid != centre").select("gid", "n", "centre").distinct().join(sizes, "centre").where(alike(F.col("n"), F.col("cn"), percent))
-    star = star.select(F.col("centre").alias("u"), F.col("gid").alias("v")).unionByName(several.select(F.col("gid").alias("u"), F.col("id").alias("v"))).distinct()
-    links = cut(verify(star, texts, n, percent))
+    held = store(holders(usable))
+    # one member for each different set of a group
+    members = store(usable.groupBy("d1", "d2", "n", "g").agg(F.min("id").alias("rep"), F.max("sig").alias("sig")))
+    heads = members.join(members.groupBy("g").agg(F.min("rep").alias("rep"), F.count("*").alias("k")), ["g", "rep"]).select("g", "rep", "n", "sig", "k")
+
+    def side(df, i, extra=()):
+        return df.select(F.col("g").alias(f"g{i}"), F.col("rep").alias("uv"[i - 1]), F.col("n").alias(f"n{i}"), F.col("sig").alias(f"s{i}"), *extra)
+
+    def texts_of(pairs):
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return store(rows.where("id is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi"))
+
+    g1, g2 = F.col("g1"), F.col("g2")
+    star = held.where("g != centre").groupBy(F.col("centre").alias("g1"), F.col("g").alias("g2")).agg(F.count("*").alias("k")).where(in_reach(g1, g2, percent) & (F.col("k") >= F.least(F.lit(2), F.floor(in_common(g1, g2))))).select("g1", "g2")
+    star = star.join(side(heads, 1), "g1").join(side(heads, 2), "g2")
+    inside = side(heads.where("k > 1"), 1).join(side(members, 2), g1 == g2).where("u != v")
+    pairs = cut(signed(star.unionByName(inside.select(*star.columns)), percent).distinct())
+    links = cut(verify(pairs, texts_of(pairs), n, percent))
     labels = components(links)
-    named = members.join(ids.select(F.col("id").alias("gid")), "gid", "left_semi").join(labels, "id", "left").select("id", "gid", "n", F.coalesce("label", "id").alias("label"))
-    named = cut(named)
-    by_group = named.select("gid", "label").distinct()
-    cross = crossing(held.select("token", "gid", "n", "pos").join(by_group, "gid"), percent)
-    # members of one group share its prefix, so those of different labels are candidates as well
-    m1 = named.select(F.col("id").alias("u"), F.col("gid").alias("g1"), F.col("label").alias("l1"))
-    m2 = named.select(F.col("id").alias("v"), F.col("gid").alias("g2"), F.col("label").alias("l2"))
-    pairs = cross.join(m1, ["g1", "l1"]).join(m2, ["g2", "l2"]).select("u", "v")
-    mixed = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(F.col("gid").alias("g1"))
-    inside = m1.join(mixed, "g1").join(m2.withColumnRenamed("g2", "g1"), "g1").where("u < v and l1 != l2").select("u", "v")
-    found = verify(pairs.unionByName(inside).distinct(), texts, n, percent)
+    named = cut(members.select("g", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", F.coalesce("label", "rep").alias("label")))
+    full = members.select("g", "rep", "n", "sig").join(named, ["g", "rep"])
+    cross = crossing(held.select("token", "g", "pos"), full, percent)
+    m1, m2 = side(full, 1, [F.col("label").alias("l1")]), side(full, 2, [F.col("label").alias("l2")])
+    across = cross.join(m1, ["g1", "l1"]).join(m2, ["g2", "l2"])
+    mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
+    within = m1.join(mixed, F.col("g1") == F.col("g"), "left_semi").join(m2, g1 == g2).where("u < v and l1 != l2")
+    pairs = cut(signed(across.unionByName(within.select(*across.columns)), percent).distinct())
+    found = verify(pairs, texts_of(pairs), n, percent)
     final = components(cut(links.unionByName(found)))
-    label = same.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("label"))
+    label = members.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("label"))
     out = sets.select("id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
     kind = docs.schema[id_col].dataType
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("label")).otherwise(F.col("id"))
