@@ -12,7 +12,7 @@ SKIPPED_FOLDERS = [".git", ".venv", "node_modules", "__pycache__", "dist", "buil
 SKIPPED_FILES = ["AGENTS.md"]
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_path, content) of whole text files, without byte-order marks."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_path"), F.regexp_replace("value", "^\\uFEFF", "").alias("content"))
 
