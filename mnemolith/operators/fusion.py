@@ -46,7 +46,7 @@ def ensemble(fused: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
     champions = ranks.where("rank = 1").groupBy("query_id", "id").agg(F.min("stream").alias("champion_of"))
     rows = fused.join(champions, ["query_id", "id"], "left")
     order = [F.col("champion_of").isNull(), F.col("champion_of"), F.desc("fused"), F.col("id")]
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
     return rows.where(F.col("rank") <= k)
 
 

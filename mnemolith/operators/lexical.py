@@ -48,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | None = 1
 
 def ranked(scores: DataFrame, group: list[str], keys: list[str], k: int | None, score: str = "score") -> DataFrame:
     """Adds the rank by score within a group, ties by key, and keeps the best k."""
-    out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *keys)))
+    out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *keys)).cast("long"))
     return out.where(F.col("rank") <= k) if k else out
 
 

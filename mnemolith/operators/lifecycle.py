@@ -93,4 +93,4 @@ def active_recall(items: DataFrame, limit: int = 8, agent: str = "agent_id", ses
     """For each agent the best items without a query: of the newest max(50, 8 limit), those with a positive score, best and newest first; adds rank."""
     new = items.withColumn("_new", F.row_number().over(Window.partitionBy(agent).orderBy(F.desc("indexed_at"), "item_id"))).where(F.col("_new") <= max(50, 8 * limit)).drop("_new")
     rows = active_scores(new, session).where("score > 0")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(agent).orderBy(F.desc("score"), F.desc("indexed_at"), "item_id"))).where(F.col("rank") <= limit)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(agent).orderBy(F.desc("score"), F.desc("indexed_at"), "item_id")).cast("long")).where(F.col("rank") <= limit)

@@ -13,7 +13,7 @@ HOOKS = """h AS (SELECT event_id, user_id AS session_id, ts, value, props, CASE
 
 
 def values(rows) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in rows) + ")"
+    return "(VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in rows) + ")"
 
 
 def bm25_ctes(table: str, key: str, queries, where: str = "TRUE", text: str = "text") -> str:
@@ -43,4 +43,4 @@ def chunk_ctes(size: int, overlap: int, table: str = "documents") -> str:
  FROM (SELECT *, greatest({nn}, {n1}, {dot}) AS b FROM (SELECT *, substr(text, lo + 1, tg - lo) AS win FROM (SELECT *, s + greatest(200, (tg - s) // 2) AS lo FROM (SELECT *, least(length(text), s + {size}) AS tg FROM src))))"""
     return f"""chunks_raw AS ({step.replace('FROM src', f"FROM (SELECT doc_id, text, 0 AS i, 0 AS s FROM {table} WHERE length(text) > 0) src")}
  UNION ALL {step.replace('FROM src', f"FROM (SELECT doc_id, text, i + 1 AS i, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE s + {max(100, size // 10)} END AS s FROM chunks_raw WHERE e < length(text)) src")}),
-chunks AS (SELECT doc_id, i AS chunk_index, s AS char_start, e AS char_end, text FROM chunks_raw)"""
+chunks AS (SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, s AS char_start, e AS char_end, text FROM chunks_raw)"""

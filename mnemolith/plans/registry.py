@@ -250,7 +250,7 @@ def buffer_dedup(spark, d):
     return content.existing_buffers(rows.where("doc_id % 2 = 1"), old).select("doc_id", "existing_id")
 
 
-@query("SELECT * FROM (VALUES (0, 42), (1, 7), (3, 99)) t(place, doc_id)")
+@query("SELECT CAST(place AS BIGINT) AS place, CAST(doc_id AS BIGINT) AS doc_id FROM (VALUES (0, 42), (1, 7), (3, 99)) t(place, doc_id)")
 def ordered_multiget(spark, d):
     return content.multi_get(docs(spark, d), [42, 7, -5, 99], "doc_id").select("place", "doc_id")
 
