@@ -1,10 +1,10 @@
 """Operator 3: mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
-Within a source, documents stand in order of size. The expected copies of each, target / source size, are summed
-along that order, one random offset of the source is added, and a document is emitted once for every
-integer that the sum crosses at it. In this order the words taken from a source miss its target by
-less than its largest document; of some offsets drawn for a source, the one that comes nearest is used. What an
-offset takes follows from the counts of documents by size, so trying one costs no pass over documents.
+Within a source, documents stand in an order of their sizes. The expected copies of each, target / source size, are
+summed along that order, one random offset of the source is added, and a document is emitted once for every
+integer that the sum crosses at it. Some orders and offsets are drawn for a source, the first in order of size, where
+the words taken miss the target by less than the largest document; the draw that comes nearest is used. What a draw
+takes follows from the counts of documents by size, so trying one costs no pass over documents.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: Rows of one source and size are dealt to so many salts, so that no group of them meets in one task.
 SALTS = 1024
-#: Offsets drawn for each source.
-DRAWS = 64
+#: Orders and offsets drawn for each source.
+DRAWS = 32
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -62,18 +62,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = base.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n"))
     groups = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
     sources = source_targets(groups.groupBy("_key").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size")), weights, max_copies)
-    below = Window.partitionBy("_key").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(max_copies)), F.col("_target") / F.col("_source_size"))).otherwise(0.0)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).join(sources.withColumn("_rate", rate), "_key")
+    groups = groups.join(sources.withColumn("_rate", rate), "_key")
 
     def crossed(low, high, offset):
         return F.floor(high * F.col("_rate") + offset) - F.floor(low * F.col("_rate") + offset)
 
     # offsets have 20 binary places, which keeps rank * rate + offset exact where the rate is a whole number
     draws = groups.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_offset", F.pmod(F.xxhash64("_key", F.lit(seed), "_j"), F.lit(1 << 20)) / float(1 << 20))
-    takes = draws.groupBy("_key", "_j", "_offset", "_target").agg(F.sum(F.col("_size") * crossed(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_offset"))).alias("_takes"))
-    best = takes.groupBy("_key").agg(F.min_by("_offset", F.struct(F.abs(F.col("_takes") - F.col("_target")), "_j")).alias("_offset"))
-    groups = groups.drop("_n").join(best, "_key")
+    draws = draws.withColumn("_turn", F.when(F.col("_j") == 0, F.col("_size")).otherwise(F.xxhash64("_size", "_j", F.lit(seed))))
+    below = Window.partitionBy("_key", "_j").orderBy("_turn", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    draws = draws.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    takes = draws.groupBy("_key", "_j", "_target").agg(F.sum(F.col("_size") * crossed(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_offset"))).alias("_takes"))
+    best = takes.groupBy("_key").agg(F.min_by("_j", F.struct(F.abs(F.col("_takes") - F.col("_target")), "_j")).alias("_j"))
+    groups = draws.join(best, ["_key", "_j"]).drop("_n")
     below = Window.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_in_size", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n").join(groups, ["_key", "_size"])
     rows = base.join(cells, ["_key", "_size", "_salt"])
