@@ -212,8 +212,8 @@ class Memory:
         c = c.where(F.col("buffer_id") == buffer_id) if buffer_id else c
         return chunking.batches(c, ["buffer_id"], ["chunk_index"], batch).groupBy("buffer_id", "batch_index").agg(F.array_sort(F.collect_list("chunk_index")).alias("chunk_ids"))
 
-    def analyse(self, analyser=mapreduce.first_words, buffer_id: str | None = None, batch: int | None = 4, limit: int = mapreduce.LIMIT_TOKENS, rounds: int = 3) -> DataFrame:
-        """Map, reduce and recurse over a buffer's chunks; batches that are recorded are not analysed again."""
+    def analyse(self, analyser=mapreduce.first_words, buffer_id: str | None = None, batch: int | None = 4, limit: int = mapreduce.LIMIT_TOKENS, rounds: int = 3, at: float = 0.0) -> DataFrame:
+        """Map, reduce and recurse over a buffer's chunks; batches that are recorded are not analysed again. Analyses and aggregates become items."""
         c = self.table("chunks")
         c = c.where(F.col("buffer_id") == buffer_id) if buffer_id else c
         plan = chunking.batches(c, ["buffer_id"], ["chunk_index"], batch)
@@ -224,7 +224,13 @@ class Memory:
         lacking = mapreduce.completeness(results.where("status = 'ok'"), want, "buffer_id").where("size(missing) > 0")
         if bad := lacking.select("buffer_id", "missing").first():
             raise RuntimeError(f"batches {bad.missing} of {bad.buffer_id} are missing")
-        return mapreduce.recurse(mapreduce.aggregate(results, "buffer_id"), analyser, limit, rounds, "buffer_id")
+        whole = mapreduce.recurse(mapreduce.aggregate(results, "buffer_id"), analyser, limit, rounds, "buffer_id")
+        owner = self.table("buffers").select("buffer_id", "agent_id")
+        ref = lambda i: F.concat(F.lit("rlm_chunk:"), F.col("buffer_id"), F.lit("_"), i.cast("string"))
+        parts = results.select("buffer_id", F.lit("rlm_analysis").alias("source_type"), F.concat_ws(":", "buffer_id", F.col("batch_index").cast("string")).alias("source_id"), F.col("analysis").alias("text"), F.transform("chunk_ids", ref).alias("raw_refs"))
+        sums = whole.select("buffer_id", F.lit("rlm_summary").alias("source_type"), F.col("buffer_id").alias("source_id"), "text", F.transform("chunk_ids", ref).alias("raw_refs"))
+        self.index(parts.unionByName(sums).join(owner, "buffer_id").withColumn("session_id", F.lit(None).cast("string")).drop("buffer_id"), at)
+        return whole
 
     # --- context
 

@@ -96,3 +96,17 @@ def latest_message(hits: DataFrame, messages: DataFrame, on: str = "content_hash
     """Each hit with the newest message of its content, nulls where there is none."""
     last = messages.groupBy(on).agg(F.max(F.struct(order, "message_id")).alias("_m")).select(on, F.col("_m.message_id").alias("message_id"), F.col(f"_m.{order}").alias(order))
     return hits.join(last, on, "left")
+
+
+def cleanup(store: DataFrame, cutoff) -> DataFrame:
+    """A store (with last_accessed) without content that nothing refers to and that was last read before the cutoff."""
+    return store.where((F.col("reference_count") > 0) | (F.col("last_accessed") >= cutoff))
+
+
+def expand_refs(texts: DataFrame, store: DataFrame, id_col: str = "id", text_col: str = "text", missing: str = "keep") -> DataFrame:
+    """(id, expanded): texts with each ``[ref:key]`` replaced by the content of the key in a store (ref_id, content); unknown ones stay, or go with missing="empty"."""
+    pieces = F.split(text_col, r"(?=\[ref:[^\]]+\])|(?<=\])")
+    each = texts.select(id_col, F.posexplode(pieces).alias("_i", "_p")).withColumn("ref_id", F.nullif(F.regexp_extract("_p", r"^\[ref:([^\]]+)\]$", 1), F.lit("")))
+    both = each.join(store.select("ref_id", "content"), "ref_id", "left")
+    shown = F.coalesce("content", F.when(F.col("ref_id").isNotNull(), F.lit("") if missing == "empty" else F.col("_p")).otherwise(F.col("_p")))
+    return both.select(id_col, F.struct("_i", shown.alias("t")).alias("_s")).groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["t"]), "").alias("expanded"))

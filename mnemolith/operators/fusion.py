@@ -73,3 +73,11 @@ def recall_text(hits: DataFrame, policy: str = "auto") -> DataFrame:
     best = F.col("champion_of").isNotNull()
     shown = {"full": content, "champion": F.when(best, content).otherwise(preview), "snippet": F.coalesce(snippet, preview), "preview": preview, "auto": F.when(best, content).otherwise(F.coalesce(snippet, preview))}
     return hits.withColumn("shown", shown[policy])
+
+
+def recall_block(hits: DataFrame, text_col: str = "preview") -> DataFrame:
+    """(query_id, hits, champions, chars, block): the hits of a query rendered as one text, in order of rank."""
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] item:"), F.col("id").cast("string"), F.lit("\n"), F.col(text_col))
+    rows = hits.select("query_id", F.col("champion_of").isNotNull().alias("_c"), F.struct("rank", line.alias("t")).alias("_s"))
+    block = F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["t"]), "\n")
+    return rows.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if("_c").alias("champions"), block.alias("block")).withColumn("chars", F.char_length("block").cast("long"))

@@ -185,9 +185,27 @@ def hit_latest_message(spark, d):
     return content.latest_message(rows.select("content_hash").distinct(), rows.where("role != 'system'").withColumn("created_at", F.col("message_id"))).select("content_hash", "message_id")
 
 
+@query(f"WITH {STREAMS}, {ACTIVE}, {ENSEMBLE}, p AS (SELECT query_id, en.rank, champion_of, '[' || en.rank || '] item:' || id || chr(10) || {PREVIEW.format('text')} AS t FROM en JOIN documents ON doc_id = id WHERE rank <= 10), b AS (SELECT query_id, count(*) AS hits, count(champion_of) AS champions, string_agg(t, chr(10) ORDER BY rank) AS block FROM p GROUP BY query_id) SELECT *, length(block) AS chars FROM b")
+def recall_block(spark, d):
+    return fusion.recall_block(recall_with_content(spark, d))
+
+
 # --- content store and manifests
 
 
+@query("SELECT sha256(text) AS content_hash, CAST(count(*) - 1 AS BIGINT) AS reference_count FROM documents GROUP BY 1 HAVING count(*) > 1 OR max(doc_id) >= 100")
+def content_cleanup(spark, d):
+    rows = docs(spark, d).groupBy(fx.content_hash("text").alias("content_hash")).agg((F.count("*") - 1).alias("reference_count"), F.max("doc_id").alias("last_accessed"))
+    return content.cleanup(rows, 100).select("content_hash", "reference_count")
+
+
+@query("SELECT doc_id, 'see ' || sha256(text) || ' and [ref:zz]!' AS expanded FROM documents")
+def ref_expand(spark, d):
+    texts = docs(spark, d).select("doc_id", F.concat(F.lit("see [ref:d"), F.col("doc_id").cast("string"), F.lit("] and [ref:zz]!")).alias("text"))
+    store = docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("ref_id"), fx.content_hash("text").alias("content"))
+    return content.expand_refs(texts, store, "doc_id")
+
+
 @query("SELECT doc_id, h AS content_hash, doc_id = min(doc_id) OVER (PARTITION BY h) AS is_new FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
 def content_dedup(spark, d):
     return content.dedup_flags(docs(spark, d))

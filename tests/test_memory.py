@@ -76,8 +76,10 @@ def test_documents(spark, memory):
     assert run.fits and run.chunk_ids == list(range(n)) and memory.table("results").count() == -(-n // 4)
     memory.analyse(buffer_id=first.buffer_id)
     assert memory.log("results").count() == -(-n // 4)
+    kinds = {r.source_type: r["count"] for r in memory.table("items").groupBy("source_type").count().collect()}
+    assert kinds == {"message": 3, "rlm_chunk": memory.table("chunks").count(), "rlm_analysis": -(-n // 4), "rlm_summary": 1}
     memory.vacuum("items")
-    assert memory.log("items").count() == memory.table("items").count() == counts["items"] + memory.table("chunks").where(F.col("buffer_id") != first.buffer_id).count()
+    assert memory.log("items").count() == memory.table("items").count() == sum(kinds.values())
 
 
 def test_compaction(spark, memory):
@@ -120,3 +122,11 @@ def test_command_line(spark, tmp_path):
     assert call("active-recall")[1] and call("lcm-context", "--session-id", "s")[1] and call("lcm-messages")[1] and call("lcm-sessions")[1]
     assert {x["part"] for x in call("runtime-context", "s", "door")[1]} >= {"messages", "recall", "policy"} and call("counts")[1][0]["messages"] == 2
     assert call("lcm-compact")[0] == 0 and call("lcm-summary")[1] == []
+
+
+def test_second_brain(spark, tmp_path):
+    from mnemolith.checks import second_brain, verdict
+
+    checks = second_brain(spark, str(tmp_path / "b")).cache()
+    assert checks.count() == 13 and checks.where("not ok").collect() == []
+    assert {r.dimension: r.passed for r in verdict(checks).collect()}["all"]
