@@ -40,7 +40,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # ranges of (hash, document), sorted by position within: a frequent line spreads over many ranges, and
     # the first row of a document in its range stands for all its occurrences when documents are counted
     ordered = cut(lines.repartitionByRange("_h", "_g", "_id").sortWithinPartitions("_h", "_g", "_id", "_pos"))
-    common = ordered.groupBy("_h", "_g", "_id").agg(F.lit(1)).groupBy("_h", "_g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_documents)
+    # cut, so that both sides of the join are exchanges of its own and the rows of a frequent line can be split among tasks
+    common = cut(ordered.groupBy("_h", "_g", "_id").agg(F.lit(1)).groupBy("_h", "_g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_documents).select("_h", "_g"))
     dropped = ordered.join(common, ["_h", "_g"], "left_semi")
     per = dropped.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_places"))
     word = F.lit(64)
