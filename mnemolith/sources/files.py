@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemolith.functions import text as fx
 
 #: Folders and files that discovery passes over.
-SKIPPED_FOLDERS = [".git", ".venv", "node_modules", "__pycache__", "dist", "build", ".pytest_cache"]
+SKIPPED_FOLDERS = [".git", ".hg", ".svn", ".codex", ".venv", "venv", "env", "node_modules", "dist", "build", "__pycache__"]
 SKIPPED_FILES = ["AGENTS.md"]
 
 
@@ -71,15 +71,18 @@ def last_assistant(df: DataFrame, id_col: str, line_col: str, order_col: str) ->
 #: Names that hook payloads use for each field.
 PAYLOAD_NAMES = {
     "event": ["hook_event_name", "event"],
-    "session_id": ["session_id", "sessionId", "conversation_id", "thread_id"],
-    "prompt": ["prompt", "user_prompt", "message", "input"],
-    "tool_name": ["tool_name", "toolName", "name"],
-    "tool_call_id": ["tool_call_id", "tool_use_id", "call_id"],
-    "output": ["tool_response", "tool_output", "output", "result"],
-    "assistant_response": ["assistant_response", "last_assistant_message", "response"],
-    "summary": ["summary", "compact_summary"],
+    "session_id": ["session_id", "sessionId", "conversation_id", "conversationId", "thread_id", "threadId"],
+    "prompt": ["prompt", "message", "input", "text"],
+    "tool_name": ["tool_name", "toolName", "name", "tool.name", "tool"],
+    "tool_call_id": ["tool_call_id", "toolCallId", "call_id", "id"],
+    "tool_state": ["tool_state", "toolState", "state", "status"],
+    "output": ["output", "result", "stdout", "stderr", "content"],
+    "assistant_response": ["assistant_response", "assistantResponse", "assistant_output", "assistantOutput", "final_response", "finalResponse", "answer", "response", "output", "assistant"],
+    "summary": ["summary", "compact_summary", "compactSummary", "content", "output"],
     "transcript_path": ["transcript_path", "transcriptPath"],
 }
+#: Arrays of tool calls in a payload.
+TOOL_LISTS = ["tool_outputs", "toolOutputs", "tool_results", "toolResults", "tool_calls", "toolCalls"]
 #: One name for each lifecycle event.
 EVENT_NAMES = {
     "sessionstart": "session-start",
@@ -88,6 +91,7 @@ EVENT_NAMES = {
     "stop": "stop",
     "precompact": "pre-compact",
     "postcompact": "post-compact",
+    "subagentstop": "subagent-stop",
     "discardpending": "discard-pending",
 }
 
@@ -106,6 +110,19 @@ def parse_hooks(df: DataFrame, payload_col: str = "payload") -> DataFrame:
     return df.withColumns(fields)
 
 
+def tool_turns(df: DataFrame, id_col: str, payload_col: str = "payload") -> DataFrame:
+    """(id, place, tool_name, tool_call_id, tool_state, content): the tool outputs of a payload, one from its own fields or one for each element of its lists; those without text are left out."""
+    v = F.try_parse_json(payload_col)
+    lists = F.filter(F.array(*[F.try_variant_get(v, f"$.{x}", "array<variant>") for x in TOOL_LISTS]), lambda x: x.isNotNull() & (F.size(x) > 0))
+    rows = df.select(id_col, F.posexplode(F.when(F.size(lists) > 0, F.element_at(lists, 1)).otherwise(F.array(v))).alias("place", "_t"))
+
+    def field(name):
+        return F.coalesce(*[F.nullif(F.try_variant_get("_t", f"$.{x}", "string"), F.lit("")) for x in PAYLOAD_NAMES[name]])
+
+    out = rows.select(id_col, F.col("place").cast("long").alias("place"), F.coalesce(field("tool_name"), F.lit("tool")).alias("tool_name"), field("tool_call_id").alias("tool_call_id"), F.coalesce(field("tool_state"), F.lit("completed")).alias("tool_state"), field("output").alias("content"))
+    return out.where("content is not null")
+
+
 def prompt_files(prompts: DataFrame, listing: DataFrame, id_col: str, text_col: str, path_col: str = "path") -> DataFrame:
     """(id, path, place): files of a listing that prompts name, first places only."""
     words = prompts.select(id_col, F.posexplode(F.split(text_col, r"\s+")).alias("place", "_w"))

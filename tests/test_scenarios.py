@@ -304,6 +304,8 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.last_assistant(lines, "id", "line", "n").collect()] == [(1, "b")]
     hook = files.parse_hooks(spark.createDataFrame([('{"hook_event_name":"UserPromptSubmit","sessionId":"q","prompt":"do"}',), ("plain words",)], "payload string")).collect()
     assert (hook[0].event, hook[0].session_id, hook[0].prompt) == ("user-prompt-submit", "q", "do") and hook[1].prompt == "plain words"
+    tools = spark.createDataFrame([(1, '{"tool_name":"grep","output":"hit","id":"c1"}'), (2, '{"toolResults":[{"name":"a","result":"x"},{"name":"b"},{"tool":{"name":"c"},"stdout":"y","status":"failed"}]}'), (3, "{}"), (4, "no json")], "id long, payload string")
+    assert sorted((r.id, r.place, r.tool_name, r.tool_state, r.content) for r in files.tool_turns(tools, "id").collect()) == [(1, 0, "grep", "completed", "hit"), (2, 0, "a", "completed", "x"), (2, 2, "c", "failed", "y")]
     listing = spark.createDataFrame([("docs/a.md",)], "path string")
     asks = spark.createDataFrame([(1, "read `docs/a.md`, then docs/a.md and b.md")], "id long, t string")
     assert [tuple(r) for r in files.prompt_files(asks, listing, "id", "t").collect()] == [(1, "docs/a.md", 1)]
