@@ -169,15 +169,15 @@ def _mix(page: int, count: int) -> int:
 
 
 def _tokens(batches):
-    """(host, token, path, pages, print, seen, linked): each task's tokens, summed over its pages; path is null for runs of text."""
+    """(host, token, path, pages, print, seen, linked, times): each task's tokens, summed over its pages; path is null for runs of text."""
     held: dict[tuple, list] = {}
 
     def batch_of():
         keys, values = list(held), list(held.values())
         held.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.string()), *[pa.array([v[i] for v in values], pa.int64()) for i in (1, 2, 3, 4)]],
-            names=["host", "token", "path", "pages", "print", "seen", "linked"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.string()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(1, 6)]],
+            names=["host", "token", "path", "pages", "print", "seen", "linked", "times"],
         )
 
     for batch in batches:
@@ -194,11 +194,12 @@ def _tokens(batches):
                         run = found.setdefault(run_hash(path, text), [None, 0, len(text), 0])
                         run[1] += 1
                 for token, (path, n, seen, linked) in found.items():
-                    x = held.setdefault((own, token), [path, 0, 0, 0, 0])
+                    x = held.setdefault((own, token), [path, 0, 0, 0, 0, 0])
                     x[1] += 1
                     x[2] += _mix(key, n)
                     x[3] += seen
                     x[4] += linked
+                    x[5] += n
                 if len(held) >= HELD_TOKENS:
                     yield batch_of()
     if held:
@@ -206,7 +207,10 @@ def _tokens(batches):
 
 
 def deduce(tokens, pages: int) -> dict:
-    """The template of one host from its tokens (token, path, pages, print, seen, linked): main slot and own words of the template."""
+    """The template of one host from its tokens (token, path, pages, print, seen, linked, times): main slot and own words of the template.
+
+    A main slot stands once on a page; an element that repeats, as a paragraph does, is part of one.
+    """
     classes: dict[tuple, list] = {}
     for t in tokens:
         classes.setdefault((t["pages"], t["print"]), []).append(t)
@@ -221,7 +225,8 @@ def deduce(tokens, pages: int) -> dict:
     main = max(named, key=lambda p: (under(p), re.match("article", p.rpartition("/")[2]) is not None, -len(p)), default="")
     if not main or not under(main):
         main = ""
-        inner = [(p, under(p)) for p in elements if p.rpartition("/")[2].split(".")[0] in CONTAINERS]
+        once = {t["path"] for c in valid for t in c if t["path"] and t["times"] <= 1.2 * t["pages"]}
+        inner = [(p, under(p)) for p in elements if p in once and p.rpartition("/")[2].split(".")[0] in CONTAINERS]
         while True:
             deeper = [(n, p) for p, n in inner if p.startswith(main + "/") and n >= NARROW * max(1, under(main) if main else sum(mass.values()))]
             if not deeper:
@@ -239,14 +244,14 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     group is bounded by the size of a page, whatever the number of its pages.
     """
     rows = pages.select(host(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col).cast("string"), F.col(url_col)).alias("page"), F.col(html_col).cast("string").alias("html"))
-    each = rows.mapInArrow(_tokens, "host string, token bigint, path string, pages bigint, print bigint, seen bigint, linked bigint")
-    total = each.where("host != ''").groupBy("host", "token").agg(F.min("path").alias("path"), *[F.sum(c).alias(c) for c in ("pages", "print", "seen", "linked")]).where("pages > 1")
+    each = rows.mapInArrow(_tokens, "host string, token bigint, path string, pages bigint, print bigint, seen bigint, linked bigint, times bigint")
+    total = each.where("host != ''").groupBy("host", "token").agg(F.min("path").alias("path"), *[F.sum(c).alias(c) for c in ("pages", "print", "seen", "linked", "times")]).where("pages > 1")
     total = cut(total)
     roots = total.where("path = ''").select("host", F.col("pages").alias("all_pages"))
     near = total.join(roots, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
 
     def build(key, table):
-        found = deduce(table.select(["token", "path", "pages", "print", "seen", "linked"]).to_pylist(), table["all_pages"][0].as_py())
+        found = deduce(table.select(["token", "path", "pages", "print", "seen", "linked", "times"]).to_pylist(), table["all_pages"][0].as_py())
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([json.dumps(found)], pa.string())})
 
     return near.groupBy("host").applyInArrow(build, "host string, template string")
@@ -263,7 +268,7 @@ def main_text(page: str, template: str | None = None) -> str:
     runs, paths = blocks(page)
     main, own = _read(template) if template else ("", frozenset())
     if not main or main not in paths:
-        tokens = [{"token": run_hash("", p), "path": p, "pages": 2, "print": 0, "seen": 0, "linked": 0} for p in [*paths, ""]]
+        tokens = [{"token": run_hash("", p), "path": p, "pages": 2, "print": 0, "seen": 0, "linked": 0, "times": 2 * paths.get(p, 1)} for p in [*paths, ""]]
         at = {t["path"]: t for t in tokens}
         for path, aside, text, linked in runs:
             if not aside:
