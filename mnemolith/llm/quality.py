@@ -142,5 +142,6 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     out = out.withColumn("base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("js_classes") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("js_words") <= MAX_WORD_DISTANCE, F.lit(True))
     if keep_columns:
-        return out.select("_row.*", kept.alias("_kept"))
+        # a verdict that isn't deterministic by name stays where it is: moved into a filter below, its shared parts would be computed for each use
+        return out.select("_row", (kept & (F.monotonically_increasing_id() >= 0)).alias("_kept")).select("_row.*", "_kept")
     return out.select(F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "js_classes", "js_words")
