@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,26 +30,43 @@ def let(value: Column, body) -> Column:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir; a temporary one is set only where that setting is missing, as in local tests."""
+    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir. Where that is missing, a folder in the warehouse, or a temporary one if all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolith-"))
+        own = tempfile.mkdtemp(prefix="mnemolith-") if sc.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
+def _forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle and checkpoint files of results that are no longer referred to; else they wait until the driver runs short of heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that all executors share."""
     _shared_folder(df.sparkSession)
+    _forget(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a compressed table and read again; for intermediate results of some size."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _forget(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*stored: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read any more."""
+    for df in stored:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release() -> None:
     """Gives memory that a finished task has freed back to the system, where the C library can; workers live on between stages."""
     import ctypes

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, release, store
+from .common import cut, drop, release, store
 from .components import components
 from .sketch import bucket, levels
 from .substrings import ODD, PIECE, SPACE, mix, word_hashes
@@ -365,7 +365,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = star.join(side(heads, 1), "g1").join(side(heads, 2), "g2")
     inside = side(heads.where("k > 1"), 1).join(side(members, 2), g1 == g2).where("u != v")
     pairs = cut(signed(star.unionByName(inside.select(*star.columns)), percent).distinct())
-    links = cut(verify(pairs, texts_of(pairs), n, percent))
+    texts = texts_of(pairs)
+    links = cut(verify(pairs, texts, n, percent))
+    drop(texts)
     labels = components(links)
     named = cut(members.select("g", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", F.coalesce("label", "rep").alias("label")))
     full = members.select("g", "rep", "n", "sig").join(named, ["g", "rep"])
@@ -375,8 +377,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
     within = m1.join(mixed, F.col("g1") == F.col("g"), "left_semi").join(m2, g1 == g2).where("u < v and l1 != l2")
     pairs = cut(signed(across.unionByName(within.select(*across.columns)), percent).distinct())
-    found = verify(pairs, texts_of(pairs), n, percent)
-    final = components(cut(links.unionByName(found)))
+    drop(held)
+    texts = texts_of(pairs)
+    found = cut(verify(pairs, texts, n, percent))
+    drop(texts)
+    # what is known of components stands for its links
+    final = components(found.unionByName(labels.where("id != label").select(F.col("id").alias("u"), F.col("label").alias("v")))) if found.limit(1).count() else labels
     label = members.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("label"))
     out = sets.select("id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
     kind = docs.schema[id_col].dataType
