@@ -22,7 +22,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Above this code point, letter and number classes depend on the Unicode version of the library, so its own splitter is asked.
 STABLE = "[^\x00-ԯ‐-‧‰-⁞₠-€]"
 #: Words kept with their tokens in each Python worker; a full cache is emptied, which changes no result.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 SLICE_CHARS = 1_000_000
 
 
@@ -222,7 +222,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         bpe = coder(vocab_path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, to in slices(texts, 1_000_000):
+            for at, to in slices(texts, 2_000_000):
                 part = [x or "" for x in texts.slice(at, to - at).to_pylist()]
                 out = bpe.encode(part)
                 ids = [x[0] for x in out]
