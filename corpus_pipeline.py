@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; of rows that repeat both id and text, one."""
-    kept = jaccard_components(docs).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
+    """One document of each group of near duplicates, that of the least id; of rows that repeat both id and text, one. Near: 0.8 or more of the five-word shingles in common."""
+    kept = jaccard_components(docs, n=5, percent=80).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
     both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return both.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
 

@@ -63,3 +63,25 @@ def test_pipeline(spark, docs):
             assert now.columns == docs.columns and 0 < now.count() <= 3 * before.count()
         now = now.cache()
     assert now.where("n_tokens > 0").count() == now.count()
+
+
+def test_pipeline_near_duplicates(spark):
+    """The stage against brute force, with pairs from 0.7 to 0.95 that each differ in a last run of words."""
+    import corpus_pipeline
+
+    def fives(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, kept, near = [], set(), 0
+    for k, edits in enumerate([5, 8, 10, 12, 18, 19, 20, 21, 22, 23, 24, 30, 35] * 3):
+        a = [f"w{k}x{j}" for j in range(200)]
+        b = a[: 200 - edits] + [f"v{k}x{j}" for j in range(edits)]
+        texts = " ".join(a), " ".join(b)
+        x, y = map(fives, texts)
+        same = 10 * len(x & y) >= 8 * len(x | y)
+        near += same and len(x & y) < 0.82 * len(x | y)
+        rows += [(2 * k + i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+        kept |= {2 * k} if same else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert near >= 3 and {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == kept
