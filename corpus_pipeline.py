@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more share; one of which nothing but white space stays goes, and n_chars follows the text."""
-    out = dedup_lines(docs)
+    """Documents without the lines that ten or more share, each of which stays at its first occurrence; one of which nothing but white space stays goes, and n_chars follows the text."""
+    out = dedup_lines(docs, keep_first=True)
     whole = out.withColumn("text", F.when(F.col("_n_dropped") > 0, F.col("_kept_text")).otherwise(F.col("text")))
     whole = whole.where((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return whole.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)

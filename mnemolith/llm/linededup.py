@@ -27,12 +27,13 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(ascii_lower(text), "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)))
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False) -> DataFrame:
     """(id, text_hash, drop): for documents that lose lines, a bitmap of them in 64-bit words, from line 0 on.
 
     A line key of min_code_points or more found in min_documents or more distinct ids is dropped everywhere;
     rows that repeat an id count as one document. Keys are compared by 128 bits of hash. Documents that keep all lines
-    have no row. Null ids count as one document.
+    have no row. Null ids count as one document. With keep_first, a key stays at its first occurrence, by id, hash of the
+    text and position.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     lines = base.select("_id", F.xxhash64("_text").alias("_th"), F.posexplode(line_keys(F.col("_text"))).alias("_pos", "_key"))
@@ -41,8 +42,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the first row of a document in its range stands for all its occurrences when documents are counted
     ordered = cut(lines.repartitionByRange("_h", "_g", "_id").sortWithinPartitions("_h", "_g", "_id", "_pos"))
     # cut, so that both sides of the join are exchanges of its own and the rows of a frequent line can be split among tasks
-    common = cut(ordered.groupBy("_h", "_g", "_id").agg(F.lit(1)).groupBy("_h", "_g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_documents).select("_h", "_g"))
-    dropped = ordered.join(common, ["_h", "_g"], "left_semi")
+    if keep_first:
+        per_document = ordered.groupBy("_h", "_g", "_id").agg(F.min(F.struct("_id", "_th", "_pos")).alias("_at"))
+        common = cut(per_document.groupBy("_h", "_g").agg(F.count("*").alias("_docs"), F.min("_at").alias("_first")).where(F.col("_docs") >= min_documents).select("_h", "_g", "_first"))
+        dropped = ordered.join(common, ["_h", "_g"]).where(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first")))
+    else:
+        common = cut(ordered.groupBy("_h", "_g", "_id").agg(F.lit(1)).groupBy("_h", "_g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_documents).select("_h", "_g"))
+        dropped = ordered.join(common, ["_h", "_g"], "left_semi")
     per = dropped.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_places"))
     word = F.lit(64)
 
@@ -56,12 +62,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per.select(F.col("_id").alias(id_col), F.col("_th").alias("text_hash"), let(F.col("_places"), bitmap).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False) -> DataFrame:
     """All rows and columns of docs with _n_lines, _n_dropped and _kept_text: the lines that stay, joined by newlines.
 
-    A null or empty text is one empty line. Repeated rows are each treated alike. Any number of lines may go.
+    A null or empty text is one empty line. Repeated rows are each treated alike. Any number of lines may go. With
+    keep_first, each line stays once in the corpus.
     """
-    bits = keep_bitmaps(docs, id_col, text_col, min_documents, min_code_points).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("drop").alias("_drop"))
+    bits = keep_bitmaps(docs, id_col, text_col, min_documents, min_code_points, keep_first).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("drop").alias("_drop"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text).alias("_rth"))
     both = rows.join(bits.hint("shuffle_hash"), F.expr("_rid <=> _id AND _rth = _th"), "left")

@@ -85,3 +85,20 @@ def test_pipeline_near_duplicates(spark):
         kept |= {2 * k} if same else {2 * k, 2 * k + 1}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert near >= 3 and {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == kept
+
+
+def test_pipeline_lines(spark):
+    """Of twelve exact copies, one stays whole; a line of ten documents stays in the first of them, whose other lines all stay."""
+    import corpus_pipeline
+
+    copy = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
+    texts = [f"own {i}\n{'Menu' if i % 2 else ' menu '}\nmore {i}\nmenu" for i in range(10)] + [copy] * 12
+    rows = [(40 - i, t, "en", "s1", len(t)) for i, t in enumerate(texts)] + [(None, copy, "en", "s1", len(copy)), (60, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows + rows[-3:-2], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.lines(spark, docs, "")
+    got = {(r.doc_id, r.text, r.n_chars) for r in out.collect()}
+    want = {(40 - i, f"own {i}\nmore {i}", len(f"own {i}\nmore {i}")) for i in range(9)} | {(31, "own 9\nMenu\nmore 9", 17), (None, copy, len(copy))}
+    assert {x for x in got if x[1]} == want and {x for x in got if not x[1]} == {(60, "", 0)}
+    # without the null id, the copy of the least id is the first
+    some = corpus_pipeline.lines(spark, docs.where("doc_id < 31"), "").collect()
+    assert [(r.doc_id, r.text) for r in some] == [(19, copy)] * 2
