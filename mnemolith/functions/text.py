@@ -73,7 +73,7 @@ def tokens(text, least: int = 1) -> Column:
 
 
 def file_ids(text) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring(F.coalesce(_col(text), F.lit("")), 1, 100_000), F.lit(f"({FILE_ID})"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"({FILE_ID})"), F.lit(1)))
 
 
 def source_refs(text) -> Column:

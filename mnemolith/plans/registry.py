@@ -313,10 +313,10 @@ def content_type(spark, d):
 NOTED = "n AS (SELECT doc_id, substr(text, 1, 200) || ' see file_' || substr(sha256(text), 1, 8) || ' and rlm_chunk:' || doc_id || '/a.b. then message:m' || (doc_id % 10) || ' file_' || substr(sha256(text), 1, 8) || chr(10) || '[LCM File IDs: file_abcdef]' AS t FROM documents)"
 
 
-def noted(spark, d):
+def noted(spark, d, text="text"):
     """Documents with references in them, which the supplied texts lack."""
     ref = F.concat(F.lit("file_"), F.substring(fx.content_hash("text"), 1, 8))
-    return docs(spark, d).select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" see "), ref, F.lit(" and rlm_chunk:"), F.col("doc_id").cast("string"), F.lit("/a.b. then message:m"), (F.col("doc_id") % 10).cast("string"), F.lit(" "), ref, F.lit("\n[LCM File IDs: file_abcdef]")).alias("t"))
+    return docs(spark, d).select("doc_id", F.concat(text, F.lit(" see "), ref, F.lit(" and rlm_chunk:"), F.col("doc_id").cast("string"), F.lit("/a.b. then message:m"), (F.col("doc_id") % 10).cast("string"), F.lit(" "), ref, F.lit("\n[LCM File IDs: file_abcdef]")).alias("t"))
 
 
 @query(f"WITH {NOTED} SELECT doc_id, 'file_' || substr(sha256(text), 1, 8) || ',file_abcdef' AS ids FROM n JOIN documents USING (doc_id)")
@@ -331,7 +331,7 @@ def source_refs_extract(spark, d):
 
 @query(f"WITH {NOTED} SELECT doc_id, rtrim(regexp_replace(t, '\\s*\\[LCM File IDs: [^\\]]*\\]\\s*$', ''), ' ') AS stripped FROM n")
 def footer_strip(spark, d):
-    return noted(spark, d).select("doc_id", fx.strip_footers("t").alias("stripped"))
+    return noted(spark, d, F.substring("text", 1, 200)).select("doc_id", fx.strip_footers("t").alias("stripped"))
 
 
 @query("SELECT doc_id, 'ltm_' || substr(sha256(source || chr(31) || 'doc' || chr(31) || doc_id), 1, 32) AS item_id, 'session-' || substr(sha256(source), 1, 24) AS session_key FROM documents")

@@ -336,3 +336,14 @@ def test_upserts(spark):
     items = spark.createDataFrame([(1, {"a": "1"})], "item_id long, metadata map<string,string>")
     ups = spark.createDataFrame([(1, {"a": "2", "b": "3"})], "item_id long, metadata map<string,string>")
     assert content.merge_metadata(items, ups).first().metadata == {"a": "2", "b": "3"}
+
+
+def test_references_after_long_text(spark, tmp_path):
+    from mnemolith.plans import registry
+
+    late = "x" * 120_000 + " file_abc123 source message:m77 "
+    assert one(spark, fx.file_ids("t"), t=late) == ["file_abc123"]
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = registry.file_ids_extract(spark, str(tmp_path)).first().ids.split(",")
+    assert ids[0] == "file_abc123" and len(ids) == 3 and ids[2] == "file_abcdef"
+    assert registry.source_refs_extract(spark, str(tmp_path)).first().refs == "message:m77,rlm_chunk:1/a.b,message:m1"
