@@ -13,11 +13,10 @@ from .lexical import ranked
 BLOCK = 2_000
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", positive: bool = True) -> DataFrame:
-    """(query_id, id, score, rank): the k vectors most like each query vector, of those with a score over 0.
+def cosine_scan(vectors: DataFrame, queries: DataFrame, pick, schema: str, id_col: str, vector_col: str, positive: bool) -> DataFrame:
+    """What pick(query_id, ids, scores) makes of the matches of each query in each batch of vectors: a record batch of schema.
 
-    Each block of queries is broadcast, its size bounded by BLOCK; a task keeps its best k for each query, so a pass
-    shuffles k rows for each query and task. Vectors of other lengths, and null or zero ones, don't match.
+    Each block of queries is broadcast, its size bounded by BLOCK. Vectors of other lengths, and null or zero ones, don't match.
     """
     asked = queries.select("query_id", F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and size(v) > 0").orderBy("query_id")
     block, out = [], None
@@ -49,11 +48,10 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                         s[s <= 0] = -2
                     for i, query_id in enumerate(query_ids):
                         good = np.flatnonzero(s[i] > -2)
-                        best = good[np.lexsort((ids[at][good], -s[i][good]))[:k]]
-                        if len(best):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query_id)), pa.array(ids[at][best]), pa.array(s[i][best])], names=["query_id", "id", "score"])
+                        if len(good):
+                            yield pick(query_id, ids[at][good], s[i][good])
 
-        found = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
 
     for r in asked.toLocalIterator():
@@ -63,9 +61,35 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
             block = []
     if block or out is None:
         scan(block)
+    return out
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", positive: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors most like each query vector, of those with a score over 0.
+
+    A task keeps its best k of a batch for each query. Vectors match as in cosine_scan.
+    """
+
+    def best(query_id, ids, scores):
+        at = np.lexsort((ids, -scores))[:k]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), query_id)), pa.array(ids[at]), pa.array(scores[at])], names=["query_id", "id", "score"])
+
+    out = cosine_scan(vectors, queries, best, "query_id bigint, id bigint, score double", id_col, vector_col, positive)
     return ranked(out, ["query_id"], ["id"], k).withColumnRenamed("id", id_col)
 
 
+def cosine_hits(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, hits, least): how many vectors have a score over 0, and the least of these scores; counted in the scan, nothing is ranked."""
+
+    def count(query_id, ids, scores):
+        return pa.RecordBatch.from_arrays([pa.array([query_id]), pa.array([len(ids)], pa.int64()), pa.array([scores.min()])], names=["query_id", "hits", "least"])
+
+    out = cosine_scan(vectors, queries, count, "query_id bigint, hits bigint, least double", id_col, vector_col, True)
+    return out.groupBy("query_id").agg(F.sum("hits").alias("hits"), F.min("least").alias("least"))
+
+
+
+
 def encode_missing(items: DataFrame, cache: DataFrame, encode, model: str, dimensions: int) -> tuple[DataFrame, DataFrame]:
     """(new cache rows, counts): items whose (model, content hash) the cache lacks are encoded once per content, in Arrow batches.
 

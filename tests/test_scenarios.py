@@ -347,3 +347,13 @@ def test_references_after_long_text(spark, tmp_path):
     ids = registry.file_ids_extract(spark, str(tmp_path)).first().ids.split(",")
     assert ids[0] == "file_abc123" and len(ids) == 3 and ids[2] == "file_abcdef"
     assert registry.source_refs_extract(spark, str(tmp_path)).first().refs == "message:m77,rlm_chunk:1/a.b,message:m1"
+
+
+def test_more_than_a_million_positive(spark, tmp_path):
+    from mnemolith.plans import registry
+
+    n = 1_000_010
+    v = F.when(F.col("id") == n - 1, F.array(F.lit(0.1), F.lit(1.0))).when(F.col("id") == n - 2, F.array(F.lit(-1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = registry.vector_positive_only(spark, str(tmp_path)).collect()
+    assert sorted(r.query_id for r in out) == [0, 1, 2, 3, 4] and {(r.hits, r.least) for r in out} == {(n - 1, 0.099504)}
