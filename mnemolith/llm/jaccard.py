@@ -24,7 +24,7 @@ from .bpe import slices
 from .common import cut, drop, release, store
 from .components import components
 from .sketch import bucket, levels
-from .substrings import ODD, PIECE, SPACE, mix, word_hashes
+from .substrings import ODD, PIECE, mix, word_hashes
 
 N, PERCENT = 4, 85
 #: Token rows told apart together, and holders of a token in a block of the pair search.
@@ -49,7 +49,7 @@ def shingles(texts: list[bytes], n: int = N):
             total += len(texts[to]) + 1
             to += 1
         data = LOWER[np.frombuffer(b"\n".join(texts[row:to]) + b"\n", np.uint8)]
-        starts, words = word_hashes(data) if total <= 8 * PIECE else long_hashes(data)
+        starts, words = word_hashes(data)
         begins = np.cumsum([0] + [len(x) + 1 for x in texts[row:to]][:-1])
         of = np.searchsorted(begins, starts, "right") - 1
         count = np.bincount(of, minlength=to - row)
@@ -71,20 +71,6 @@ def shingles(texts: list[bytes], n: int = N):
         row = to
 
 
-def long_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes over parts, cut at white space, so that the powers needed stay few."""
-    starts, words, at = [], [], 0
-    while at < len(data):
-        end = min(len(data), at + PIECE)
-        while end < len(data) and not SPACE[data[end - 1]]:
-            end += 1
-        s, w = word_hashes(data[at:end])
-        starts.append(s + at)
-        words.append(w)
-        at = end
-    return np.concatenate(starts), np.concatenate(words)
-
-
 def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id, n, d1, d2, g, prefix, sig): size and digest of each set, its group, prefix and parity signature. rows: (id, text as binary).
 
@@ -101,7 +87,8 @@ def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int =
                 for row, end, of, h in shingles(texts.slice(at, to - at).to_pylist(), n):
                     docs = end - row
                     level = common[bucket(h)].astype(np.uint64)
-                    seq = np.argsort((of.astype(np.uint64) << np.uint64(52)) | (level << np.uint64(46)) | (h >> np.uint64(18)))
+                    seq = np.argsort(h)
+                    seq = seq[np.argsort(((of.astype(np.uint64) << np.uint64(6)) | level)[seq], kind="stable")]
                     of, h = of[seq], h[seq]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])

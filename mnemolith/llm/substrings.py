@@ -5,26 +5,33 @@ the one of least hash, then the leftmost. Consecutive windows with the same mini
 Equal windows have equal minimisers, and a common phrase is only chosen where all of its surroundings are as common, so
 buckets stay small. Of equal super-k-mers all but the earliest repeat it whole, which 128 bits of hash tell without
 their text. Only the earliest of those that share a minimiser with different ones travel, as one packed string
-each, to the bucket of their minimiser, where their windows are compared word by word.
+each, to the bucket of their minimiser, where sorting brings equal windows together word by word. A minimiser that many
+strings share is taken apart further, by window, so that no bucket grows with the corpus.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import release, store
+from .common import cut, release, store
 from .sketch import bucket, levels
 
 K, M = 20, 6
 #: Bytes of text looked at together, and super-k-mers held until those that repeat among them are told apart.
 PIECE, HELD = 1 << 20, 500_000
+#: A minimiser that more strings share is no bucket of its own: its windows are dealt out one by one.
+HOT = 4_096
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NEXT_SPACE = re.compile(rb"[\t-\r ]").search
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places of grams in a piece: one of PIECE bytes and a last word has fewer.
 PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -49,14 +56,27 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word in a run of UTF-8 bytes that ends in white space, and a 64-bit hash of its bytes."""
-    space = SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+    """Start of each word in a run of UTF-8 bytes that ends in white space, and a 64-bit hash of its bytes.
+
+    Bytes are summed in blocks, whatever the length of the run; the parts of a word that spans blocks are added up.
+    """
+    edge = np.flatnonzero(np.diff(SPACE[raw], prepend=True))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[raw] * power[: len(raw)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    total = np.zeros(len(starts), np.uint64)
+    power, inverse = powers(min(PIECE, len(raw)) + 1)
+    for at in range(0, len(raw), PIECE):
+        part = raw[at : at + PIECE]
+        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part))
+        if first == last:
+            continue
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * power[: len(part)], out=sums[1:])
+        begin, end = np.maximum(starts[first:last] - at, 0), np.minimum(ends[first:last] - at, len(part))
+        own = (sums[end] - sums[begin]) * inverse[begin]
+        if starts[first] < at:
+            own[:1] *= np.uint64(pow(int(ODD), int(at - starts[first]), 1 << 64))
+        total[first:last] += own
+    return starts, mix(total + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
@@ -69,6 +89,7 @@ def gram_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
 def super_kmers(hashes: np.ndarray, of: np.ndarray, k: int, m: int, common: np.ndarray):
     """(minimiser, hash of all words, first window, windows) of each super-k-mer of words with documents ``of``, in one piece of under 2^20 words."""
     n = len(hashes) - k + 1
+    assert len(hashes) <= int(PLACE)
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.view(np.uint64), none.view(np.uint64), none, none
@@ -94,9 +115,9 @@ def super_kmers(hashes: np.ndarray, of: np.ndarray, k: int, m: int, common: np.n
 
 
 def pieces(texts: list[bytes]):
-    """(bytes, row of each text in them, word number that each begins with): short texts together, a long one in parts.
+    """(bytes, first row, row after the last, or None for one long text): texts to be looked at together.
 
-    The parts of a long text overlap by k - 1 words, which the reader says by sending the byte to go on from.
+    A long text stands alone, to be read in parts.
     """
     row = 0
     while row < len(texts):
@@ -115,7 +136,8 @@ def pieces(texts: list[bytes]):
 def word_runs(texts: list[bytes], k: int):
     """(row or rows, word hashes, document of each word, first word of each document, number of the first word): pieces of some texts.
 
-    Windows of k words lie in exactly one piece.
+    Windows of k words lie in exactly one piece: parts of a long text, each hashed once, overlap by k - 1 words. A part holds
+    PIECE bytes and what is left of their last word, so it has fewer than 2^20 words, however long a word is.
     """
     for raw, row, to in pieces(texts):
         if to is not None:
@@ -124,20 +146,16 @@ def word_runs(texts: list[bytes], k: int):
             of = np.searchsorted(begins, starts, "right") - 1
             yield row, hashes, of, np.searchsorted(of, np.arange(to - row)), 0
             continue
-        byte = word = 0
-        while True:
-            end = byte + PIECE
-            while end < len(raw) and not SPACE[raw[end]]:
-                end += 1
-            starts, hashes = word_hashes(np.frombuffer(raw[byte:end] + b"\n", np.uint8))
-            if len(starts) < k and end < len(raw):  # words of enormous length
-                end = len(raw)
-                starts, hashes = word_hashes(np.frombuffer(raw[byte:end] + b"\n", np.uint8))
-            yield row, hashes, np.zeros(len(hashes), np.int64), np.zeros(1, np.int64), word
-            if end >= len(raw):
-                break
-            word += len(starts) - (k - 1)
-            byte += int(starts[len(starts) - (k - 1)])
+        byte, word, carry = 0, 0, np.zeros(0, np.uint64)
+        while byte < len(raw):
+            space = NEXT_SPACE(raw, min(byte + PIECE, len(raw)))
+            end = space.start() if space else len(raw)
+            carry = np.concatenate([carry, word_hashes(np.frombuffer(raw[byte:end] + b"\n", np.uint8))[1]])
+            byte = end
+            if len(carry) >= k or (byte >= len(raw) and not word):
+                yield row, carry, np.zeros(len(carry), np.int64), np.zeros(1, np.int64), word
+            over = max(0, len(carry) - (k - 1))
+            carry, word = carry[over:], word + over
 
 
 def document_kmers(texts: list[bytes], k: int, m: int, common: np.ndarray):
@@ -147,7 +165,14 @@ def document_kmers(texts: list[bytes], k: int, m: int, common: np.ndarray):
         yield of[at] + row, mins, whole, at - first[of[at]] + word, n
 
 
+def _bits(k: int, m: int) -> tuple[int, int]:
+    """Bits of a super-k-mer's windows and of a text's hash, which share the low 32 of its place."""
+    n = int(k - m + 1).bit_length()
+    return n, 32 - n
+
+
 def _find(k: int, m: int, shared):
+    n_bits, th_bits = _bits(k, m)
     names = ["h", "s", "id", "loc", "salt"]
 
     def run(batches):
@@ -171,7 +196,7 @@ def _find(k: int, m: int, shared):
             ids, th, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for at, to in slices(texts):
                 for row, mins, whole, first, n in document_kmers(texts.slice(at, to - at).to_pylist(), k, m, common):
-                    held.append((mins.view(np.int64), whole.view(np.int64), ids[at:to][row], first, (n << 16) | th[at:to][row]))
+                    held.append((mins.view(np.int64), whole.view(np.int64), ids[at:to][row], first, (n << th_bits) | th[at:to][row]))
                     size += len(mins)
                     if size >= HELD:
                         yield from told()
@@ -208,19 +233,18 @@ def _compare(k: int):
     def settle(group):
         if len(group) < 2:
             return
-        earliest: dict[bytes, tuple] = {}
-        cut = []
-        for _, id_, _, at, packed in group:
+        later, windows = [], []
+        for s, (_, id_, _, at, packed) in enumerate(group):
             words = packed.split()
-            windows = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-            cut.append(windows)
-            for i, w in enumerate(windows):
-                if (x := earliest.get(w)) is None or (id_, at + i) < x:
-                    earliest[w] = id_, at + i
-        for (_, id_, th, at, _), windows in zip(group, cut):
-            later = bytes(earliest[w] != (id_, at + i) for i, w in enumerate(windows))
-            if any(later):
-                yield id_, th, at, len(windows), later
+            later.append(bytearray(len(words) - k + 1))
+            windows += [(b" ".join(words[i : i + k]), id_, at + i, s, i) for i in range(len(words) - k + 1)]
+        windows.sort()
+        for a, b in zip(windows, windows[1:]):
+            if a[0] == b[0] and (a[1:3] != b[1:3] or later[a[3]][a[4]]):
+                later[b[3]][b[4]] = 1
+        for (_, id_, th, at, _), own in zip(group, later):
+            if any(own):
+                yield id_, th, at, len(own), bytes(own)
 
     def run(batches):
         group, now = [], None
@@ -239,6 +263,35 @@ def _compare(k: int):
     return run
 
 
+def _windows(k: int):
+    """(id, th, at, window) of each window of packed strings."""
+    names = ["id", "th", "at", "window"]
+
+    def run(batches):
+        for batch in batches:
+            for part in range(0, batch.num_rows, 1_000):
+                rows = batch.slice(part, 1_000)
+                ids, th, at, out = [], [], [], []
+                for i, t, a, packed in zip(*(rows.column(c).to_pylist() for c in range(1, 5))):
+                    words = packed.split()
+                    n = len(words) - k + 1
+                    ids += [i] * n
+                    th += [t] * n
+                    at += range(a, a + n)
+                    out += [b" ".join(words[x : x + k]) for x in range(n)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (ids, th, at)], pa.array(out, pa.binary())], names=names)
+
+    return run
+
+
+def _dealt_out(packed: DataFrame, k: int) -> DataFrame:
+    """(id, th, at, n, later) of the windows that start earlier, for strings of minimisers that many share: each window meets the first of its like, which is counted before the shuffle."""
+    each = packed.mapInArrow(_windows(k), "id bigint, th bigint, at bigint, window binary")
+    first = each.groupBy("window").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("window", "first")
+    again = each.join(first, "window").where(F.struct("id", "at") > F.col("first"))
+    return again.select("id", "th", "at", F.lit(1).cast("long").alias("n"), F.lit(None).cast("binary").alias("later"))
+
+
 def _remove(k: int):
     def run(batches):
         for batch in batches:
@@ -267,33 +320,41 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_words, n_removed, kept_text): each text without the words of windows that also start earlier.
 
     Earlier is a smaller id, or an earlier word of the same id; all windows are judged on the input. Null and empty texts
-    have no words; a null id comes before all others (and
-    stands for the least long). Rows that share id and text are one document, judged once each;
-    rows that share only the id are compared by word number, like parts of it. Ids must be whole numbers.
+    have no words, an empty table gives an empty result. Null ids come before all others, in order of a hash of
+    their texts. Rows that share id and text are one document, judged once each; rows that share only the id
+    are compared by word number, like parts of it. Ids must be whole numbers. Texts and words may have any length. Only id and
+    text are read, whatever other columns there are.
 
     Text is shuffled once, to meet what was found about its document. Repeats that meet in one task are settled there, so of
     a passage that many documents share each task sends one super-k-mer.
     """
-    if m > k or k - m + 1 >= 1 << 16:
-        raise ValueError("an m-gram must fit in a window")
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
-    )
+    n_bits, th_bits = _bits(k, m)
+    if m > k or th_bits < 16:
+        raise ValueError("an m-gram must fit in a window of moderate length")
+    hashed, text = F.xxhash64(F.col(text_col).cast("string")), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    least = F.lit(-(1 << 63)).cast("long") + hashed.bitwiseAND(F.lit((1 << 61) - 1))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("id"), F.col(id_col).isNull().alias("no_id"), hashed.bitwiseAND(F.lit((1 << th_bits) - 1)).alias("th"), text.alias("text"))
     common = levels(rows.select("text"), lambda texts: (gram_hashes(x[1], m) for x in word_runs(texts, k)))
     shared = docs.sparkSession.sparkContext.broadcast(common)
     found = rows.select("id", "th", "text").mapInArrow(_find(k, m, shared), "h bigint, s bigint, id bigint, loc bigint, salt bigint")
-    at, n, th = F.shiftright("loc", 32), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)), F.col("loc").bitwiseAND(F.lit(0xFFFF))
+    at, n, th = F.shiftright("loc", 32), F.shiftright("loc", th_bits).bitwiseAND(F.lit((1 << n_bits) - 1)), F.col("loc").bitwiseAND(F.lit((1 << th_bits) - 1))
     order = F.rank().over(Window.partitionBy("h", "salt", "s").orderBy("id", at))
     bucket_ = Window.partitionBy("h", "salt")
     judged = found.withColumn("place", order).withColumn("many", F.min("s").over(bucket_) != F.max("s").over(bucket_)).withColumn("whole", (F.col("salt") > 0) | (F.col("place") > 1)).where("whole or many")
     judged = store(judged.select("h", "id", th.alias("th"), at.alias("at"), n.alias("n"), "whole"))
-    texts = rows.select("id", "th", "text")  # shuffled once: both joins need the same columns of it
-    ask = judged.where("not whole").groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "n")).alias("kmers"))
-    packed = texts.join(ask.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, packed binary")
+    texts = rows.select("id", "th", "no_id", "text")  # shuffled once: both joins need the same columns of it
+    ask = judged.where("not whole")
+    hot = cut(ask.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
+    asks = ask.groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "n")).alias("kmers"))
+    packed = texts.join(asks.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, packed binary")
+    some = hot.limit(1).count() > 0
+    if some:
+        packed = store(packed.join(hot, "h", "left"))
+        out = _dealt_out(packed.where("hot"), k)
+        packed = packed.where("hot is null").drop("hot")
     later = packed.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(k), "id bigint, th bigint, at bigint, n bigint, later binary")
     marks = judged.where("whole").select("id", "th", "at", "n", F.lit(None).cast("binary").alias("later")).unionByName(later)
-    marks = marks.groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "later")).alias("marks"))
-    done = texts.join(marks.hint("merge"), ["id", "th"], "left").select("id", "text", "marks").mapInArrow(_remove(k), "key bigint, n_words bigint, n_removed bigint, kept binary")
-    key = F.when(F.col("key") != lowest, F.col("key")).cast(docs.schema[id_col].dataType)
-    return done.select(key.alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
+    marks = (marks.unionByName(out) if some else marks).groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "later")).alias("marks"))
+    done = texts.join(marks.hint("merge"), ["id", "th"], "left").select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "text", "marks")
+    done = done.mapInArrow(_remove(k), "key bigint, n_words bigint, n_removed bigint, kept binary")
+    return done.select(F.col("key").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
