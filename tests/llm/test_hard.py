@@ -5,7 +5,10 @@ import time
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from mnemolith.llm import substrings
+from mnemolith.llm.html import extract_text, main_text
 from mnemolith.llm.linededup import dedup_lines
 from mnemolith.llm.substrings import dedup_substrings, word_hashes
 
@@ -68,3 +71,61 @@ def test_first_lines_stay(spark):
     rows = [(i, f"head {i}\nshared\n x \nshared") for i in range(12)]
     out = {r.doc_id: r._kept_text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True).collect()}
     assert out[0] == "head 0\nshared\n x " and all(out[i] == f"head {i}" for i in range(1, 12))
+
+
+HOSTILE = {
+    "nested": "<div>" * 5000, "nested text": "<div>a b c" * 5000, "inline": "<b>" * 5000 + "</b>" * 5000, "inline text": "<b>x" * 5000, "quotes": "<a '" * 8000, "values": '<a b="' * 8001,
+    "brackets": "<" * 50_000, "names": "<a" * 50_000, "items": "<blockquote>" * 3000 + "<li>x" * 3000, "buttons": "<button>x" * 5000, "comments": "<!--x" * 5000,
+    "spans": "<svg><title>" * 4000, "equals": "<a =" + "= " * 20_000, "ends": "<div>" * 5000 + "</span>" * 5000 + "</p>" * 5000, "crossed": "<b><div>" + "<i>" * 5000 + "</b>" * 5000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages(name):
+    start = time.time()
+    main_text(HOSTILE[name])
+    assert time.time() - start < 1
+
+
+def site(names, texts):
+    """Pages whose parts are told apart by class names only: a menu, an advert that changes, the article, a footer."""
+    menu, ad, article, foot = names
+    for i, text in enumerate(texts):
+        yield i, f"http://site.example.com/{i}", f'<body><div class="{menu}"><a href="/">Home</a> <a href="/x">All</a></div><div class="{ad}">Buy number {i * 7919 % 1000} now.</div><div class="{article}"><h1>T{i}</h1><p>{text}</p></div><div class="{foot}">Made by us</div></body>'
+
+
+@pytest.mark.parametrize("names", [("z0", "z1", "z2", "z3"), ("x101", "x102", "x103", "x104"), ("qa", "qb", "qc", "qd")])
+def test_names_tell_slots_apart(spark, names):
+    texts = [f"Words of page {i} that no other page has, " + " ".join(f"w{i}{j}" for j in range(20)) for i in range(8)]
+    out = extract_text(spark.createDataFrame(list(site(names, texts)), "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"T{i} {t}" for i, t in enumerate(texts)}
+
+
+def test_numbered_elements(spark):
+    texts = [" ".join(f"w{i}{j}" for j in range(40)) for i in range(8)]
+    rows = [(i, u, h.replace('class="post"', f'class="post" id="post-{i * 37}"')) for i, u, h in site(("menu1", "ad1", "post", "foot1"), texts)]
+    out = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"T{i} {t}" for i, t in enumerate(texts)}
+
+
+def test_words_of_a_small_host(spark):
+    """What all pages of a host repeat inside the article is the template's, also on a host of three pages."""
+    texts = [" ".join(f"w{i}{j}" for j in range(60)) + "</p><p>Read more on our site.</p><ul><li><a href='/r'>Related one</a><li><a href='/s'>Related two</a></ul><p>end " + f"{i}" for i in range(3)]
+    rows = [(i, u, h.replace("<body>", "<html><head><meta charset=x><title>t<body>")) for i, u, h in site(("m", "a", "b", "f"), texts)]
+    out = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"T{i} " + " ".join(f"w{i}{j}" for j in range(60)) + f" end {i}" for i in range(3)}
+
+
+def test_pages_with_other_columns(spark):
+    rows = [(i, u, h) for i, u, h in site(("m", "a", "b", "f"), ["some words here"] * 4)] + [(9, "http://site.example.com/9", None), (None, None, "<p>x"), (10, "no host", "<p>y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = pages.withColumns({n: F.lit("x") for n in ("host", "token", "template", "key", "text", "parent", "kind")})
+    want = sorted(map(str, extract_text(pages).collect()))
+    assert sorted(map(str, extract_text(clash).collect())) == want and len(want) == 7
+    assert extract_text(pages.limit(0)).collect() == []
+
+
+def test_unclosed_elements():
+    assert main_text("<html><head><title>T</title><p>one <button>two <p>three</p><select>four") == "one two three four"
+    assert main_text("<p>one <button>two</button> three <svg><path></svg>four<script>five") == "one three four"
+    assert main_text("<p>one<!-- two --> three <p title='a > b'>four <p title=it's>five") == "one three four five"
