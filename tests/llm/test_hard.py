@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from mnemolith.llm import substrings
+from mnemolith.llm import langid, substrings
 from mnemolith.llm.html import extract_text, main_text
 from mnemolith.llm.linededup import dedup_lines
 from mnemolith.llm.substrings import dedup_substrings, word_hashes
@@ -129,3 +129,58 @@ def test_unclosed_elements():
     assert main_text("<html><head><title>T</title><p>one <button>two <p>three</p><select>four") == "one two three four"
     assert main_text("<p>one <button>two</button> three <svg><path></svg>four<script>five") == "one three four"
     assert main_text("<p>one<!-- two --> three <p title='a > b'>four <p title=it's>five") == "one three four five"
+
+
+def grams_of(text):
+    """Buckets of all n-grams of a text, one character at a time."""
+    run = []
+    for c in text:
+        if c.isalpha():
+            run.append(ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+        elif run and run[-1] != 32:
+            run.append(32)
+    if run and run[-1] != 32:
+        run.append(32)
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(run) - n + 1):
+            h = 2166136261
+            for x in run[i : i + n]:
+                h = (h ^ x) * 16777619 % 2**32
+                h ^= h >> 13
+            out.append(h * 2654435761 % 2**32 >> 16)
+    return out
+
+
+def test_language_by_hand(spark, monkeypatch):
+    """Predictions and scores are those of naive Bayes counted one n-gram at a time, with pieces and parts of any size."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    kinds = {"aa": "abcde", "bb": "defgh", "cc": "ghijé", "dd": "xyzßA", "ee": "aeiou"}
+    rows = [(i, "".join(rng.choice(kinds[k] + "  1.") for _ in range(rng.randint(0, 40))), k) for i, k in enumerate(rng.choices(list(kinds), k=120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, prior = {k: Counter() for k in kinds}, Counter(k for _, _, k in rows)
+    for _, text, k in rows:
+        counts[k].update(grams_of(text))
+    want = {}
+    for i, text, _ in rows:
+        own = grams_of(text)
+        logs = {k: math.log(prior[k] / 120) + sum(math.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * 65536)) for g in own) for k in kinds}
+        best = max(logs, key=logs.get)
+        want[i] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if own else ("und", 0.0)
+
+    def check(pieces):
+        out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langid.fit(df)).collect()}
+        assert all(out[i][0] == want[i][0] and abs(out[i][1] - want[i][1]) < 1e-9 for i in want)
+        for text in [t for _, t, _ in rows] + ["ab1", "ab1cd", "1", "a" * 40, "a1 " * 20]:
+            monkeypatch.setattr(langid, "PIECE", pieces)
+            assert (langid.features([text, "x"]) == sum(np.bincount([g], minlength=65536) for g in grams_of(text) + grams_of("x"))).all()
+
+    import numpy as np
+
+    check(3)
+    monkeypatch.setattr(langid, "PART", 2)
+    monkeypatch.setattr(langid, "GATHERED", 64)
+    check(1)
