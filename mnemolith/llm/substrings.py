@@ -222,6 +222,7 @@ def _pack(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["h"] for x in own], pa.int64()), pa.array([ids[a].as_py()] * n, pa.int64()), pa.array([th[a].as_py()] * n, pa.int64()), pa.array([x["at"] for x in own], pa.int64()), pa.array(packed, pa.binary())], names=names
                 )
+        release()
 
     return run
 
@@ -259,6 +260,7 @@ def _compare(k: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
         if out := list(settle(group)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        release()
 
     return run
 
@@ -296,7 +298,7 @@ def _remove(k: int):
     def run(batches):
         for batch in batches:
             keys, texts, marks = batch.column(0), batch.column(1), batch.column(2)
-            for at, to in slices(texts):
+            for at, to in slices(texts, 1_000_000):
                 n, gone, kept = [], [], []
                 for raw, own in zip(texts.slice(at, to - at).to_pylist(), marks.slice(at, to - at).to_pylist()):
                     words = raw.split()
@@ -312,6 +314,7 @@ def _remove(k: int):
                     gone.append(n[-1] - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_words", "n_removed", "kept"])
+        release()
 
     return run
 
