@@ -2,24 +2,23 @@
 
 Within a source, documents stand in an order of their sizes. The expected copies of each, target / source size, are
 summed along that order, one random offset of the source is added, and a document is emitted once for every
-integer that the sum crosses at it. Some orders and offsets are drawn for a source, the first in order of size, where
-the words taken miss the target by less than the largest document; the draw that comes nearest is used. What a draw
-takes follows from the counts of documents by size, so trying one costs no pass over documents.
+integer that the sum crosses at it. In order of size, the words taken miss the target by less than the largest document,
+whatever the offset: what one size takes too much or too little, the next one gives back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
-#: Rows of one source and size are dealt to so many salts, so that no group of them meets in one task.
-SALTS = 1024
-#: Orders and offsets drawn for each source.
-DRAWS = 32
+#: Hexadecimal digits of a hash by which rows of one source and size are dealt, so that no group of them meets in one task.
+SALT_DIGITS = 3
+#: Offsets have 20 binary places, which keeps rank * rate + offset exact where the rate is a whole number.
+OFFSET_DIGITS = 5
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -46,40 +45,37 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
     return src.select("_key", "_source_size", F.least(F.col("_cap"), F.coalesce(F.col("_weight") * F.col("_level"), F.col("_cap"))).alias("_target"))
 
 
+def offset_of(key: Column, seed: int) -> Column:
+    """The random offset of a source, 0 to 1: the first digits of a hash of its key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, OFFSET_DIGITS), 16, 10).cast("double") / float(16**OFFSET_DIGITS)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken, text_hash), one row for each row of docs.
 
-    size: words of the text, null has 0; a null source is a source of its own, the last; copies: 0 to max_copies;
+    size: words of the text, of any length, null has 0; a null source is a source of its own, the last; copies: 0 to max_copies;
     taken: copies * size. The same rows and seed give the same copies for any partitioning; rows that share an id
     are ordered by their text, and equal rows may swap their copies, which leaves the result as a set the same.
-    An empty table gives an empty result; a corpus without words takes none.
+    An empty table gives an empty result; a corpus without words takes none. Only id, text and source are read, whatever
+    other columns there are. Ranks in a source are sums of counts by size and salt, so no source is sorted in one task.
     """
-    base = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("_size"), F.xxhash64(text_col).alias("_th")
-    )
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("_size"), F.xxhash64(text_col).alias("_th"), F.md5(text.cast("binary")).alias("_md5"))
     key = F.coalesce(F.concat(F.lit("a"), "_source"), F.lit("b"))  # by code point, null last
-    base = cut(base.select("*", key.alias("_key"), F.pmod(F.xxhash64("_id", "_th", F.lit(seed)), F.lit(SALTS)).alias("_salt")))
+    salt = F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("_md5", F.lit(""))).cast("binary")), 1, SALT_DIGITS)
+    base = cut(base.select("_id", "_source", "_size", "_th", key.alias("_key"), salt.alias("_salt")))
     cells = base.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n"))
     groups = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
     sources = source_targets(groups.groupBy("_key").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size")), weights, max_copies)
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(max_copies)), F.col("_target") / F.col("_source_size"))).otherwise(0.0)
-    groups = groups.join(sources.withColumn("_rate", rate), "_key")
-
-    def crossed(low, high, offset):
-        return F.floor(high * F.col("_rate") + offset) - F.floor(low * F.col("_rate") + offset)
-
-    # offsets have 20 binary places, which keeps rank * rate + offset exact where the rate is a whole number
-    draws = groups.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_offset", F.pmod(F.xxhash64("_key", F.lit(seed), "_j"), F.lit(1 << 20)) / float(1 << 20))
-    draws = draws.withColumn("_turn", F.when(F.col("_j") == 0, F.col("_size")).otherwise(F.xxhash64("_size", "_j", F.lit(seed))))
-    below = Window.partitionBy("_key", "_j").orderBy("_turn", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    draws = draws.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    takes = draws.groupBy("_key", "_j", "_target").agg(F.sum(F.col("_size") * crossed(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_offset"))).alias("_takes"))
-    best = takes.groupBy("_key").agg(F.min_by("_j", F.struct(F.abs(F.col("_takes") - F.col("_target")), "_j")).alias("_j"))
-    groups = draws.join(best, ["_key", "_j"]).drop("_n")
+    sources = sources.withColumn("_rate", rate).withColumn("_offset", offset_of(F.col("_key"), seed))
+    below = Window.partitionBy("_key").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n").join(sources, "_key")
     below = Window.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_in_size", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n").join(groups, ["_key", "_size"])
     rows = base.join(cells, ["_key", "_size", "_salt"])
     rank = F.col("_before") + F.col("_in_size") + F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy("_id", "_th"))
     rows = rows.withColumn("_rank", rank)
-    rows = rows.withColumn("_copies", F.least(crossed(F.col("_rank") - 1, F.col("_rank"), F.col("_offset")), F.lit(max_copies)).cast("long"))
+    crossed = F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
+    rows = rows.withColumn("_copies", F.least(crossed, F.lit(max_copies)).cast("long"))
     return rows.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_th").alias("text_hash"))
