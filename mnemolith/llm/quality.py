@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, let, store, words
 
 WINDOW_WORDS = 8
 MIN_WORDS = 20
@@ -21,8 +21,6 @@ MAX_REPEAT_PERCENT = 30
 COMMON_WORDS, COMMON_LENGTH = 24, 5
 #: Documents below these lengths are not judged by the histogram concerned.
 MIN_CLASS_CHARS, MIN_HISTOGRAM_WORDS = 150, 40
-#: Languages with fewer words give no reference, and their documents no verdict.
-MIN_REFERENCE_WORDS = 2_000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.35
 #: More references than this are joined by shuffling instead of broadcasting (each is under 1 kB).
 BROADCAST_LANGUAGES = 1_000
@@ -50,7 +48,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, classes, common, shares): class shares, the common words, and their shares with the rest's last.
 
-    Counts cover every document; a null lang is the language "". Words are counted in each task before the
+    Counts cover every document, and every language has a reference, however small; a null lang is the language "". Words are counted in each task before the
     shuffle, and each task passes on no more than the common words of its share of each language.
     """
     base = _base(docs, text_col, text_col, lang_col)
@@ -63,7 +61,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     totals = counts.groupBy("_lang").agg(F.sum("_k").alias("_all"))
     top = counts.where("_w is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_k"), "_w"))).where(F.col("_r") <= COMMON_WORDS)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_r", "_w", "_k"))).alias("_top"))
-    both = top.join(totals.where(F.col("_all") >= MIN_REFERENCE_WORDS), "_lang").join(classes, "_lang")
+    both = top.join(totals, "_lang").join(classes, "_lang")
     shares = F.transform("_top", lambda x: x["_k"] / F.col("_all"))
     rest = 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     return both.select(F.col("_lang").alias("lang"), "classes", F.transform("_top", lambda x: x["_w"]).alias("common"), F.concat(shares, F.array(rest)).alias("shares"))
@@ -79,6 +77,24 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def sorted_distance(places: Column, values: Column, shares: Column) -> Column:
+    """js_distance of a sorted array of places from shares, by the runs of equal places; values are its distinct ones in order.
+
+    Place k means the k-th share, 0 the last one. A share that no place names adds itself to the divergence, so only those named are looked at.
+    """
+    n = F.size(places)
+
+    def total(starts):
+        def term(first, i):
+            p, at = (F.coalesce(F.get(starts, i + 1), n + 1) - first) / n, F.get(values, i)
+            q = F.get(shares, F.when(at == 0, F.size(shares)).otherwise(at) - 1)
+            return p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q)) - q).otherwise(0.0)
+
+        return F.aggregate(F.transform(starts, term), F.lit(1.0), lambda a, x: a + x)
+
+    return F.sqrt(F.greatest(F.lit(0.0), let(F.transform(values, lambda v: F.array_position(places, v).cast("int")), total) / 2))
+
+
 def repeated_words(word_list: Column, k: int = WINDOW_WORDS) -> Column:
     """Words covered by windows of k words that the array holds twice or more, first ones included.
 
@@ -109,8 +125,9 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
 
     base_failed: under 20 words, or over 30 % of words in repeated 8-word windows. kept: not base_failed, and
     neither histogram further from its language's than allowed. Null or empty texts have zeros and fail; a null
-    lang counts as a language of its own; without a reference or below the minimum lengths a distance is null
-    and speaks for the document. Repeated rows give repeated rows. keep_columns: all columns of docs instead of the
+    lang counts as a language of its own; below the minimum lengths a distance is null
+    and speaks for the document. Repeated rows give repeated rows, an empty table an empty result; texts have any length, and of
+    common words with equal counts the first in order is taken. Columns of docs may have any names, with keep_columns any but ``_kept``. keep_columns: all columns of docs instead of the
     counts, with kept as ``_kept``. Each row is judged where it is read: only references are broadcast, after a
     check of their number, and more of them are joined by a shuffle.
     """
@@ -122,12 +139,10 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     base = base.join(F.broadcast(refs) if few else refs, "_lang", "left")
     out = _classes(base).withColumn("_words", words(F.col("_text"))).withColumn("_n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    places = F.transform("_words", lambda w: F.when(F.char_length(w) <= COMMON_LENGTH, F.coalesce(F.array_position(F.col("_ref_common"), F.lower(w)).cast("long"), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    places = F.transform("_words", lambda w: F.when(F.char_length(w) <= COMMON_LENGTH, F.coalesce(F.array_position(F.col("_ref_common"), F.lower(w)).cast("int"), F.lit(0))).otherwise(F.lit(0)))
 
     def histogram(found):
-        hits = [F.size(found) - F.size(F.array_remove(found, F.lit(k).cast("long"))) for k in range(1, COMMON_WORDS + 1)]
-        common = F.slice(F.array(*[h / F.size(found) for h in hits]), F.lit(1), F.size("_ref_common"))
-        return js_distance(F.concat(common, F.array(1 - F.aggregate(common, F.lit(0.0), lambda a, x: a + x))), F.col("_ref_shares"))
+        return let(F.array_sort(found), lambda x: let(F.array_sort(F.array_distinct(x)), lambda ks: sorted_distance(x, ks, F.col("_ref_shares"))))
 
     js_classes = F.when((F.col("_n") >= MIN_CLASS_CHARS) & F.col("_ref_classes").isNotNull(), js_distance(F.array(*[F.col(c) / F.col("_n") for c in CLASS_COLUMNS]), F.col("_ref_classes")))
     js_words = F.when((F.col("_n_words") >= MIN_HISTOGRAM_WORDS) & F.col("_ref_common").isNotNull(), let(places, histogram))
@@ -142,6 +157,6 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     out = out.withColumn("base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("js_classes") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("js_words") <= MAX_WORD_DISTANCE, F.lit(True))
     if keep_columns:
-        # a verdict that isn't deterministic by name stays where it is: moved into a filter below, its shared parts would be computed for each use
-        return out.select("_row", (kept & (F.monotonically_increasing_id() >= 0)).alias("_kept")).select("_row.*", "_kept")
+        # written once: moved into a filter, the parts that verdicts share would be computed for each use
+        return store(out.select("_row", kept.alias("_kept"))).select("_row.*", "_kept")
     return out.select(F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "js_classes", "js_words")
