@@ -15,6 +15,7 @@ from .langid import fit, held_out, predict
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
+from .oracles import ORACLE as ORACLE
 from .quality import quality_rules
 from .substrings import dedup_substrings
 from .vafile import top_k
@@ -47,7 +48,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("js_classes", "js_words")
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_jaccard": op10_jaccard,
 }
-ORACLE: dict[str, str] = {}
