@@ -1,14 +1,18 @@
 """Operator 8: license scans, in DataFrame functions only.
 
 Overlapping windows of words carry MinHash values; a window that agrees with a template in one of the bands is a
-candidate, and exact containment of the template's five-word shingles in the window decides. Windows come in sizes that
-double: templates of at most L words are looked for in windows of 3 L / 2 words that start every L / 2, so each
-occurrence lies in one of them whole. The least Jaccard similarity of such a window and a template contained to 0.8 is
-1/8, and 64 bands of one value meet there with probability 1 - (7/8)^64 = 0.9998.
+candidate, and exact containment of the template's five-word shingles in the window decides; templates of fewer words have
+one shingle, of all their words. Windows come in sizes that double, up to that of the longest template: templates of at most L
+words are looked for in windows of 3 L / 2 words that start every L / 2, so each occurrence lies in one of them whole. The least
+Jaccard similarity of such a window and a template contained to 0.8 is 1/8, and 64 bands of one value meet there with
+probability 1 - (7/8)^64 = 0.9998.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,12 @@ from .common import let
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 64
-SIZES = (8, 16, 32, 64, 128, 256)
-#: The bound on the templates of one scan: they are literals in the plan.
-MAX_TEMPLATES = 500
+LEAST_SIZE = 8
+#: Templates are literals in the plan; a scan looks for so many of their shingles at a time, and for the next ones in another pass.
+PART = 4_096
 #: Notices of public licenses, in their own words.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "BSD-header": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -51,46 +56,63 @@ def min_hashes(hashes: Column, bands: int = BANDS) -> Column:
     return let(hashes, lambda x: F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda s: F.array_min(F.transform(x, lambda h: F.xxhash64(h, s)))))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
-    """(license, size, shingles) of each template; those under five words can't be told from chance and are refused."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates: scan with parts of them")
+def template_table(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, int, int, list[int]]]:
+    """(license, words of a shingle, size, shingles) of each template that has words."""
     if not templates:
         return []
     df = spark.createDataFrame(list(templates.items()), "license string, text string")
-    rows = df.select("license", scan_words(F.col("text")).alias("w")).select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.transform("w", lambda w: F.xxhash64(w)))).alias("s")).collect()
-    for r in rows:
-        if not r.s or r.n > SIZES[-1]:
-            raise ValueError(f"{r.license}: {r.n} words; {SHINGLE} to {SIZES[-1]} are needed")
-    return [(r.license, next(s for s in SIZES if r.n <= s), r.s) for r in rows]
+    rows = df.select("license", F.transform(scan_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+    own = reduce(lambda a, k: a.when(F.size("h") == k, shingles(F.col("h"), k)), range(1, SHINGLE), F)
+    rows = rows.select("license", F.size("h").alias("n"), F.array_distinct(own.otherwise(shingles(F.col("h")))).alias("s")).collect()
+    return [(r.license, min(r.n, SHINGLE), max(LEAST_SIZE, 1 << (r.n - 1).bit_length()), r.s) for r in rows]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """(id, license, containment, first_word): one row for each template that a document contains to the given share.
+def _literal(values) -> Column:
+    return F.from_json(F.lit(json.dumps(sorted(values))), "array<bigint>")
 
-    containment: the greatest share of the template's distinct shingles in one window; first_word: where the first window
-    that reaches the threshold begins, in words from 0. Null, empty and short texts match nothing; rows that share an id give
-    one row. A text without any shingle of any template can match none, so only others are cut into windows; nothing of the
-    text is shuffled.
-    """
-    spark = docs.sparkSession
-    known = template_table(spark, templates)
-    kind = docs.schema[id_col].dataType.simpleString()
-    if not known:
-        return spark.createDataFrame([], f"{id_col} {kind}, license string, containment double, first_word bigint")
-    table = spark.createDataFrame(known, "license string, size int, t array<bigint>").select("*", min_hashes(F.col("t")).alias("m"))
-    bands = table.select("license", "size", "t", F.posexplode("m").alias("band", "value"))
-    every = F.array(*[F.lit(x) for x in sorted({x for _, _, s in known for x in s})])
-    words = docs.select(F.col(id_col).alias("_id"), F.transform(scan_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
-    rows = words.select("_id", shingles(F.col("_h")).alias("_s")).where(F.arrays_overlap("_s", every))
+
+def _scan(docs: DataFrame, known: list, k: int, id_col: str, text_col: str, containment: float) -> DataFrame:
+    """(id, license, c, at): windows that contain templates, all of shingles of k words, to the given share."""
+    table = docs.sparkSession.createDataFrame([(x, size, s) for x, _, size, s in known], "license string, size int, t array<bigint>")
+    bands = table.select("license", "size", "t", F.posexplode(min_hashes(F.col("t"))).alias("band", "value"))
+    every = _literal({x for *_, s in known for x in s})
+    hashed = docs.select(F.col(id_col).alias("_id"), F.transform(scan_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
+    rows = hashed.select("_id", shingles(F.col("_h"), k).alias("_s")).where(F.arrays_overlap("_s", every))
 
     def starts(size: int) -> Column:
-        step, most = size // 2, 3 * size // 2 - SHINGLE + 1
+        step, most = size // 2, 3 * size // 2 - k + 1
         return F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / step).cast("int")), lambda i: F.struct(F.lit(size).alias("size"), (i * step).alias("at"), F.lit(most).alias("n")))
 
-    windows = rows.select("_id", "_s", F.explode(F.concat(*[starts(size) for size in sorted({x for _, x, _ in known})])).alias("_w")).select("_id", "_w.size", "_w.at", F.array_distinct(F.slice("_s", F.col("_w.at") + 1, F.col("_w.n"))).alias("_s")).where(F.arrays_overlap("_s", every))
+    # windows are made in one array: exploded first, each would carry the shingles of the whole text
+    cut = lambda w: F.struct(w["size"].alias("size"), w["at"].alias("at"), F.array_distinct(F.slice("_s", w["at"] + 1, w["n"])).alias("s"))
+    windows = F.filter(F.transform(F.concat(*[starts(size) for size in sorted({x[2] for x in known})]), cut), lambda w: F.arrays_overlap(w["s"], every))
+    windows = rows.select("_id", F.explode(windows).alias("_w")).select("_id", "_w.size", "_w.at", F.col("_w.s").alias("_s"))
     marked = windows.select("_id", "size", "at", "_s", F.posexplode(min_hashes(F.col("_s"))).alias("band", "value"))
-    # templates are literals of bounded number, so their bands can be broadcast
+    # templates of a pass are of bounded number, so their bands can be broadcast
     meet = marked.join(F.broadcast(bands), ["size", "band", "value"]).dropDuplicates(["_id", "at", "license", "_s"])
     share = F.size(F.array_intersect("_s", "t")) / F.size("t")
-    return meet.withColumn("_c", share).where(F.col("_c") >= containment).groupBy(F.col("_id").alias(id_col), "license").agg(F.max("_c").alias("containment"), F.min("at").cast("long").alias("first_word"))
+    return meet.select("_id", "license", share.alias("c"), "at").where(F.col("c") >= containment)
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+    """(id, license, containment, first_word): one row for each template that a document contains to the given share.
+
+    Templates may have any number of words, and there may be any number of them; one without words is found nowhere. containment:
+    the greatest share of the template's distinct shingles in one window; first_word: where the first window that reaches
+    the threshold begins, in words from 0. Null, empty and short texts match nothing, an empty table gives an empty result; rows
+    that share an id give one row; whole texts of any length are scanned, and only id and text are read. A text without any
+    shingle of any template can match none, so only others are cut into windows; nothing of the text is shuffled.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    passes, size = [], 0
+    for k, x in sorted((x[1], x) for x in template_table(spark, templates)):
+        if not passes or passes[-1][0] != k or size + len(x[3]) > PART:
+            passes.append((k, []))
+            size = 0
+        passes[-1][1].append(x)
+        size += len(x[3])
+    if not passes:
+        return spark.createDataFrame([], f"{id_col} {kind}, license string, containment double, first_word bigint")
+    found = reduce(DataFrame.unionByName, [_scan(docs, known, k, id_col, text_col, containment) for k, known in passes])
+    return found.groupBy(F.col("_id").alias(id_col), "license").agg(F.max("c").alias("containment"), F.min("at").cast("long").alias("first_word"))

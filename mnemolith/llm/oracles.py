@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 WORD = r"'[^\x20\x09-\x0D]+'"
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,5 +75,18 @@ b AS (SELECT c7.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(c7.n - k7[2] A
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT f.*, NOT base_failed AND coalesce(jc.js <= 0.2, true) AND coalesce(jw.js <= 0.35, true) AS kept FROM f LEFT JOIN jc USING (doc_id) LEFT JOIN jw USING (doc_id)"""
 
+_TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items())
+_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+
+LICENSES = f"""WITH tw AS (SELECT license, {_WORDS.format('text')} AS w FROM (VALUES {_TEMPLATES}) t(license, text)),
+tq AS (SELECT license, w, least(5, len(w)) AS q, greatest(8, CAST(pow(2, ceil(log2(len(w)))) AS BIGINT)) AS size FROM tw),
+ts AS (SELECT DISTINCT license, q, size, array_to_string(w[i : i + q - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - q + 2)) AS i FROM tq)),
+tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+ds AS (SELECT doc_id, q, i - 1 AS i, array_to_string(w[i : i + q - 1], ' ') AS s FROM (SELECT doc_id, w, q, unnest(range(1, len(w) - q + 2)) AS i FROM dw, (SELECT DISTINCT q FROM ts) WHERE len(w) >= q)),
+h AS (SELECT doc_id, license, s, size // 2 AS step, unnest(range(greatest(0, CAST(ceil((i - (3 * size // 2 - q)) / (size // 2)) AS BIGINT)), i // (size // 2) + 1)) AS j FROM ds JOIN ts USING (q, s)),
+c AS (SELECT doc_id, license, j * step AS at, count(DISTINCT s) / any_value(n) AS c FROM h JOIN tn USING (license) GROUP BY ALL)
+SELECT doc_id, license, max(c) AS containment, CAST(min(at) AS BIGINT) AS first_word FROM c WHERE c >= 0.8 GROUP BY ALL"""
+
 #: Each operator to its SQL.
-ORACLE = {"op3_mixing": MIXING, "op5_quality": QUALITY, "op6_lines": LINES, "op7_substrings": SUBSTRINGS, "op9_topk": TOP_K, "op10_jaccard": JACCARD}
+ORACLE = {"op3_mixing": MIXING, "op5_quality": QUALITY, "op6_lines": LINES, "op7_substrings": SUBSTRINGS, "op8_licenses": LICENSES, "op9_topk": TOP_K, "op10_jaccard": JACCARD}

@@ -9,6 +9,7 @@ import pytest
 
 from mnemolith.llm import langid, substrings
 from mnemolith.llm.html import extract_text, main_text
+from mnemolith.llm.licenses import scan_licenses
 from mnemolith.llm.linededup import dedup_lines
 from mnemolith.llm.substrings import dedup_substrings, word_hashes
 
@@ -184,3 +185,56 @@ def test_language_by_hand(spark, monkeypatch):
     monkeypatch.setattr(langid, "PART", 2)
     monkeypatch.setattr(langid, "GATHERED", 64)
     check(1)
+
+
+def test_licenses_of_any_length(spark, monkeypatch):
+    """Templates of one word to some thousands, found wherever they begin, in one pass or several."""
+    from mnemolith.llm import licenses
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    sizes = {"one": 1, "three": 3, "five": 5, "nine": 9, "window": 256, "long": 700, "longer": 3000}
+    templates = {name: " ".join(f"{name}{rng.choice(words)}" for _ in range(n)) for name, n in sizes.items()} | {"none": " .. "}
+    rows, want = [], set()
+    for i, (name, text) in enumerate((name, text) for name, text in templates.items() for _ in range(6)):
+        before = " ".join(rng.choice(words) for _ in range(rng.randint(0, 900)))
+        rows.append((i, f"{before} {text.upper()}, {before}"))
+        want |= {(i, name)} if name != "none" else set()
+    half = templates["long"].split()
+    rows.append((99, " ".join(half[:350])))  # half of a template
+    rows.append((100, " ".join(half[: int(len(half) * 0.9)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (licenses.PART, 50):
+        monkeypatch.setattr(licenses, "PART", part)
+        out = {(r.doc_id, r.license): r.containment for r in scan_licenses(df, templates).collect()}
+        assert set(out) == want | {(100, "long")} and all(out[x] == 1 for x in want)
+
+
+def test_licenses_by_hand(spark):
+    """Containments and places are those of all windows looked at one by one."""
+    from mnemolith.llm.licenses import TEMPLATES
+
+    rng = random.Random(9)
+    pool = [w for t in TEMPLATES.values() for w in t.split()] + ["x", "y"]
+    texts = []
+    for _ in range(60):
+        own = rng.choice(list(TEMPLATES.values())).split()
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = rng.choice(pool)
+        texts.append(" ".join([rng.choice(pool) for _ in range(rng.randint(0, 60))] + own + [rng.choice(pool) for _ in range(30)]))
+    cut = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+    want = {}
+    for i, text in enumerate(texts):
+        words = cut(text)
+        for name, template in TEMPLATES.items():
+            t = cut(template)
+            k, size = min(5, len(t)), max(8, 1 << (len(t) - 1).bit_length())
+            wanted = {tuple(t[a : a + k]) for a in range(len(t) - k + 1)}
+            all_ = [tuple(words[a : a + k]) for a in range(len(words) - k + 1)]
+            for at in range(0, len(all_), size // 2):
+                c = len(wanted & set(all_[at : at + 3 * size // 2 - k + 1])) / len(wanted)
+                if c >= 0.8:
+                    best, first = want.get((i, name), (0, at))
+                    want[i, name] = max(best, c), first
+    out = {(r.doc_id, r.license): (r.containment, r.first_word) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == want and len(want) > 25
