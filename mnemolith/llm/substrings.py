@@ -349,7 +349,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ask = judged.where("not whole")
     hot = cut(ask.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
     asks = ask.groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "n")).alias("kmers"))
-    packed = texts.join(asks.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, packed binary")
+    packed = texts.join(asks.hint("merge"), ["id", "th"]).select("id", "th", "text", "kmers", "no_id").mapInArrow(_pack(k), "h bigint, id bigint, th bigint, at bigint, packed binary")
     some = hot.limit(1).count() > 0
     if some:
         packed = store(packed.join(hot, "h", "left"))
