@@ -1,9 +1,9 @@
 """Operator 9: exact top-k inner products by a vector-approximation file.
 
-Vectors are packed in blocks of bounded size. Each block of candidates carries a quantised copy of its vectors; a
-query scans those cells for bounds of its scores, then reads exact vectors in order of their upper bounds until
-its k-th score is above the next bound. Blocks of queries meet groups of candidate blocks by an equi-join on
-block numbers, so no task holds more than some blocks, and a query's running best k shortens later scans.
+Vectors are written in blocks of bounded size: their quantised cells in one column, the exact vectors in another. Blocks of
+queries scan the cells alone, group by group of blocks, for bounds of all scores, and keep what may be among the best k. Exact vectors
+are then read by id in order of the bounds: first those of the 2 k highest upper bounds, which settle a k-th score, then those
+whose bound reaches it. Queries meet groups by number, so a task holds one group and one block of queries.
 """
 
 from __future__ import annotations
@@ -13,79 +13,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, store
+
 SCALE = 64
 K = 20
-BLOCK, GROUP = 1024, 16
+#: Vectors of a block, blocks of a group, blocks of queries that share one copy of a group, and queries scanned at once.
+BLOCK, GROUP, SHARE, AT_ONCE = 1024, 16, 16, 128
 BITS = 5
+#: Integer components and scores end here; larger ones count as the last.
+MOST, LAST = 2.0**62, 2**63 - 1
 
 
 def _pack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids in order and integer vectors of one block; of rows with one id the smallest vector stays."""
     ids = table["vec_id"].to_numpy().astype(np.int64)
     flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    whole = np.floor(flat.reshape(len(ids), -1) * SCALE)
-    if whole.size and np.abs(whole).max() >= 2.0**62:
-        raise OverflowError("components beyond 2**56 have no integer form in 64 bits")
-    whole = whole.astype(np.int64)
+    with np.errstate(over="ignore"):
+        whole = np.clip(np.floor(flat.reshape(len(ids), -1) * SCALE), -MOST, MOST).astype(np.int64)
     order = np.lexsort((*whole.T[::-1], ids))
     ids, whole = ids[order], whole[order]
     first = np.diff(ids, prepend=ids[0] - 1) != 0
     return ids[first], whole[first]
 
 
-def _bytes(whole: np.ndarray) -> tuple[bytes, str]:
+def _raw(whole: np.ndarray) -> bytes:
+    """Integers as their width in bytes and the bytes."""
     most = np.abs(whole).max() if whole.size else 0
-    kind = next(k for k, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1), ("<i8", 2**63)) if most <= top)
-    return whole.astype(kind).tobytes(), kind
-
-
-def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles where all partial sums fit in 53 bits, else in Python's integers."""
-    if not vectors.size:
-        return np.zeros(len(vectors), np.int64)
-    if float(np.abs(vectors).max()) * float(np.abs(query).max()) * vectors.shape[1] < 2.0**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors], np.int64)
-
-
-def _scan(queries, query_ids, codes, low, width, vectors, ids, best, k):
-    """Improves best, a (scores, ids) pair for each query, with the vectors of one block."""
-    half = (width - 1) / 2
-    middle = low + codes * width + half
-    guess = queries @ middle.T
-    slack = np.abs(queries) @ half + 1e-9 * (1 + np.abs(queries) @ np.abs(middle).max(0)) if len(middle) else 0
-    upper = guess + slack[:, None]
-    own = np.searchsorted(ids, query_ids)
-    hit = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == query_ids)
-    upper[np.flatnonzero(hit), own[hit]] = -np.inf
-    room = len(ids) - hit
-    for i in range(len(query_ids)):
-        scores, found = best[i]
-        floor = scores[-1] if len(scores) == k else -np.inf
-        if room[i] > k:
-            lower = np.partition(upper[i], len(ids) - k)[len(ids) - k] - 2 * slack[i]
-            floor = max(floor, lower)
-        near = np.flatnonzero(upper[i] >= floor)
-        near = near[np.isfinite(upper[i, near])]
-        near = near[np.argsort(-upper[i, near], kind="stable")]
-        at, step = 0, 2 * k
-        while at < len(near):
-            if len(scores) == k and upper[i, near[at]] < scores[-1]:
-                break
-            part = near[at : at + step]
-            scores, found = np.concatenate([scores, _exact(vectors[part], queries[i])]), np.concatenate([found, ids[part]])
-            order = np.lexsort((found, -scores))[:k]
-            scores, found = scores[order], found[order]
-            at, step = at + step, 2 * step
-        best[i] = scores, found
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1)
+    return bytes([width]) + whole.astype(f"<i{width}").tobytes()
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1)
+
+
+def cells(whole: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Cell numbers of BITS bits a component, packed; the least value and the width of a cell for each dimension."""
+    low = whole.min(0).astype(np.float64)
+    width = np.ceil((whole.max(0).astype(np.float64) - low + 1) / (1 << BITS))
+    codes = np.clip((whole.astype(np.float64) - low) // width, 0, (1 << BITS) - 1).astype(np.uint8)
+    return np.packbits((codes.reshape(-1, 1) >> np.arange(BITS, dtype=np.uint8)) & 1).tobytes(), low, width
+
+
+def middles(packed: bytes, low: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
+    """The middles of the cells of n vectors."""
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * len(low) * BITS).reshape(-1, BITS)
+    codes = (bits << np.arange(BITS, dtype=np.uint8)).sum(1, dtype=np.uint8).reshape(n, len(low))
+    return low + codes * width + (width - 1) / 2
+
+
+def candidates(query_ids: np.ndarray, queries: np.ndarray, blocks: list, k: int):
+    """(query, vector, lower, upper) arrays for some queries: the vectors of a group whose upper bound reaches the k-th lower one.
+
+    blocks: (ids, middles, half widths) of each block of the group.
+    """
+    ids = np.concatenate([b[0] for b in blocks])
+    for at in range(0, len(query_ids), AT_ONCE):
+        q, own = queries[at : at + AT_ONCE], query_ids[at : at + AT_ONCE]
+        guess = np.concatenate([q @ m.T for _, m, _ in blocks], 1)
+        # half a cell for each component, and what rounding may do
+        slack = [np.abs(q) @ half + 1e-9 * (1 + np.abs(q) @ np.abs(m).max(0)) for _, m, half in blocks]
+        slack = np.concatenate([np.repeat(s[:, None], len(b[0]), 1) for s, b in zip(slack, blocks)], 1)
+        other = own[:, None] != ids
+        lower = np.where(other, guess - slack, -np.inf)
+        floor = np.partition(lower, len(ids) - k, 1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+        row, col = np.nonzero(other & (guess + slack >= floor[:, None]))
+        yield own[row], ids[col], lower[row, col], (guess + slack)[row, col]
+
+
+def _products(a: list[bytes], b: list[bytes]) -> list[int]:
+    """Integer inner products of pairs: in doubles where all partial sums fit in 53 bits, else in Python's integers, up to the last of 64 bits."""
+    out = np.zeros(len(a), np.int64)
+    kinds = np.array([(len(x), x[0], y[0]) for x, y in zip(a, b)], np.int64).reshape(-1, 3)
+    for kind in {tuple(x) for x in kinds.tolist()}:
+        at = np.flatnonzero((kinds == kind).all(1))
+        x, y = (np.frombuffer(b"".join([v[i][1:] for i in at]), f"<i{w}").reshape(len(at), -1) for v, w in ((a, kind[1]), (b, kind[2])))
+        if x.size and float(np.abs(x.astype(np.float64)).max()) * float(np.abs(y.astype(np.float64)).max()) * x.shape[1] >= 2.0**53:
+            out[at] = [max(-LAST, min(LAST, sum(int(p) * int(q) for p, q in zip(*r)))) for r in zip(x, y)]
+        else:
+            out[at] = (x.astype(np.float64) * y).sum(1).astype(np.int64)
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k highest scores among all vectors but those of its own id.
 
-    A component x counts as floor(64 x); the score is the integer inner product, ties go to the smaller id. Null vectors and
-    ids, and vectors with null or non-finite components, take no part; neither do pairs of different lengths. Of rows that
-    repeat an id the smallest vector takes part. Fewer than k others give fewer rows; empty tables none.
+    A component x counts as floor(64 x), up to 2^62; the score is the integer inner product, up to the ends of 64 bits; ties go to
+    the smaller id. Null vectors and ids, and vectors with null or non-finite components, take no part; neither do pairs of
+    different lengths, and vectors without components score 0 with each other. Of rows that repeat an id the smallest vector
+    of each length takes part. Fewer than k others give fewer rows; empty tables none. Other columns are left behind.
     """
 
     def usable(df):
@@ -95,54 +111,78 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
 
     all_, asked = usable(vectors), usable(queries)
     blocks, asks = max(1, -(-all_.count() // BLOCK)), max(1, -(-asked.count() // BLOCK))
-    groups = -(-blocks // GROUP)
+    groups, shares = -(-blocks // GROUP), -(-asks // SHARE)
 
-    def pack_candidates(key, table):
+    def pack_block(key, table):
         ids, whole = _pack(table)
-        low = whole.min(0) if whole.size else whole.sum(0)
-        width = (whole.max(0) - low) // (1 << BITS) + 1 if whole.size else low + 1
-        codes = ((whole - low) // width).astype(np.uint8)
-        raw, kind = _bytes(whole)
-        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "ids": [ids.tobytes()], "codes": [codes.tobytes()], "low": [low.astype("<i8").tobytes()], "width": [width.astype("<i8").tobytes()], "exact": [raw], "kind": [kind]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("low", pa.binary()), ("width", pa.binary()), ("exact", pa.binary()), ("kind", pa.string())]))
+        packed, low, width = cells(whole)
+        exact = pa.array([_raw(x) for x in whole], pa.binary())
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "cells": [packed], "low": [low.tobytes()], "width": [width.tobytes()], "exact": pa.ListArray.from_arrays(pa.array([0, len(exact)], pa.int32()), exact)})
 
     def pack_queries(key, table):
         ids, whole = _pack(table)
-        raw, kind = _bytes(whole)
-        return pa.table({"dim": [key[0].as_py()], "ask": [key[1].as_py()], "query_ids": [ids.tobytes()], "query": [raw], "query_kind": [kind]}, schema=pa.schema([("dim", pa.int32()), ("ask", pa.int32()), ("query_ids", pa.binary()), ("query", pa.binary()), ("query_kind", pa.string())]))
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "ask": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "query": [_raw(whole)]})
 
-    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int")).groupBy("dim", name)
-    packed = deal(all_, blocks, "block").applyInArrow(pack_candidates, "dim int, block int, ids binary, codes binary, low binary, width binary, exact binary, kind string")
-    packed = packed.withColumn("group", F.col("block") % F.lit(groups)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    wanted = deal(asked, asks, "ask").applyInArrow(pack_queries, "dim int, ask int, query_ids binary, query binary, query_kind string")
-    wanted = wanted.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    meet = wanted.hint("merge").join(packed, ["dim", "ask", "group"])
+    def deal(df, n, name):
+        return df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int")).groupBy("dim", name)
 
-    def search(batches):
-        now, state = None, None
-
-        def results():
-            ids, best = state
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, [len(s) for s, _ in best]), pa.int64()), pa.array(np.concatenate([f for _, f in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], names=["query_id", "vec_id", "score"]
-            )
+    file = store(deal(all_, blocks, "block").applyInArrow(pack_block, "dim int, block int, ids binary, cells binary, low binary, width binary, exact array<binary>"))
+    wanted = cut(deal(asked, asks, "ask").applyInArrow(pack_queries, "dim int, ask int, ids binary, query binary"))
+    none = F.lit(None).cast("binary")
+    cells_ = file.select("dim", (F.col("block") % groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(-1).alias("ask"), "ids", "cells", "low", "width", none.alias("query"))
+    asks_ = wanted.select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), (F.col("ask") % shares).alias("share"), "ask", "ids", none.alias("cells"), none.alias("low"), none.alias("width"), "query")
+    meet = cells_.unionByName(asks_).repartition(groups * shares, "dim", "group", "share").sortWithinPartitions("dim", "group", "share", "ask")
 
+    def scan(batches):
+        now, group = None, []
         for batch in batches:
             for row in range(batch.num_rows):
                 x = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                query_ids = np.frombuffer(x["query_ids"], np.int64)
-                queries = np.frombuffer(x["query"], x["query_kind"]).reshape(len(query_ids), -1).astype(np.float64)
-                if (key := (x["dim"], x["ask"], x["group"])) != now:
-                    if now is not None:
-                        yield from results()
-                    now, state = key, (query_ids, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids))
+                if (key := (x["dim"], x["group"], x["share"])) != now:
+                    now, group = key, []
                 ids = np.frombuffer(x["ids"], np.int64)
-                shape = (len(ids), queries.shape[1])
-                exact = np.frombuffer(x["exact"], x["kind"]).reshape(shape)
-                low, width = (np.frombuffer(x[c], "<i8").astype(np.float64) for c in ("low", "width"))
-                _scan(queries, query_ids, np.frombuffer(x["codes"], np.uint8).reshape(shape).astype(np.float64), low, width, exact, ids, state[1], k)
-        if now is not None:
-            yield from results()
-
-    found = meet.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+                if x["ask"] < 0:
+                    low, width = np.frombuffer(x["low"]), np.frombuffer(x["width"])
+                    group.append((ids, middles(x["cells"], low, width, len(ids)), (width - 1) / 2))
+                elif group:
+                    for found in candidates(ids, _whole(x["query"]).reshape(len(ids), -1).astype(np.float64), group, k):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.full(len(found[0]), now[0]), pa.int32())], names=["query_id", "vec_id", "lower", "upper", "dim"])
+
+    maybe = meet.mapInArrow(scan, "query_id bigint, vec_id bigint, lower double, upper double, dim int")
+    own = Window.partitionBy("query_id", "dim")
+    floor = F.nth_value("lower", k).over(own.orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = maybe.withColumn("floor", floor).where("floor is null or upper >= floor").withColumn("turn", F.row_number().over(own.orderBy(F.desc("upper"), "vec_id")))
+    near = store(near.select("query_id", "vec_id", "upper", "dim", "turn"))
+
+    def each(batches):
+        for batch in batches:
+            ids = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            dims = np.repeat(batch.column(0).to_numpy(), [len(x) for x in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(np.concatenate(ids)), batch.column(2).flatten()], names=["dim", "vec_id", "exact"])
+
+    exact = file.select("dim", "ids", "exact").mapInArrow(each, "dim int, vec_id bigint, exact binary")
+
+    def split(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
+                whole = _whole(batch.column(2)[row].as_py()).reshape(len(ids), -1)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(ids), pa.int32()), pa.array(ids), pa.array([_raw(x) for x in whole], pa.binary())], names=["dim", "query_id", "query"])
+
+    asked_ = wanted.select("dim", "ids", "query").mapInArrow(split, "dim int, query_id bigint, query binary")
+
+    def score(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(_products(batch.column(3).to_pylist(), batch.column(4).to_pylist()), pa.int64())], names=["query_id", "vec_id", "dim", "score"])
+
+    def scored(pairs):
+        both = pairs.select("query_id", "vec_id", "dim").join(exact, ["vec_id", "dim"]).join(asked_, ["query_id", "dim"])
+        return both.select("query_id", "vec_id", "dim", "query", "exact").mapInArrow(score, "query_id bigint, vec_id bigint, dim int, score bigint")
+
+    first = cut(scored(near.where(F.col("turn") <= 2 * k)))
+    # nothing below the k-th score of those read first can be among the best
+    least = first.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") == k).select("query_id", "dim", F.col("score").alias("least"))
+    rest = near.where(F.col("turn") > 2 * k).join(least, ["query_id", "dim"]).where(F.col("upper") >= F.col("least"))
+    found = first.unionByName(scored(rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

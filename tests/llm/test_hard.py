@@ -238,3 +238,39 @@ def test_licenses_by_hand(spark):
                     want[i, name] = max(best, c), first
     out = {(r.doc_id, r.license): (r.containment, r.first_word) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == want and len(want) > 25
+
+
+def test_top_k_of_huge_components(spark):
+    """Components and scores beyond 64 bits count as the last number; nothing fails, and other queries are as they were."""
+    from mnemolith.llm.vafile import top_k
+
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.5]), (3, [2.0, 3.0]), (20, [1.0, 0.25]), (21, [0.0, 1e18]), (40, []), (41, []), (42, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({n: F.lit("x") for n in ("dim", "ids", "v", "score", "block")})
+    out = {}
+    for r in top_k(df, df.where("vec_id % 20 = 0"), k=3).collect():
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    last = 2**63 - 1
+    assert sorted(out[0]) == [(1, 1, last), (2, 3, last), (3, 20, last)]
+    assert sorted(out[40]) == [(1, 41, 0)]
+    big = 2**62
+    want = sorted([(-min(last, 64 * big + 16 * 64), 0), (-min(last, 64 * big - 16 * 64), 1), (-(64 * 128 + 16 * 192), 3), (-min(last, 16 * big), 21)])[:3]
+    assert [(x[1], x[2]) for x in sorted(out[20])] == [(i, -s) for s, i in want]
+
+
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """Small blocks, groups and shares give what brute force does."""
+    import numpy as np
+
+    from mnemolith.llm import vafile
+
+    for name, n in (("BLOCK", 16), ("GROUP", 2), ("SHARE", 1), ("AT_ONCE", 3)):
+        monkeypatch.setattr(vafile, name, n)
+    values = np.random.default_rng(5).normal(size=(300, 8)).round(1)
+    whole = np.floor(64 * values).astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    out = sorted(map(tuple, vafile.top_k(df, df.where("vec_id % 20 = 0"), k=7).collect()))
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(300) if i != q)[:7]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert out == want
