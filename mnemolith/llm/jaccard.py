@@ -31,6 +31,8 @@ N, PERCENT = 4, 85
 HELD, BLOCK = 500_000, 1_000
 #: A token that more groups hold brings their signatures to the pair search, which then tells of no pair that they refuse.
 HOT = 32
+#: Pairs of holders, by count of tokens, that a task of the pair search gets on average.
+PAIRS = 1_000_000
 #: Ids up to this number are broadcast (8 bytes each) to pick out candidate texts; more of them meet the texts in a join.
 BROADCAST_IDS = 1_000_000
 #: A prefix has one more token for so many shingles; a group's key has its size in the low bits.
@@ -316,7 +318,8 @@ def crossing(held: DataFrame, named: DataFrame, percent: int) -> DataFrame:
             yield from pairs()
         release()
 
-    found = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "g1 bigint, l1 bigint, g2 bigint, l2 bigint")
+    work = spread.agg(F.sum(F.col("k") * F.col("k") / 2)).first()[0] or 0  # tasks by pairs: of bytes there are few
+    found = dealt.repartition(1 + int(work // PAIRS), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "g1 bigint, l1 bigint, g2 bigint, l2 bigint")
     common = found.groupBy("g1", "l1", "g2", "l2").agg(F.count("*").alias("k"))
     return common.where(F.col("k") >= F.floor(in_common(F.col("g1"), F.col("g2")))).drop("k")
 
@@ -328,7 +331,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one without words, which links with nothing and is its own component. Two documents link if intersection is
     percent of union or more. component_id: the least id that links reach. Sets are compared by 64-bit hashes of shingles.
     Repeated rows come out alike; of rows that share an id but not the text, each goes by its own set. Ids are
-    whole numbers; null ids link with nothing and have a null component.
+    whole numbers; null ids link with nothing and have a null component. Texts have any length, and a set any number of shingles; an
+    empty table gives an empty result; only id and text are read, whatever other columns there are.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     order = levels(rows.where("id is not null").select("text"), lambda texts: (h for _, _, _, h in shingles(texts, n)))
