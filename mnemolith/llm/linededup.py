@@ -65,12 +65,12 @@ def _unpacked(keep: Column) -> Column:
     return F.flatten(F.transform(keep, lambda x, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), gap(x, i)), F.array(x["bits"]))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False, packed: bool = False) -> DataFrame:
     """All rows and columns of docs with _n_lines, _n_dropped and _kept_text: the lines that stay, joined by newlines.
 
     A null or empty text is one empty line; an empty table gives an empty result. Repeated rows are each treated alike. Any
     number of lines may go, of a text of any length, in time linear in it. With keep_first, each line stays once in the corpus.
-    Columns of docs may have any names but those three.
+    Columns of docs may have any names but those three; packed, they come as one struct ``_row``, and may have any.
     """
     bits = cut(keep_bitmaps(docs, id_col, text_col, min_documents, min_code_points, keep_first).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("keep").alias("_keep")))
     size = bits.agg(F.sum(F.lit(48) + 16 * F.size("_keep"))).first()[0] or 0
@@ -85,4 +85,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     some = let(F.coalesce(_unpacked(F.col("_keep")), F.array().cast("array<bigint>")), lambda words: let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.when(F.size(words) == 0, x).otherwise(kept(x, words)).alias("kept"))))
     out = both.select("_row", some.alias("_k"))
-    return out.select("_row.*", F.col("_k.n").alias("_n_lines"), (F.col("_k.n") - F.size("_k.kept")).alias("_n_dropped"), F.array_join("_k.kept", "\n").alias("_kept_text"))
+    return out.select("_row" if packed else "_row.*", F.col("_k.n").alias("_n_lines"), (F.col("_k.n") - F.size("_k.kept")).alias("_n_dropped"), F.array_join("_k.kept", "\n").alias("_kept_text"))

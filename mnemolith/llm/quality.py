@@ -127,8 +127,8 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     neither histogram further from its language's than allowed. Null or empty texts have zeros and fail; a null
     lang counts as a language of its own; below the minimum lengths a distance is null
     and speaks for the document. Repeated rows give repeated rows, an empty table an empty result; texts have any length, and of
-    common words with equal counts the first in order is taken. Columns of docs may have any names, with keep_columns any but ``_kept``. keep_columns: all columns of docs instead of the
-    counts, with kept as ``_kept``. Each row is judged where it is read: only references are broadcast, after a
+    common words with equal counts the first in order is taken. Columns of docs may have any names. keep_columns: all columns of docs as one struct ``_row``
+    instead of the counts, with kept as ``_kept``. Each row is judged where it is read: only references are broadcast, after a
     check of their number, and more of them are joined by a shuffle.
     """
     refs = cut(references if references is not None else language_references(docs, text_col, lang_col)).select(F.col("lang").alias("_lang"), F.col("classes").alias("_ref_classes"), F.col("common").alias("_ref_common"), F.col("shares").alias("_ref_shares"))
@@ -158,5 +158,5 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     kept = ~F.col("base_failed") & F.coalesce(F.col("js_classes") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("js_words") <= MAX_WORD_DISTANCE, F.lit(True))
     if keep_columns:
         # written once: moved into a filter, the parts that verdicts share would be computed for each use
-        return store(out.select("_row", kept.alias("_kept"))).select("_row.*", "_kept")
+        return store(out.select("_row", kept.alias("_kept")))
     return out.select(F.col("_id").alias(id_col), F.col("_n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "js_classes", "js_words")
