@@ -77,22 +77,21 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def sorted_distance(places: Column, values: Column, shares: Column) -> Column:
-    """js_distance of a sorted array of places from shares, by the runs of equal places; values are its distinct ones in order.
+def sorted_distance(places: Column, n: Column, shares: Column) -> Column:
+    """js_distance of n things from shares, by the runs of a sorted array of places; what has no place in it counts to the last share.
 
-    Place k means the k-th share, 0 the last one. A share that no place names adds itself to the divergence, so only those named are looked at.
+    A share that no place names adds itself to the divergence, so only those named are looked at.
     """
-    n = F.size(places)
 
-    def total(starts):
-        def term(first, i):
-            p, at = (F.coalesce(F.get(starts, i + 1), n + 1) - first) / n, F.get(values, i)
-            q = F.get(shares, F.when(at == 0, F.size(shares)).otherwise(at) - 1)
-            return p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q)) - q).otherwise(0.0)
+    def term(p, q):
+        return F.when(p > 0, p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q)) - q).otherwise(0.0)).otherwise(0.0)
 
-        return F.aggregate(F.transform(starts, term), F.lit(1.0), lambda a, x: a + x)
+    def total(starts):
+        of = F.transform(starts, lambda at, i: term((F.coalesce(F.get(starts, i + 1), F.size(places)) - at) / n, F.get(shares, F.get(places, at) - 1)))
+        return F.aggregate(of, 1 + term((n - F.size(places)) / n, F.element_at(shares, -1)), lambda a, x: a + x)
 
-    return F.sqrt(F.greatest(F.lit(0.0), let(F.transform(values, lambda v: F.array_position(places, v).cast("int")), total) / 2))
+    starts = F.array_compact(F.transform(places, lambda v, i: F.when(F.coalesce(F.get(places, i - 1) != v, F.lit(True)), i)))
+    return F.sqrt(F.greatest(F.lit(0.0), let(starts, total) / 2))
 
 
 def repeated_words(word_list: Column, k: int = WINDOW_WORDS) -> Column:
@@ -108,16 +107,20 @@ def repeated_words(word_list: Column, k: int = WINDOW_WORDS) -> Column:
 
     def repeats(ordered):
         again = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(ordered, i + 1)["h"] == x["h"], F.lit(False)))
-        return let(F.array_sort(F.transform(again, lambda x: x["i"])), covered)
+        return let(F.sort_array(F.transform(again, lambda x: x["i"])), covered)
 
     def from_windows(hashes):
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(ordered, repeats))
 
-    def from_hashes(h):
-        return let(F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i, k))), from_windows)
+    def hashed(h, size=1):
+        # hashes of runs of twice as many, from two that stand side by side; the last ones reach k words by overlapping
+        if size == k:
+            return from_windows(F.slice(h, F.lit(1), F.size(word_list) - (k - 1)))
+        step = min(size, k - size)
+        return let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))), lambda x: hashed(x, size + step))
 
-    return F.when(F.size(word_list) < k, F.lit(0).cast("long")).otherwise(let(F.transform(word_list, lambda w: F.xxhash64(w)), from_hashes))
+    return F.when(F.size(word_list) < k, F.lit(0).cast("long")).otherwise(let(F.transform(word_list, lambda w: F.xxhash64(w)), lambda h: hashed(h)))
 
 
 def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False) -> DataFrame:
@@ -142,7 +145,7 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, id_col:
     places = F.transform("_words", lambda w: F.when(F.char_length(w) <= COMMON_LENGTH, F.coalesce(F.array_position(F.col("_ref_common"), F.lower(w)).cast("int"), F.lit(0))).otherwise(F.lit(0)))
 
     def histogram(found):
-        return let(F.array_sort(found), lambda x: let(F.array_sort(F.array_distinct(x)), lambda ks: sorted_distance(x, ks, F.col("_ref_shares"))))
+        return let(F.sort_array(F.filter(found, lambda p: p > 0)), lambda x: sorted_distance(x, F.col("_n_words"), F.col("_ref_shares")))
 
     js_classes = F.when((F.col("_n") >= MIN_CLASS_CHARS) & F.col("_ref_classes").isNotNull(), js_distance(F.array(*[F.col(c) / F.col("_n") for c in CLASS_COLUMNS]), F.col("_ref_classes")))
     js_words = F.when((F.col("_n_words") >= MIN_HISTOGRAM_WORDS) & F.col("_ref_common").isNotNull(), let(places, histogram))
