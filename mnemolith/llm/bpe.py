@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ STABLE = "[^\x00-ԯ‐-‧‰-⁞₠-€]"
 #: Words kept with their tokens in each Python worker; a full cache is emptied, which changes no result.
 CACHE_WORDS = 400_000
 SLICE_CHARS = 1_000_000
+#: Words of more bytes are merged by a heap, each alone.
+LONG_WORD = 200
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,14 +75,15 @@ class SpeculativeBPE:
         for k in made:
             ok[k] = ok[k] and ok[self.left[k]] and ok[self.right[k]]
         self.canonical = ok
-        self.letters = {}
+        # the token of each byte inside a word and at its end
+        self.inner, self.final = np.zeros(256, np.int64), np.zeros(256, np.int64)
         auto = ahocorasick.Automaton()
         for token, i in vocab.items():
             ends = token.endswith(suffix) and token != suffix
             raw = "".join(back[c] for c in (token[: -len(suffix)] if ends else token)) + END * ends
-            auto.add_word(raw, (len(raw), i))
+            auto.add_word(raw, len(raw) << 32 | i)
             if len(raw) - ends == 1:
-                self.letters[raw] = i
+                (self.final if ends else self.inner)[ord(raw[0])] = i
         auto.make_automaton()
         self.auto = auto
         self.library = Tokenizer.from_file(path)
@@ -86,7 +91,9 @@ class SpeculativeBPE:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split.replace(r"[^\s", f"[^{SPACE}")).findall
         self.unstable = regex.compile(STABLE).search
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        # tokens of words, and their strings
+        self.cache: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
 
     def compatible(self, first: np.ndarray, second: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: whether merging leaves the border between them as it is.
@@ -114,32 +121,84 @@ class SpeculativeBPE:
             live, a, b, most = live[go], a[go], b[go], most[go]
         return out
 
-    def merged(self, word: str) -> list[int]:
-        """Tokens of a word (a letter for each byte) by merging the pair of lowest rank, leftmost first."""
-        ids = [self.letters[c] for c in word[:-1]] + [self.letters[word[-1] + END]]
-        while len(ids) > 1:
-            best = min((self.rank.get(p, self.n) for p in zip(ids, ids[1:])))
-            if best == self.n:
-                break
-            pair, out, i = (int(self.left[best]), int(self.right[best])), [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(best)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+    def made_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of tokens the one they merge into, n for none."""
+        key = a * self.n + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], self.n)
+
+    def merged(self, words: list[str]) -> dict[int, list[int]]:
+        """Tokens of words (a letter for each byte), by number, by merging the pair of lowest rank, leftmost first.
 
-    def words(self, new: list[str]) -> list[np.ndarray]:
-        """Tokens of distinct words: proposals for all at once, exact merging for those that fail the check."""
+        All words take a step at once, in which each merges its lowest pair wherever it stands; finished words leave. Words that are long
+        take their steps alone, by a heap.
+        """
+        done = {i: self.merged_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        some = [i for i in range(len(words)) if i not in done]
+        if not some:
+            return done
+        sizes = np.array([len(words[i]) for i in some])
+        ids = self.inner[np.frombuffer("".join([words[i] for i in some]).encode("latin-1"), np.uint8)]
+        last = np.cumsum(sizes) - 1
+        ids[last] = self.final[np.frombuffer("".join([words[i][-1] for i in some]).encode("latin-1"), np.uint8)]
+        of = np.repeat(np.array(some), sizes)
+        into = np.full(len(ids), self.n)
+        at = np.flatnonzero(of[1:] == of[:-1])
+        into[at] = self.made_of(ids[at], ids[at + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(into, starts), np.diff(starts, append=len(of)))
+            live = best < self.n
+            if not live.all():
+                ended = np.flatnonzero(~live)
+                cut = np.flatnonzero(np.diff(of[ended], prepend=-1))
+                done |= dict(zip(of[ended[cut]].tolist(), [x.tolist() for x in np.split(ids[ended], cut[1:])]))
+                ids, of, into, best = ids[live], of[live], into[live], best[live]
+            hit = np.flatnonzero(into == best)
+            run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)  # of pairs that overlap, a a a, every other one
+            hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(run, append=len(hit)))) % 2 == 0]
+            ids[hit] = best[hit]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            ids, of, into = ids[keep], of[keep], into[keep]
+            at = hit - np.arange(len(hit))  # where the new tokens stand now
+            at = np.unique(np.concatenate([at, at - 1]))
+            at = at[(at >= 0) & (at < len(ids))]
+            inside = at[:-1] if len(at) and at[-1] == len(ids) - 1 else at
+            into[at] = self.n
+            inside = inside[of[inside] == of[inside + 1]]
+            into[inside] = self.made_of(ids[inside], ids[inside + 1])
+        return done
+
+    def merged_long(self, word: str) -> list[int]:
+        """merged for one word: a heap of pairs by rank and place, over tokens linked to their neighbours."""
+        raw = word.encode("latin-1")
+        ids: list = [*self.inner[np.frombuffer(raw[:-1], np.uint8)].tolist(), int(self.final[raw[-1]])]
+        left, right = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
+        heap = [(k, i) for i, p in enumerate(zip(ids, ids[1:])) if (k := self.rank.get(p)) is not None]
+        heapify(heap)
+        while heap:
+            k, i = heappop(heap)
+            j = right[i] if ids[i] is not None else len(ids)
+            if j >= len(ids) or self.rank.get((ids[i], ids[j])) != k:
+                continue  # one of the two has merged since
+            ids[i], ids[j], right[i] = k, None, right[j]
+            if right[j] < len(ids):
+                left[right[j]] = i
+                if (x := self.rank.get((k, ids[right[j]]))) is not None:
+                    heappush(heap, (x, i))
+            if left[i] >= 0 and (x := self.rank.get((ids[left[i]], k))) is not None:
+                heappush(heap, (x, left[i]))
+        return [x for x in ids if x is not None]
+
+    def words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """Tokens of distinct words in one array, where each word's begin, and the tokens of those that had to be merged: proposals for all at once, exact merging for those that fail the check."""
         raw = [w.encode("utf-8").decode("latin-1") for w in new]
-        found = np.array([(end, *hit) for end, hit in self.auto.iter_long(END.join(raw) + END)], np.int64)
-        ends, sizes, ids = found[:, 0], found[:, 1], found[:, 2]
+        ends, hits = (np.array(x, np.int64) for x in zip(*self.auto.iter_long(END.join(raw) + END)))
+        sizes, ids = hits >> 32, hits & 0xFFFFFFFF
         word_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
         of = np.searchsorted(word_ends, ends)
-        starts = np.searchsorted(of, np.arange(len(new)))
+        starts = np.searchsorted(of, np.arange(len(new) + 1))
         fails = np.zeros(len(new), bool)
         fails[of[~self.canonical[ids]]] = True
         fails |= np.bincount(of, sizes, len(new)) != np.diff(word_ends, prepend=-1)  # a word end that no token took
@@ -147,10 +206,19 @@ class SpeculativeBPE:
         if len(inner):
             pairs, back = np.unique(ids[inner] * self.n + ids[inner + 1], return_inverse=True)
             fails[of[inner[~self.compatible(pairs // self.n, pairs % self.n)[back]]]] = True
-        out = np.split(ids, starts[1:])
-        for i in np.flatnonzero(fails):
-            out[i] = np.array(self.merged(raw[i]), np.int64)
-        return out
+        failed = np.flatnonzero(fails).tolist()
+        exact = self.merged([raw[i] for i in failed])
+        return ids, starts, {i: exact[k] for k, i in enumerate(failed)}
+
+    def learn(self, new: list[str]) -> None:
+        """Puts the tokens of new words in the cache."""
+        ids, starts, merged = self.words(new)
+        raw, names, at = ids.astype("<u4").tobytes(), [self.strings[i] for i in ids.tolist()], starts.tolist()
+        self.cache.update(zip(new, [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]))
+        self.said.update(zip(new, [names[a] if b == a + 1 else " ".join(names[a:b]) for a, b in zip(at, at[1:])]))
+        for i, tokens in merged.items():
+            self.cache[new[i]] = np.array(tokens, "<u4").tobytes()
+            self.said[new[i]] = " ".join([self.strings[x] for x in tokens])
 
     def split(self, text: str):
         """Words of a text and its special tokens, in order: (word or None, token or None)."""
@@ -158,8 +226,10 @@ class SpeculativeBPE:
             if k % 2:
                 yield None, self.special[part]
             elif part:
-                part = self.normalise(part)
-                if self.unstable(part):
+                # in this range lower case is the same everywhere, but for the sigma that ends a word
+                plain = not self.unstable(part) and "\u03a3" not in part and is_normalized("NFC", part)
+                part = part.lower() if plain else self.normalise(part)
+                if not plain and self.unstable(part):
                     yield [bytes([self.byte_of[c] for c in w]).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part)], None
                 else:
                     yield self.find(part), None
@@ -188,14 +258,14 @@ class SpeculativeBPE:
         new = sorted(w for w in seen if w not in cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
+            self.said.clear()
             new = sorted(seen)
         for at in range(0, len(new), 50_000):
-            for w, tokens in zip(new[at : at + 50_000], self.words(new[at : at + 50_000])):
-                cache[w] = (tokens.astype("<u4").tobytes(), " ".join([self.strings[i] for i in tokens.tolist()]))
-        out = []
+            self.learn(new[at : at + 50_000])
+        out, ids_of, said_of = [], cache.__getitem__, self.said.__getitem__
         for parts in split:
-            got = [g for found, token in parts for g in ([cache[w] for w in found] if found is not None else [(token.to_bytes(4, "little"), self.strings[token])])]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            ids = b"".join([b"".join(map(ids_of, found)) if found is not None else token.to_bytes(4, "little") for found, token in parts])
+            out.append((ids, " ".join([" ".join(map(said_of, found)) if found is not None else self.strings[token] for found, token in parts if found != []])))
         return out
 
     def decode(self, ids) -> str:

@@ -274,3 +274,38 @@ def test_top_k_of_many_blocks(spark, monkeypatch):
         best = sorted((-int(whole[q] @ whole[i]), i) for i in range(300) if i != q)[:7]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert out == want
+
+
+def test_bpe_of_long_words():
+    """Words of thousands of letters, and runs of one letter, are merged as the library merges them, in a moment."""
+    from tokenizers import Tokenizer
+
+    from mnemolith.llm.bpe import coder
+    from mnemolith.llm.queries import word_vocabulary
+
+    rng = random.Random(2)
+    library, bpe = Tokenizer.from_file(word_vocabulary()), coder(word_vocabulary())
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("etaoinshrdlu", "ab", "a", "éß字中") for n in (1, 2, 3, 7, 66, 67, 100, 199, 200, 201, 5000)]
+    texts += [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 30))) for _ in range(500)), "aaa aaaaa aaaaaaa " * 3]
+    for text, (ids, said) in zip(texts, bpe.encode(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == b"".join(i.to_bytes(4, "little") for i in want) and said == library.decode(want, skip_special_tokens=False)
+    start = time.time()
+    bpe.encode(["".join(rng.choice("etaoinshrdlu") for _ in range(300_000))])
+    assert time.time() - start < 20
+
+
+def test_bpe_of_long_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from mnemolith.llm import bpe
+    from mnemolith.llm.queries import word_vocabulary
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(["the ", "ing", "\n", " don't", "12", "<|endoftext|>", "É", "  "]) for _ in range(5000))
+    want = Tokenizer.from_file(word_vocabulary()).encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 100)
+    coder = bpe.SpeculativeBPE(word_vocabulary())
+    (ids, said), (none, nothing) = coder.encode([text, ""])
+    assert ids == b"".join(i.to_bytes(4, "little") for i in want) and said == Tokenizer.from_file(word_vocabulary()).decode(want, skip_special_tokens=False)
+    assert (none, nothing) == (b"", "")
