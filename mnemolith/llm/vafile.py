@@ -63,7 +63,7 @@ def middles(packed: bytes, low: np.ndarray, width: np.ndarray, n: int) -> np.nda
 
 
 def candidates(query_ids: np.ndarray, queries: np.ndarray, blocks: list, k: int):
-    """(query, vector, lower, upper) arrays for some queries: the vectors of a group whose upper bound reaches the k-th lower one.
+    """(queries, offsets, vectors, lower, upper) arrays for some queries: the vectors of a group whose upper bound reaches the k-th lower one, query after query.
 
     blocks: (ids, middles, half widths) of each block of the group.
     """
@@ -78,7 +78,7 @@ def candidates(query_ids: np.ndarray, queries: np.ndarray, blocks: list, k: int)
         lower = np.where(other, guess - slack, -np.inf)
         floor = np.partition(lower, len(ids) - k, 1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
         row, col = np.nonzero(other & (guess + slack >= floor[:, None]))
-        yield own[row], ids[col], lower[row, col], (guess + slack)[row, col]
+        yield own, np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32), ids[col], lower[row, col], (guess + slack)[row, col]
 
 
 def _products(a: list[bytes], b: list[bytes]) -> list[int]:
@@ -146,12 +146,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                     group.append((ids, middles(x["cells"], low, width, len(ids)), (width - 1) / 2))
                 elif group:
                     for found in candidates(ids, _whole(x["query"]).reshape(len(ids), -1).astype(np.float64), group, k):
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.array(np.full(len(found[0]), now[0]), pa.int32())], names=["query_id", "vec_id", "lower", "upper", "dim"])
+                        own, offsets, *lists = found
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), now[0]), pa.int32()), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]], names=["query_id", "dim", "vec_ids", "lower", "upper"])
 
-    maybe = meet.mapInArrow(scan, "query_id bigint, vec_id bigint, lower double, upper double, dim int")
+    # one row for a query and group
+    maybe = store(meet.mapInArrow(scan, "query_id bigint, dim int, vec_ids array<bigint>, lower array<double>, upper array<double>"))
     own = Window.partitionBy("query_id", "dim")
-    floor = F.nth_value("lower", k).over(own.orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = maybe.withColumn("floor", floor).where("floor is null or upper >= floor").withColumn("turn", F.row_number().over(own.orderBy(F.desc("upper"), "vec_id")))
+    lower = maybe.select("query_id", "dim", F.explode(F.slice(F.sort_array("lower", asc=False), 1, k)).alias("lower"))
+    floor = lower.withColumn("n", F.row_number().over(own.orderBy(F.desc("lower")))).where(F.col("n") == k).select("query_id", "dim", F.col("lower").alias("floor"))
+    both = F.arrays_zip("vec_ids", "upper")
+    near = maybe.join(floor, ["query_id", "dim"], "left").select("query_id", "dim", F.explode(F.filter(both, lambda x: F.col("floor").isNull() | (x["upper"] >= F.col("floor")))).alias("_x"))
+    near = near.select("query_id", "dim", F.col("_x.vec_ids").alias("vec_id"), "_x.upper").withColumn("turn", F.row_number().over(own.orderBy(F.desc("upper"), "vec_id")))
     near = store(near.select("query_id", "vec_id", "upper", "dim", "turn"))
 
     def each(batches):
