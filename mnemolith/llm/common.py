@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,10 @@ WS_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; one in fewer splits than there are cores, a small file in one row group, is dealt out by its first column."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def words(text: Column) -> Column:
@@ -30,14 +32,19 @@ def let(value: Column, body) -> Column:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir. Where that is missing, a folder in the warehouse, or a temporary one if all runs in one process."""
+    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir, or where that is missing one in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="mnemolith-") if sc.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 
+def _at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends; until then results that aren't read yet may need it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def _forget(spark: SparkSession) -> None:
     """Lets Spark's cleaner find the shuffle and checkpoint files of results that are no longer referred to; else they wait until the driver runs short of heap."""
     gc.collect()
@@ -46,7 +53,7 @@ def _forget(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that all executors share."""
-    _shared_folder(df.sparkSession)
+    _at_end(df.sparkSession, _shared_folder(df.sparkSession))
     _forget(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -54,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a compressed table and read again; for intermediate results of some size."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _at_end(df.sparkSession, path)
     _forget(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
