@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Terms of a batch of queries up to this number are broadcast to the postings.
+BROADCAST_TERMS = 100_000
 
 
 def postings(docs: DataFrame, keys: list[str], text_col: str = "text", analyse=fx.terms) -> DataFrame:
@@ -46,6 +48,47 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | None = 1
     return ranked(out, ["query_id"], keys, k)
 
 
+class Index:
+    """A stored inverted index: postings in ranges of (bucket, term), term counts, and corpus statistics.
+
+    A search reads the buckets of its terms only: they are partitions of the table, and within them files hold ranges of terms. Ranges go by the
+    documents' keys too, so a term that most documents hold spreads over many files.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, keys: list[str], path: str, text_col: str = "text", analyse=fx.terms) -> Index:
+        """Tokenises a corpus once and writes its postings; statistics are counted from what is written."""
+        spark = docs.sparkSession
+        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        rows = postings(docs, keys, text_col, analyse).withColumn("bucket", bucket)
+        rows.repartitionByRange("bucket", "term", *keys).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        # an empty document has no posting, but counts
+        docs.select(F.size(analyse(text_col)).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
+        spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartitionByRange("bucket", "term").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+        return cls(spark, path)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def search(self, queries: DataFrame, keys: list[str], k: int | None = 10, query_col: str = "query", analyse=fx.terms) -> DataFrame:
+        """What bm25 gives over the indexed corpus; the batch of queries is taken to be small, which is checked before it is broadcast."""
+        stats = self.table("stats").first()
+        asked = queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        hint = F.broadcast if small else lambda x: x
+        known = self.table("terms").join(hint(asked), ["bucket", "term"]).select("query_id", "bucket", "term", "df")
+        df = F.col("df")
+        idf = F.greatest(F.log((stats.n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(stats.avgdl)))
+        hits = self.table("postings").join(hint(known.withColumn("idf", idf)), ["bucket", "term"])
+        return ranked(hits.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score")), ["query_id"], keys, k)
+
+
 def ranked(scores: DataFrame, group: list[str], keys: list[str], k: int | None, score: str = "score") -> DataFrame:
     """Adds the rank by score within a group, ties by key, and keeps the best k."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *keys)).cast("long"))

@@ -50,6 +50,18 @@ def msgs(spark, d):
     return src.messages(convs(spark, d))
 
 
+def index(spark, d, name, keys, text="text", rows=None):
+    """The stored inverted index of a table, or of rows derived from it, written by the first query that asks for it."""
+    table = src.table(spark, d, name if rows is None else "documents")
+    return lexical.Index(spark, src.derived(spark, f"{name}-index", table, lambda path: lexical.Index.build(table if rows is None else rows(), keys, path, text)))
+
+
+def chunks(spark, d):
+    """The stored chunks of all documents in the default size."""
+    rows = docs(spark, d)
+    return spark.read.parquet(src.derived(spark, "chunks", rows, lambda path: chunking.chunk_documents(rows).write.parquet(path)))
+
+
 # --- terms and lexical search
 
 
@@ -71,11 +83,16 @@ def corpus_stats(spark, d):
 
 @query(f"WITH {o.bm25_ctes('conversations', 'conv_id, turn', ASKED)} {o.top('scored', 'query_id', 'conv_id, turn', 10)}")
 def bm25_search(spark, d):
-    return lexical.bm25(convs(spark, d), asked(spark), ["conv_id", "turn"], 10)
+    return index(spark, d, "conversations", ["conv_id", "turn"]).search(asked(spark), ["conv_id", "turn"], 10)
 
 
 @query(f"WITH {o.bm25_ctes('documents', 'doc_id', ASKED)} {o.top('scored', 'query_id', 'doc_id', 10)}")
 def bm25_topk_multi(spark, d):
+    return index(spark, d, "documents", ["doc_id"]).search(asked(spark), ["doc_id"], 10)
+
+
+@query(f"WITH {o.bm25_ctes('documents', 'doc_id', ASKED)} {o.top('scored', 'query_id', 'doc_id', 10)}")
+def bm25_unindexed(spark, d):
     return lexical.bm25(docs(spark, d), asked(spark), ["doc_id"], 10)
 
 
@@ -97,32 +114,33 @@ def vectors(spark, d):
     return src.table(spark, d, "embeddings")
 
 
-def first_vectors(spark, d, n=5):
-    return vectors(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def asked_vectors(spark, d):
+    """The stated query set: every vector whose id is divisible by 100, against all."""
+    return vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-COSINE = "SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 5"
+COSINE = "SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
 
 
 @query(f"WITH s AS ({COSINE}), p AS (SELECT query_id, vec_id, score FROM s WHERE score > 0) {o.top('p', 'query_id', 'vec_id', 10)}")
 def vector_topk(spark, d):
-    return vector.cosine_topk(vectors(spark, d), first_vectors(spark, d), 10)
+    return vector.cosine_topk(vectors(spark, d), asked_vectors(spark, d), 10)
 
 
 @query(f"WITH s AS ({COSINE}), p AS (SELECT query_id, vec_id, score FROM s WHERE score > 0 AND label = 3) {o.top('p', 'query_id', 'vec_id', 10)}")
 def vector_topk_labelled(spark, d):
-    return vector.cosine_topk(vectors(spark, d).where("label = 3"), first_vectors(spark, d), 10)
+    return vector.cosine_topk(vectors(spark, d).where("label = 3"), asked_vectors(spark, d), 10)
 
 
 @query(f"WITH s AS ({COSINE}) SELECT query_id, count(*) AS hits, round(min(score), 6) AS least FROM s WHERE score > 0 GROUP BY query_id")
 def vector_positive_only(spark, d):
-    return vector.cosine_hits(vectors(spark, d), first_vectors(spark, d)).select("query_id", "hits", F.round("least", 6).alias("least"))
+    return vector.cosine_hits(vectors(spark, d), asked_vectors(spark, d)).select("query_id", "hits", F.round("least", 6).alias("least"))
 
 
 def two_streams(spark, d, k=20):
     """Lexical hits of documents and vector hits, an embedding standing for the document of its number."""
-    lex = lexical.bm25(docs(spark, d), asked(spark), ["doc_id"], k).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
-    vec = vector.cosine_topk(vectors(spark, d), first_vectors(spark, d), k).select("query_id", F.col("vec_id").alias("id"), "rank", "score")
+    lex = index(spark, d, "documents", ["doc_id"]).search(asked(spark), ["doc_id"], k).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
+    vec = vector.cosine_topk(vectors(spark, d), asked_vectors(spark, d), k).select("query_id", F.col("vec_id").alias("id"), "rank", "score")
     return lex, vec
 
 
@@ -160,7 +178,7 @@ def ensemble_selection(spark, d):
 
 @query(f"WITH {o.bm25_ctes('documents', 'doc_id', ASKED)}, t AS ({o.top('scored', 'query_id', 'doc_id', 20)}), x AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM t WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS normalised FROM x")
 def minmax_normalise(spark, d):
-    best = lexical.bm25(docs(spark, d), asked(spark), ["doc_id"], 20)
+    best = index(spark, d, "documents", ["doc_id"]).search(asked(spark), ["doc_id"], 20)
     return fusion.minmax(best, ["query_id"]).select("query_id", "doc_id", F.round("normalised", 6).alias("normalised"))
 
 
@@ -310,7 +328,7 @@ def content_type(spark, d):
     return src.table(spark, d, "pages").select("page_id", fx.content_type("url").alias("content_type"), fx.safe_id("url").alias("safe"))
 
 
-NOTED = "n AS (SELECT doc_id, substr(text, 1, 200) || ' see file_' || substr(sha256(text), 1, 8) || ' and rlm_chunk:' || doc_id || '/a.b. then message:m' || (doc_id % 10) || ' file_' || substr(sha256(text), 1, 8) || chr(10) || '[LCM File IDs: file_abcdef]' AS t FROM documents)"
+NOTED = "n AS (SELECT doc_id, text || ' see file_' || substr(sha256(text), 1, 8) || ' and rlm_chunk:' || doc_id || '/a.b. then message:m' || (doc_id % 10) || ' file_' || substr(sha256(text), 1, 8) || chr(10) || '[LCM File IDs: file_abcdef]' AS t FROM documents)"
 
 
 def noted(spark, d, text="text"):
@@ -331,7 +349,7 @@ def source_refs_extract(spark, d):
 
 @query(f"WITH {NOTED} SELECT doc_id, rtrim(regexp_replace(t, '\\s*\\[LCM File IDs: [^\\]]*\\]\\s*$', ''), ' ') AS stripped FROM n")
 def footer_strip(spark, d):
-    return noted(spark, d, F.substring("text", 1, 200)).select("doc_id", fx.strip_footers("t").alias("stripped"))
+    return noted(spark, d).select("doc_id", fx.strip_footers("t").alias("stripped"))
 
 
 @query("SELECT doc_id, 'ltm_' || substr(sha256(source || chr(31) || 'doc' || chr(31) || doc_id), 1, 32) AS item_id, 'session-' || substr(sha256(source), 1, 24) AS session_key FROM documents")
@@ -360,21 +378,21 @@ def chunk_lossless(spark, d):
 
 @query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)}, ck AS (SELECT doc_id, chunk_index, substr(text, char_start + 1, char_end - char_start) AS text FROM chunks), {o.bm25_ctes('ck', 'doc_id, chunk_index', ASKED)} {o.top('scored', 'query_id', 'doc_id, chunk_index', 10)}")
 def chunk_search(spark, d):
-    return lexical.bm25(chunking.chunk_documents(docs(spark, d)), asked(spark), ["doc_id", "chunk_index"], 10, text_col="content")
+    return index(spark, d, "chunks", ["doc_id", "chunk_index"], "content", lambda: chunks(spark, d)).search(asked(spark), ["doc_id", "chunk_index"], 10)
 
 
 @query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)} SELECT doc_id, CAST(chunk_index // 4 AS BIGINT) AS batch_index, count(*) AS chunks, CAST(min(chunk_index) AS BIGINT) AS first_chunk FROM chunks GROUP BY ALL")
 def dispatch_batches(spark, d):
-    c = chunking.batches(chunking.chunk_documents(docs(spark, d)), ["doc_id"], ["chunk_index"], 4)
+    c = chunking.batches(chunks(spark, d), ["doc_id"], ["chunk_index"], 4)
     return c.groupBy("doc_id", "batch_index").agg(F.count("*").alias("chunks"), F.min("chunk_index").alias("first_chunk"))
 
 
 def runs(spark, d):
-    c = chunking.batches(chunking.chunk_documents(docs(spark, d).where("doc_id % 20 = 0")), ["doc_id"], ["chunk_index"], 4)
+    c = chunking.batches(chunks(spark, d), ["doc_id"], ["chunk_index"], 4)
     return c, mapreduce.run_batches(c)
 
 
-RUNS = f"{o.chunk_ctes(1000, 100, '(SELECT * FROM documents WHERE doc_id % 20 = 0)')}, b AS (SELECT doc_id, chunk_index // 4 AS batch_index, count(*) AS chunks FROM chunks GROUP BY ALL)"
+RUNS = f"{o.chunk_ctes(1000, 100)}, b AS (SELECT doc_id, chunk_index // 4 AS batch_index, count(*) AS chunks FROM chunks GROUP BY ALL)"
 
 
 @query(f"WITH RECURSIVE {RUNS} SELECT doc_id, count(*) AS batches, CAST(0 AS BIGINT) AS failed, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(1.0 AS DOUBLE) AS coverage FROM b GROUP BY doc_id")
@@ -545,13 +563,13 @@ def correction_fold(spark, d):
 
 
 def claims(spark, d):
-    return docs(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("claim_id"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2, F.lit(-1).cast("long"))).alias("item_id"))
+    return docs(spark, d).select(F.col("doc_id").alias("claim_id"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2, F.lit(-1).cast("long"))).alias("item_id"))
 
 
-CLAIMS = "cl AS (SELECT c.doc_id AS claim_id, d.doc_id AS item_id FROM documents c JOIN documents d ON d.doc_id IN (c.doc_id + 1, c.doc_id + 2) WHERE c.doc_id % 20 = 0)"
+CLAIMS = "cl AS (SELECT c.doc_id AS claim_id, d.doc_id AS item_id FROM documents c JOIN documents d ON d.doc_id IN (c.doc_id + 1, c.doc_id + 2))"
 
 
-@query(f"WITH {CLAIMS} SELECT claim_id AS item_id, string_agg(item_id, ',' ORDER BY item_id) AS contradicts, NULL AS contradicted_by FROM cl GROUP BY claim_id UNION ALL SELECT item_id, NULL, CAST(claim_id AS VARCHAR) FROM cl")
+@query(f"WITH {CLAIMS}, a AS (SELECT claim_id AS item_id, string_agg(item_id, ',' ORDER BY item_id) AS contradicts FROM cl GROUP BY claim_id), b AS (SELECT item_id, string_agg(claim_id, ',' ORDER BY claim_id) AS contradicted_by FROM cl GROUP BY item_id) SELECT item_id, contradicts, contradicted_by FROM a FULL JOIN b USING (item_id)")
 def contradiction_links(spark, d):
     rows = lifecycle.contradict(docs(spark, d).select(F.col("doc_id").alias("item_id")), claims(spark, d))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -640,7 +658,7 @@ def answer_contains_eval(spark, d):
 @query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)}, sp AS (SELECT b.item_id, d.doc_id, strpos(d.text, b.text) - 1 AS a, strpos(d.text, b.text) - 1 + length(b.text) AS z FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, item_id FROM chunks JOIN sp USING (doc_id) WHERE char_start < z AND a < char_end")
 def evidence_overlap(spark, d):
     spans = answer_evidence(spark, d).join(src.table(spark, d, "benchmark"), "item_id").select("doc_id", "item_id", F.col("char_start").alias("start"), (F.col("char_start") + F.char_length("text")).alias("end"))
-    return evaluate.overlapping(chunking.chunk_documents(docs(spark, d)), spans).select("doc_id", "chunk_index", "item_id")
+    return evaluate.overlapping(chunks(spark, d), spans).select("doc_id", "chunk_index", "item_id")
 
 
 @query(f"WITH {o.MESSAGES}, {TAIL} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY position) AS place, 'message' AS source, 'message:' || session_id || ':' || turn AS ref, role, CAST(least(tokens, {BUDGET}) AS BIGINT) AS tokens FROM t WHERE running <= {BUDGET} OR (running = cost AND cost > {BUDGET})")

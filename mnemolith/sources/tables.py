@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +14,42 @@ from mnemolith.functions import text as fx
 MESSAGES = T.StructType([T.StructField(n, t) for n, t in (("session_id", T.LongType()), ("turn", T.LongType()), ("position", T.LongType()), ("role", T.StringType()), ("text", T.StringType()), ("tokens", T.LongType()))])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out by its first column if it comes in fewer splits than there are cores: a small file in one row group would keep one of them busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where derived tables are kept: the folder that all executors share, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def derived(spark: SparkSession, name: str, source: DataFrame, build) -> str:
+    """The folder of a table derived from the files of a source, written by build(folder) where it isn't there yet.
+
+    Its name tells the files by path, size and time, so a changed source is derived anew. It is written beside its place and
+    renamed, so no reader sees a part of it; it is deleted when the driver ends.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    seen = []
+    for f in sorted(source.inputFiles()):
+        at = hadoop.Path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    folder = f"{shared_folder(spark)}/derived-{name}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:16]}"
+    place, part = hadoop.Path(folder), hadoop.Path(f"{folder}.{uuid.uuid4().hex}")
+    fs = place.getFileSystem(conf)
+    if not fs.exists(place):
+        build(part.toString())
+        if not fs.rename(part, place):
+            fs.delete(part, True)  # another writer was first
+        fs.deleteOnExit(place)
+    return folder
 
 
 def messages(conversations: DataFrame) -> DataFrame:
