@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolith.functions import text as fx
+
 #: Tokens that each message costs besides its text.
 OVERHEAD = 5
 
@@ -142,3 +144,56 @@ def context_view(items: DataFrame, messages: DataFrame, summaries: DataFrame) ->
     key = ["session_id", "item_type", "item_id"]
     rows = items.join(m, key, "left").join(s, key, "left")
     return rows.select("session_id", "position", "item_type", F.coalesce("_r1", F.lit("assistant")).alias("role"), F.coalesce("_t1", "_t2").alias("text"), F.coalesce("_n1", "_n2").alias("tokens"))
+
+
+def system_message(prompt: str, hard: int) -> tuple[str | None, int]:
+    """A system prompt as it fits a context, and its tokens."""
+    n = max(1, len(prompt) // 4) if prompt else 0
+    if n <= hard:
+        return prompt or None, n
+    marker = MARKER.format("system", "system")
+    room = max(1, len(marker) // 4)
+    if room > hard:
+        return None, 0
+    body = prompt[: (hard - room) * 4].rstrip()
+    text = body + marker if body else marker.strip()
+    return text, max(1, len(text) // 4)
+
+
+#: Fixed value: what is written where a text is cut to fit a context.
+MARKER = "\n\n[LCM {} truncated for context budget; source_id={}]"
+
+
+def build_context(view: DataFrame, hard: int, system_prompt: str = "") -> DataFrame:
+    """(session_id, place, source, source_id, role, text, tokens, is_cut) of the contexts of all sessions within a hard limit.
+
+    The system prompt comes first, cut to the limit if need be; then the items of the view in order of position: summaries from the oldest on, of which the first that doesn't
+    fit is cut to what is left and ends them; then the newest messages that fit what remains. If not even the newest fits, it is cut and stands alone.
+    view: (session_id, position, item_type, item_id, role, text, tokens), summaries with their heads; each item but the system prompt costs OVERHEAD more.
+    """
+    system, system_tokens = system_message(system_prompt, hard)
+
+    def marker(label):
+        before, after = MARKER.split("source_id={}")
+        return F.concat(F.lit(before.format(label) + "source_id="), F.col("item_id"), F.lit(after))
+
+    sums = budget_prefix(view.where("item_type = 'summary'"), max(0, hard - system_tokens))
+    short = fit_text(F.col("text"), marker("summary"), F.col("room"))
+    over = F.col("room").isNotNull()
+    sums = sums.withColumn("is_cut", over).withColumn("text", F.when(over, short).otherwise(F.col("text"))).where("text is not null")
+    sums = sums.withColumn("tokens", F.when(over, fx.tokens("text")).otherwise(F.col("tokens")))
+    used = sums.groupBy("session_id").agg(F.sum(F.col("tokens") + OVERHEAD).alias("_used"))
+    room = F.greatest(F.lit(0), F.lit(hard - system_tokens) - F.coalesce("_used", F.lit(0)))
+    raw = view.where("item_type = 'message'").join(used, "session_id", "left").withColumn("_room", room).drop("_used")
+    raw = raw.withColumn("cost", F.col("tokens") + OVERHEAD).withColumn("running", F.sum("cost").over(newest()))
+    alone = (F.col("running") == F.col("cost")) & (F.col("cost") > F.col("_room"))
+    short = F.when(F.col("_room") > OVERHEAD, fit_text(F.col("text"), marker("raw message"), F.col("_room") - OVERHEAD))
+    raw = raw.where((F.col("running") <= F.col("_room")) | alone).withColumn("is_cut", alone).withColumn("text", F.when(alone, short).otherwise(F.col("text"))).where("text is not null")
+    raw = raw.withColumn("tokens", F.when(alone, fx.tokens("text")).otherwise(F.col("tokens")))
+    cols = ["session_id", "position", F.col("item_type").alias("source"), F.col("item_id").alias("source_id"), "role", "text", "tokens", "is_cut"]
+    rows = sums.select(*cols).unionByName(raw.select(*cols))
+    if system is not None:
+        head = view.select("session_id").distinct().select("session_id", F.lit(-1).cast("long").alias("position"), F.lit("system").alias("source"), F.lit("system").alias("source_id"), F.lit("system").alias("role"), F.lit(system).alias("text"), F.lit(system_tokens).cast("long").alias("tokens"), F.lit(system != system_prompt).alias("is_cut"))
+        rows = head.unionByName(rows)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("position")).cast("long")
+    return rows.withColumn("place", place).select("session_id", "place", "source", "source_id", "role", "text", "tokens", "is_cut")

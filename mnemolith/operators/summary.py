@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
+from mnemolith.sources.tables import cut
 
-from .session import OVERHEAD, anchors
+from .session import OVERHEAD, Budget, anchors, assess, candidates
 
 #: A summary over so many tokens is cut at its last line end.
 MAX_TOKENS = 7_200
@@ -92,17 +93,73 @@ def is_lossless(before, after):
     return F.size(F.array_except(before, after)) == 0
 
 
-def compact_rounds(messages: DataFrame, hard: int, keep: int = 2, rounds: int = 3) -> DataFrame:
-    """(session_id, rounds, before, after) of compaction in at most so many rounds; each swaps the candidates for one summary if that shrinks the session.
+#: The head that a summary has in a context, and the texts that stand for one that would not shrink it.
+NODE_HEAD, PREVIEW_HEAD = "[LCM summary node {}]\n", "[LCM summary node preview]\n"
+REFERENCE_LEAF = "[LCM deterministic compaction: %d messages. Raw sources preserved from %s to %s.]"
+REFERENCE_NODE = "[LCM deterministic condensation: %d summary nodes. Raw sources preserved from %s to %s.]"
 
-    One plan: a session's summary after r rounds stands for the same messages, so the rounds are a fixed number of projections.
+
+def node_text(node_id, content):
+    """A summary as it stands in a context."""
+    before, after = NODE_HEAD.split("{}")
+    return F.concat(F.lit(before), node_id, F.lit(after), content)
+
+
+def context_cost(content):
+    """What a summary of this content will cost in a context, before it has an id."""
+    return fx.tokens(F.concat(F.lit(PREVIEW_HEAD), content)) + OVERHEAD
+
+
+def compact_context(view: DataFrame, budget: Budget, keep: int = 2, rounds: int = 3, force: bool = False, defer_soft: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compaction of all sessions at once, in at most so many rounds: (view after, summaries made, report).
+
+    view: (session_id, position, item_type, item_id, role, text, tokens, level, span_start, span_end), an active context: a message is its own span, of
+    level -1; a summary's text is without its head. A session at its soft limit is compacted, or any with force; with defer_soft one below its hard limit
+    is left for later. While a session is over its soft limit, a round summarises its messages before the recent ones, or, without any, its summaries if
+    there are several; a summary that would not shrink the context gives way to a reference, and where that would not either, the session is done.
+    made: (session_id, summary_id, round, level, span_start, span_end, content, tokens, children, file_ids); report: (session_id, triggered, deferred, rounds,
+    before, after, effective, summaries). Rounds are a bounded loop; each cuts its lineage.
     """
-    from .session import candidates
-
-    total = messages.groupBy("session_id").agg(F.sum(F.col("tokens") + OVERHEAD).alias("before"))
-    old = candidates(messages, keep)
-    part = old.groupBy("session_id").agg(F.sum(F.col("tokens") + OVERHEAD).alias("_old"), F.count("*").alias("_k"))
-    made = compact(old).select("session_id", (F.col("tokens") + OVERHEAD).alias("_new"), "shrinks")
-    rows = total.join(part, "session_id", "left").join(made, "session_id", "left")
-    due = (F.col("before") >= hard) & F.coalesce(F.col("shrinks") & (F.col("_k") > 0), F.lit(False)) & F.lit(rounds > 0)
-    return rows.select("session_id", due.cast("long").alias("rounds"), "before", F.when(due, F.col("before") - F.col("_old") + F.col("_new")).otherwise(F.col("before")).alias("after"))
+    cost = F.sum(F.col("tokens") + OVERHEAD)
+    state = assess(view.groupBy("session_id").agg(cost.alias("context_tokens")), budget).withColumnRenamed("context_tokens", "before")
+    late = F.lit(defer_soft and not force) & F.col("soft_overflow") & ~F.col("hard_overflow")
+    state = state.select("session_id", "before", late.alias("deferred"), ((F.lit(force) | F.col("soft_overflow")) & ~late).alias("triggered"))
+    live, made = state.where("triggered").select("session_id"), None
+    for r in range(rounds):
+        now = view.join(live, "session_id", "left_semi")
+        over = now.groupBy("session_id").agg(cost.alias("_now"), F.count_if(F.col("item_type") == "summary").alias("_sums"))
+        over = over.where(F.lit(force) | (F.col("_now") > budget.soft)).select("session_id", "_sums")
+        now = now.join(over, "session_id")
+        old = candidates(now.where("item_type = 'message'"), keep)
+        rest = now.where("item_type = 'summary' and _sums > 1").join(old.select("session_id").distinct(), "session_id", "left_anti")
+        raw = F.when(F.col("item_type") == "message", F.col("tokens") + OVERHEAD).otherwise(context_cost(F.col("text")))
+        taken = old.unionByName(rest).withColumn("turn", F.col("position")).withColumn("_raw", raw)
+        about = taken.groupBy("session_id").agg(
+            F.count("*").alias("_n"), F.sum("_raw").alias("_raw"), F.min("position").alias("position"), (F.max("level") + 1).alias("level"), F.min_by("span_start", "position").alias("span_start"),
+            F.max_by("span_end", "position").alias("span_end"), F.transform(F.array_sort(F.collect_list(F.struct("position", "item_id"))), lambda x: x["item_id"]).alias("_ids"), F.max(F.col("item_type") == "summary").alias("_nodes"),
+        )
+        both = compact(taken).select("session_id", F.col("content").alias("_l3"), "file_ids").join(about, "session_id")
+        reference = F.when(F.col("_nodes"), F.format_string(REFERENCE_NODE, "_n", "span_start", "span_end")).otherwise(F.format_string(REFERENCE_LEAF, "_n", "span_start", "span_end"))
+        fits = lambda text: (F.col("_n") == 1) | (context_cost(text) < F.col("_raw"))
+        both = both.withColumn("content", F.when(fits(F.col("_l3")), F.col("_l3")).when(fits(reference), reference)).where("content is not null")
+        both = both.withColumn("summary_id", fx.stable_id("sum_", "session_id", "level", "span_start", "span_end")).withColumn("tokens", fx.tokens(node_text(F.col("summary_id"), F.col("content"))))
+        children = F.when(F.col("_nodes"), F.col("_ids")).otherwise(F.array().cast("array<string>"))
+        new = cut(both.select("session_id", "summary_id", F.lit(r + 1).cast("long").alias("round"), "level", "span_start", "span_end", "position", "content", "tokens", children.alias("children"), "file_ids", F.col("_ids").alias("replaced"), F.col("_nodes").alias("condensed")))
+        gone = new.select("session_id", F.explode("replaced").alias("item_id"), F.when(F.col("condensed"), "summary").otherwise("message").alias("item_type"))
+        stands = new.select("session_id", "position", F.lit("summary").alias("item_type"), F.col("summary_id").alias("item_id"), F.lit("assistant").alias("role"), F.col("content").alias("text"), "tokens", "level", "span_start", "span_end")
+        view = view.join(gone, ["session_id", "item_type", "item_id"], "left_anti").select(*stands.columns).unionByName(stands)
+        live = new.select("session_id")
+        made = new if made is None else made.unionByName(new)
+        if r + 1 < rounds:
+            if not new.limit(1).count():
+                break
+            view = cut(view)
+    after = view.groupBy("session_id").agg(cost.alias("after"))
+    report = state.join(after, "session_id")
+    if made is None:
+        report = report.withColumn("rounds", F.lit(0).cast("long")).withColumn("summaries", F.array().cast("array<string>"))
+    else:
+        ids = made.groupBy("session_id").agg(F.count("*").alias("rounds"), F.transform(F.array_sort(F.collect_list(F.struct("round", "summary_id"))), lambda x: x["summary_id"]).alias("summaries"))
+        report = report.join(ids, "session_id", "left").withColumn("rounds", F.coalesce("rounds", F.lit(0))).withColumn("summaries", F.coalesce("summaries", F.array().cast("array<string>")))
+    report = report.select("session_id", "triggered", "deferred", "rounds", "before", "after", ((F.col("rounds") > 0) & (F.col("after") < F.col("before"))).alias("effective"), "summaries")
+    return view, made, report

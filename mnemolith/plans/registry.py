@@ -503,9 +503,62 @@ def l3_compaction(spark, d):
     return summary.compact(msgs(spark, d)).select("session_id", fx.content_hash("content").alias("content"), "tokens", "covered", "span_start", "span_end", "shrinks")
 
 
-@query(f"WITH {o.MESSAGES} SELECT session_id, CAST(sum(tokens + 5) AS BIGINT) AS before FROM m GROUP BY session_id")
+def contexts(spark, d):
+    """Contexts whose first two turns are summaries, one each."""
+    m = msgs(spark, d)
+    first = F.col("turn") < 2
+    item = F.concat(F.when(first, "s").otherwise("m"), F.col("session_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    tokens = F.when(first, fx.tokens(summary.node_text(item, F.col("text")))).otherwise(F.col("tokens"))
+    return m.select("session_id", "position", F.when(first, "summary").otherwise("message").alias("item_type"), item.alias("item_id"), F.when(first, "assistant").otherwise(F.col("role")).alias("role"), "text", tokens.alias("tokens"), F.when(first, 0).otherwise(-1).cast("long").alias("level"), F.col("turn").cast("string").alias("span_start"), F.col("turn").cast("string").alias("span_end"))
+
+
+CONTEXTS = f"""v0 AS (SELECT *, CASE WHEN turn < 2 THEN 's' ELSE 'm' END || session_id || '_' || turn AS id FROM m),
+v1 AS (SELECT session_id, position, CASE WHEN turn < 2 THEN 'summary' ELSE 'message' END AS kind, id, CASE WHEN turn < 2 THEN 'assistant' ELSE role END AS role, text,
+ CAST(CASE WHEN turn < 2 THEN {o.TOKENS.format("('[LCM summary node ' || id || ']' || chr(10) || text)")} ELSE tokens END AS BIGINT) AS tokens, CASE WHEN turn < 2 THEN 0 ELSE -1 END AS level, CAST(turn AS VARCHAR) AS a, CAST(turn AS VARCHAR) AS b FROM v0)"""
+TIGHT = session.Budget(limit=450, output=50, buffer=0)
+ROUNDS = f"{o.MESSAGES}, {CONTEXTS}, {o.compaction_ctes(3, TIGHT.soft)}, made AS (" + " UNION ALL ".join(f"SELECT round, session_id, level, a, b, content, id, nodes, tokens FROM new{r}" for r in (1, 2, 3)) + ")"
+
+
+@query(f"""WITH {ROUNDS} SELECT b0.session_id, before, before >= {TIGHT.soft} AS triggered, CAST(f.after AS BIGINT) AS after, coalesce(k, 0) AS rounds, coalesce(k, 0) > 0 AND f.after < before AS effective, coalesce(ids, '') AS summaries FROM b0
+ JOIN (SELECT session_id, sum(tokens + 5) AS after FROM v4 GROUP BY 1) f USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS k, string_agg(id, ',' ORDER BY round) AS ids FROM made GROUP BY 1) USING (session_id)""")
 def compaction_rounds(spark, d):
-    return summary.compact_rounds(msgs(spark, d), hard=600).select("session_id", "before")
+    report = summary.compact_context(contexts(spark, d), TIGHT)[2]
+    return report.select("session_id", "before", "triggered", "after", "rounds", "effective", F.array_join("summaries", ",").alias("summaries"))
+
+
+@query(f"WITH {ROUNDS} SELECT session_id, id AS summary_id, CAST(round AS BIGINT) AS round, CAST(level AS BIGINT) AS level, a AS span_start, b AS span_end, sha256(content) AS content, CAST(tokens AS BIGINT) AS tokens FROM made")
+def compaction_summaries(spark, d):
+    made = summary.compact_context(contexts(spark, d), TIGHT)[1]
+    return made.select("session_id", "summary_id", "round", "level", "span_start", "span_end", fx.content_hash("content").alias("content"), "tokens")
+
+
+@query(f"WITH {ROUNDS} SELECT session_id, position, kind AS item_type, id AS item_id, CAST(tokens AS BIGINT) AS tokens FROM v4")
+def compaction_view(spark, d):
+    return summary.compact_context(contexts(spark, d), TIGHT)[0].select("session_id", "position", "item_type", "item_id", "tokens")
+
+
+@query(f"WITH {o.MESSAGES}, {CONTEXTS}, t AS (SELECT session_id, CAST(sum(tokens + 5) AS BIGINT) AS before FROM v1 GROUP BY 1) SELECT session_id, before, before >= {TIGHT.soft} AND before < {TIGHT.hard} AS deferred, before >= {TIGHT.hard} AS triggered FROM t")
+def compaction_deferral(spark, d):
+    return summary.compact_context(contexts(spark, d), TIGHT, rounds=0, defer_soft=True)[2].select("session_id", "before", "deferred", "triggered")
+
+
+PROMPT, LIMIT = "Answer from what is known, and say where it stands.", 150
+_MARK = "(chr(10) || chr(10) || '[LCM {0} truncated for context budget; source_id=' || id || ']')"
+_NODE = "('[LCM summary node ' || id || ']' || chr(10) || text)"
+
+
+@query(f"""WITH {o.MESSAGES}, {CONTEXTS}, h AS (SELECT {LIMIT} - {len(PROMPT) // 4} AS room),
+s1 AS (SELECT session_id, position, id, {_NODE} AS text, tokens, sum(tokens + 5) OVER (PARTITION BY session_id ORDER BY position) AS running FROM v1 WHERE kind = 'summary'),
+s2 AS (SELECT *, running <= room AS whole, room - (running - tokens - 5) - 5 AS rest FROM s1, h), s3 AS (SELECT session_id, position, id, NOT whole AS is_cut, CASE WHEN whole THEN text ELSE {o.fitted('text', _MARK.format('summary'), 'rest')} END AS text FROM s2 WHERE whole OR rest > 0 AND running - tokens - 5 <= room),
+s AS (SELECT *, {o.TOKENS.format('text')} AS tokens FROM s3 WHERE text IS NOT NULL), us AS (SELECT session_id, sum(tokens + 5) AS used FROM s GROUP BY 1),
+r1 AS (SELECT session_id, position, id, role, text, tokens, sum(tokens + 5) OVER (PARTITION BY session_id ORDER BY position DESC) AS running, greatest(0, room - coalesce(used, 0)) AS left_ FROM v1 LEFT JOIN us USING (session_id), h WHERE kind = 'message'),
+r2 AS (SELECT *, running = tokens + 5 AND running > left_ AS is_cut FROM r1), r3 AS (SELECT session_id, position, id, role, is_cut, CASE WHEN NOT is_cut THEN text WHEN left_ > 5 THEN {o.fitted('text', _MARK.format('raw message'), '(left_ - 5)')} END AS text FROM r2 WHERE running <= left_ OR is_cut),
+al AS (SELECT DISTINCT session_id, -1 AS position, 'system' AS source, 'system' AS id, 'system' AS role, '{PROMPT}' AS text, false AS is_cut FROM v1 UNION ALL SELECT session_id, position, 'summary', id, 'assistant', text, is_cut FROM s UNION ALL SELECT session_id, position, 'message', id, role, text, is_cut FROM r3 WHERE text IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY position) AS place, source, id AS source_id, role, sha256(text) AS text, CAST({o.TOKENS.format('text')} AS BIGINT) AS tokens, is_cut FROM al""")
+def context_build(spark, d):
+    rows = contexts(spark, d)
+    rows = rows.withColumn("text", F.when(F.col("item_type") == "summary", summary.node_text(F.col("item_id"), F.col("text"))).otherwise(F.col("text")))
+    return session.build_context(rows, LIMIT, PROMPT).withColumn("text", fx.content_hash("text"))
 
 
 DAG = f"""{o.MESSAGES}, n0 AS (SELECT session_id, (position - 1) // 2 AS g, min(turn) AS a, max(turn) AS b, sum(tokens) AS t FROM m GROUP BY ALL),

@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def derived(spark: SparkSession, name: str, source: DataFrame, build) -> str:
     """The folder of a table derived from the files of a source, written by build(folder) where it isn't there yet.
 

@@ -137,11 +137,14 @@ def messages(spark, texts, roles=None):
 
 def test_compaction_shrinks(spark):
     m = messages(spark, [f"fact {i} file_abc{i:03d} " + "long text " * 200 for i in range(8)], ["user"] * 8)
-    out = summary.compact_rounds(m, hard=2000).first()
-    assert out.rounds == 1 and out.after < out.before
+    view = m.select("session_id", "position", F.lit("message").alias("item_type"), F.col("turn").cast("string").alias("item_id"), "role", "text", "tokens", F.lit(-1).cast("long").alias("level"), F.col("turn").cast("string").alias("span_start"), F.col("turn").cast("string").alias("span_end"))
+    out = summary.compact_context(view, session.Budget(2000, 0, 0))[2].first()
+    assert out.rounds == 1 and out.after < out.before and out.effective
     s = summary.compact(m).first()
     assert s.shrinks and s.covered == 8 and s.content.startswith("[L3 DETERMINISTIC COMPACTION — 8 messages]") and len(s.file_ids) == 8 and "file_abc007" in s.content
-    assert summary.compact_rounds(m, hard=10**6).first().rounds == 0
+    assert summary.compact_context(view, session.Budget(10**6, 0, 0))[2].first().rounds == 0
+    assert summary.compact_context(view, session.Budget(10**6, 0, 0), force=True)[2].first().rounds == 1
+    assert summary.compact_context(view, session.Budget(5000, 0, 0), defer_soft=True)[2].first().deferred
     assert not summary.compact(messages(spark, ["a", "b", "c"])).first().shrinks
 
 
