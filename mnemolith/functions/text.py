@@ -12,9 +12,12 @@ TERM = r"[\p{L}\p{N}]+"
 #: Lower-case Latin letters with marks and the plain letters that they fold to, by Unicode decomposition.
 _FOLD = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if chr(c).islower() and unicodedata.normalize("NFD", chr(c))[0].isascii() and unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))]
 MARKED, PLAIN = "".join(a for a, _ in _FOLD), "".join(b for _, b in _FOLD)
+#: The forms of ids, refs and footers.
 FILE_ID = r"\bfile_[0-9a-fA-F]{6,32}\b"
 SOURCE_REF = r"\b(?:rlm_chunk|message|content|file):[A-Za-z0-9_.:/-]+\b"
-FOOTER = r"(?m)\s*\[LCM (?:File IDs|Source Refs): [^\]]*\]\s*$"
+CHUNK_ID = r"(?:rlm_chunk:)?(rchunk_[A-Za-z0-9_]+)"
+FOOTER = r"(?m)\n*\[LCM (?:File IDs|Source Refs):[^\[\]]*\]\s*$"
+INTERNAL_REFS = "content:lcm-compaction-input:"
 
 
 def _col(x) -> Column:
@@ -81,18 +84,53 @@ def source_refs(text) -> Column:
 
 
 def strip_footers(text) -> Column:
-    return F.rtrim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), FOOTER, ""))
+    return F.regexp_replace(F.coalesce(_col(text), F.lit("")), FOOTER, "")
 
 
 def add_footers(text, ids, refs) -> Column:
     """Text with canonical footers for ids and refs, in place of any that it has."""
 
     def line(name, values):
-        return F.when(F.size(values) > 0, F.concat(F.lit(f"\n[LCM {name}: "), F.array_join(values, ", "), F.lit("]"))).otherwise("")
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"\n\n[LCM {name}: "), F.array_join(values, ", "), F.lit("]"))).otherwise("")
 
     return F.concat(strip_footers(text), line("File IDs", _col(ids)), line("Source Refs", _col(refs)))
 
 
+def chunk_ids(text) -> Column:
+    """Ids of chunks that a text names, first places only."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(CHUNK_ID), F.lit(1)))
+
+
+def public_refs(refs) -> Column:
+    """Refs that point to evidence, without empty ones and those of the engine's own bookkeeping."""
+    return F.filter(_col(refs), lambda r: r.isNotNull() & (r != "") & ~r.startswith(INTERNAL_REFS))
+
+
+def canonical_json(values) -> Column:
+    """A map as compact JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_col(values)))))
+
+
+def string_list(value) -> Column:
+    """A JSON array of texts, a single text as a list of one, or an empty list."""
+    v = _col(value)
+    many = F.from_json(v, "array<string>")
+    return F.when(v.isNull() | (v == ""), F.array().cast("array<string>")).when(v.startswith("["), F.coalesce(many, F.array().cast("array<string>"))).otherwise(F.array(v))
+
+
+def evidence_snippet(text, start, end, most: int = 720) -> Column:
+    """At most so many code points of a text, the middle of the range [start, end) in their middle, with dots where it is cut."""
+    t, n = _col(text), F.char_length(_col(text))
+    a = F.greatest(F.lit(0), F.least(_col(start), n))
+    b = F.greatest(a, F.least(_col(end), n))
+    low = F.greatest(F.lit(0), F.floor((a + b) / 2) - most // 2)
+    high = F.least(n, low + most)
+    low = F.greatest(F.lit(0), high - most).cast("int")
+    body = F.trim(F.substring(t, low + 1, (high - low).cast("int")))
+    cut = F.concat(F.when(low > 0, "... ").otherwise(""), body, F.when(high < n, " ...").otherwise(""))
+    return F.when(n <= most, t).otherwise(cut)
+
+
 def is_file_id(text) -> Column:
     return _col(text).rlike(r"^file_[0-9a-fA-F]{6,32}$")
 

@@ -48,3 +48,33 @@ def provenance(messages: DataFrame, recalled: DataFrame, active: DataFrame) -> D
     m = messages.select(F.lit("message").alias("source"), F.col("ref"), F.lit(0.0).alias("score"), F.lit(2).alias("_i"))
     rows = a.unionByName(r).unionByName(m)
     return rows.groupBy("ref").agg(F.min_by(F.struct("source", "score"), F.struct("_i", -F.col("score"))).alias("_s")).select("_s.source", "ref", "_s.score")
+
+
+#: What only an audit may see of a bundle.
+AUDIT = ("source", "ref", "tokens", "is_cut", "score", "reasons", "provenance", "diagnostics")
+
+
+def model_payload(messages: DataFrame) -> DataFrame:
+    """(session_id, payload): the messages of each bundle as JSON, the only part that a model's prompt may hold. messages: (session_id, place, role, text)."""
+    rows = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", F.col("text").alias("content")))).alias("_all"))
+    return rows.select("session_id", F.to_json(F.struct(F.transform("_all", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("payload"))
+
+
+def audit_payload(messages: DataFrame, budget: int) -> DataFrame:
+    """(session_id, token_estimate, budget, messages, summaries, truncated, raw_refs): what there is to log of each bundle, without any text."""
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "source", F.col("source_id").cast("string")).alias("r")))), lambda x: x["r"])
+    cost = F.col("tokens") + F.when(F.col("source") == "system", 0).otherwise(5)
+    return messages.groupBy("session_id").agg(F.sum(cost).cast("long").alias("token_estimate"), F.lit(budget).cast("long").alias("budget"), F.count_if(F.col("source") == "message").alias("messages"), F.count_if(F.col("source") == "summary").alias("summaries"), F.max("is_cut").alias("truncated"), refs.alias("raw_refs"))
+
+
+def guarded(rows: DataFrame) -> DataFrame:
+    """Rows for a model; refused if they hold a column that is for the audit."""
+    if bad := sorted(set(rows.columns) & set(AUDIT)):
+        raise ValueError(f"for the audit only: {bad}")
+    return rows
+
+
+def snapshot_events(audits: DataFrame) -> DataFrame:
+    """(session_id, event, detail): the event that a built context leaves, its figures as JSON in order of name."""
+    detail = F.to_json(F.struct("budget", "messages", "summaries", "token_estimate", "truncated"))
+    return audits.select("session_id", F.lit("context.snapshot").alias("event"), detail.alias("detail"))

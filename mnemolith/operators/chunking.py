@@ -89,3 +89,15 @@ def batches(chunks: DataFrame, group: list[str], order: list[str], size: int | N
     """Adds batch_index: chunks of a group in order, size to a batch, all in one without a size."""
     n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return chunks.withColumn("batch_index", F.floor(n / size).cast("long") if size else F.lit(0).cast("long"))
+
+
+def chunk_turns(turns: DataFrame, keys: list[str], order: str = "turn", text_col: str = "text") -> DataFrame:
+    """(keys, chunk_index, role, content): one chunk for each turn that has text, in order."""
+    rows = turns.where(F.coalesce(F.col(text_col), F.lit("")) != "")
+    return rows.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long").alias("chunk_index"), "role", F.col(text_col).alias("content"))
+
+
+def list_chunks(chunks: DataFrame, buffer: str, limit: int = 100, only=None) -> DataFrame:
+    """The first chunks in order of buffer and index, of one buffer if it is named."""
+    rows = chunks if only is None else chunks.where(F.col(buffer) == only)
+    return rows.orderBy(buffer, "chunk_index").limit(limit)

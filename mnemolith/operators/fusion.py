@@ -67,14 +67,44 @@ def recall(lexical: DataFrame, vector: DataFrame, items: DataFrame, k: int = 10,
     return best.join(items.select("id", fx.preview("text").alias("preview")), "id").select("query_id", "rank", "id", "fused", "champion_of", "preview")
 
 
+def by_mode(lexical: DataFrame, vector: DataFrame, mode: str = "hybrid", k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank) by one of the modes bm25, semantic (or vector) and hybrid, the last by reciprocal ranks with equal weights. lexical, vector: (query_id, id, rank, score)."""
+    one = {"bm25": lexical, "semantic": vector, "vector": vector}.get(mode.lower())
+    rows = one.select("query_id", "id", "score") if one is not None else rrf(streams(bm25=lexical, vector=vector), {"bm25": 1.0, "vector": 1.0}).select("query_id", "id", F.col("fused").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: How a hit's text is chosen.
+TEXT_POLICIES = ("full", "champion", "legacy", "snippet", "preview", "auto")
+
+
 def recall_text(hits: DataFrame, policy: str = "auto") -> DataFrame:
-    """Adds shown: the text of a hit by policy (full, champion, snippet, preview, auto); auto takes a champion's content, else its snippet, else its preview."""
-    content, snippet, preview = F.col("content"), F.nullif(F.col("snippet"), F.lit("")), F.col("preview")
+    """Adds shown: the text of a hit by policy; auto takes a champion's content, else its snippet, else its preview; content that is null falls back to the preview."""
+    whole, snippet, preview = F.coalesce("content", "preview"), F.nullif(F.col("snippet"), F.lit("")), F.col("preview")
     best = F.col("champion_of").isNotNull()
-    shown = {"full": content, "champion": F.when(best, content).otherwise(preview), "snippet": F.coalesce(snippet, preview), "preview": preview, "auto": F.when(best, content).otherwise(F.coalesce(snippet, preview))}
+    shown = {"full": whole, "legacy": whole, "champion": F.when(best, whole).otherwise(preview), "snippet": F.coalesce(snippet, preview), "preview": preview, "auto": F.when(best, whole).otherwise(F.coalesce(snippet, preview))}
     return hits.withColumn("shown", shown[policy])
 
 
+def recall_diagnostics(hits: DataFrame, policy: str = "auto") -> DataFrame:
+    """(query_id, id, requested_policy, effective_policy, champion, source_chars, shown_chars, truncated) of hits, whose shown text is chosen by the policy."""
+    rows = recall_text(hits, policy).withColumn("_source", F.coalesce("content", "preview"))
+    best = F.col("champion_of").isNotNull()
+    whole = (F.col("shown") == F.col("_source")) & F.col("content").isNotNull()
+    effective = F.when(whole, "full").when(F.lit(policy == "preview"), "preview").when(F.lit(policy in ("snippet", "auto")) & (F.col("shown") != F.col("preview")), "snippet").when(F.lit(policy == "champion") & best & F.col("content").isNotNull(), "full").otherwise("preview")
+    n, m = F.char_length("_source").cast("long"), F.char_length("shown").cast("long")
+    return rows.select("query_id", "id", F.lit(policy).alias("requested_policy"), effective.alias("effective_policy"), best.alias("champion"), n.alias("source_chars"), m.alias("shown_chars"), (m < n).alias("truncated"))
+
+
+def recall_lines(hits: DataFrame, text_col: str = "shown") -> DataFrame:
+    """(query_id, block): the hits of a query as numbered lines of ref, streams and score, each with its text; hits: (query_id, rank, ref, streams, score, text)."""
+    names = F.when(F.size("streams") > 0, F.array_join(F.array_sort("streams"), ", ")).otherwise("index")
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "ref", F.lit(" ("), names, F.lit(", score="), F.format_string("%.4f", "score"), F.lit(")\n   "), text_col)
+    rows = hits.select("query_id", F.struct("rank", line.alias("t")).alias("_s")).groupBy("query_id").agg(F.array_sort(F.collect_list("_s")).alias("_all"))
+    return rows.select("query_id", F.concat(F.lit("[Long-term recall: refs point to immutable raw content]\n"), F.array_join(F.transform("_all", lambda x: x["t"]), "\n")).alias("block"))
+
+
 def recall_block(hits: DataFrame, text_col: str = "preview") -> DataFrame:
     """(query_id, hits, champions, chars, block): the hits of a query rendered as one text, in order of rank."""
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] item:"), F.col("id").cast("string"), F.lit("\n"), F.col(text_col))

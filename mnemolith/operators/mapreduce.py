@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
@@ -16,22 +16,60 @@ def first_words(texts: list[str], n: int = 12) -> str:
     return "\n".join(" ".join(t.split()[:n]) for t in texts)
 
 
-def run_batches(chunks: DataFrame, analyse=first_words, run_col: str = "doc_id") -> DataFrame:
-    """(run, batch_index, chunk_ids, analysis, tokens, status, error): the map step; an analyser's failure is a row, not the job's end.
+class TransientError(Exception):
+    """What an analyser raises if another try may succeed; time-outs and lost connections count as well."""
+
+
+TRANSIENT = (TransientError, TimeoutError, ConnectionError)
+OUTCOME = "analysis string, tokens bigint, status string, error string, error_type string, transient boolean, retries bigint"
 
-    chunks: (run, batch_index, chunk_index, content); a batch must fit in memory, which its size bounds.
-    """
-    kind = chunks.schema[run_col].dataType.simpleString()
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_index")
+def attempt(analyse, texts: list[str], max_retries: int) -> tuple:
+    """(analysis, tokens, status, error, error_type, transient, retries): an analyser called until it succeeds or its failure isn't worth another try."""
+    for retries in range(max_retries + 1):
         try:
-            text, status, error = analyse(pdf["content"].tolist()), "ok", None
+            text = analyse(texts)
+            return text, max(1, len(text) // 4) if text else 0, "ok", None, None, None, retries
         except Exception as e:  # an analyser is foreign code
-            text, status, error = None, "failed", f"{type(e).__name__}: {e}"
-        return pd.DataFrame({run_col: [key[0]], "batch_index": [key[1]], "chunk_ids": [pdf["chunk_index"].tolist()], "analysis": [text], "tokens": [max(1, len(text) // 4) if text else 0], "status": [status], "error": [error]})
+            if retries == max_retries or not isinstance(e, TRANSIENT):
+                return None, 0, "failed", f"{type(e).__name__}: {e}", type(e).__name__, isinstance(e, TRANSIENT), retries
+    raise ValueError("max_retries must not be negative")
+
+
+def run_batches(chunks: DataFrame, analyse=first_words, run_col: str = "doc_id", max_retries: int = 2) -> DataFrame:
+    """(run, batch_index, chunk_ids, analysis, tokens, status, error, error_type, transient, retries): the map step; an analyser's failure is a row, not the job's end.
+
+    chunks: (run, batch_index, chunk_index, content); a batch must fit in memory, which its size bounds. Transient failures are tried again.
+    """
+    both = chunks.groupBy(run_col, "batch_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("_all"))
+    rows = both.select(run_col, F.col("batch_index").cast("long").alias("batch_index"), F.transform("_all", lambda x: x["chunk_index"]).cast("array<bigint>").alias("chunk_ids"), F.transform("_all", lambda x: x["content"]).alias("texts"))
+    kind = rows.schema[run_col].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            out = [attempt(analyse, list(x), max_retries) for x in pdf["texts"]]
+            done = pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")], index=pdf.index)
+            yield pd.concat([pdf[[run_col, "batch_index", "chunk_ids"]], done], axis=1)
+
+    return rows.mapInPandas(run, f"{run_col} {kind}, batch_index bigint, chunk_ids array<bigint>, {OUTCOME}")
 
-    return chunks.select(run_col, "batch_index", "chunk_index", "content").groupBy(run_col, "batch_index").applyInPandas(one, f"{run_col} {kind}, batch_index bigint, chunk_ids array<bigint>, analysis string, tokens bigint, status string, error string")
+
+def analyse_once(inputs: DataFrame, analyse, known: DataFrame | None = None, max_retries: int = 2) -> DataFrame:
+    """(input_hash, output, status, error, retries, cached) for each row of inputs (input): equal inputs are analysed once, and those with an output in known (input_hash, output) not at all."""
+    rows = inputs.withColumn("input_hash", fx.content_hash("input"))
+    new = rows.select("input_hash", "input").dropDuplicates(["input_hash"])
+    new = new.join(known.select("input_hash"), "input_hash", "left_anti") if known is not None else new
+
+    def run(frames):
+        for pdf in frames:
+            out = [attempt(analyse, [x], max_retries) for x in pdf["input"]]
+            yield pd.DataFrame({"input_hash": pdf["input_hash"], "output": [x[0] for x in out], "status": [x[2] for x in out], "error": [x[3] for x in out], "retries": [x[6] for x in out], "cached": False})
+
+    made = new.mapInPandas(run, "input_hash string, output string, status string, error string, retries bigint, cached boolean")
+    if known is not None:
+        none = F.lit(None).cast("string")
+        made = made.unionByName(known.select("input_hash", "output", F.lit("ok").alias("status"), none.alias("error"), F.lit(0).cast("long").alias("retries"), F.lit(True).alias("cached")))
+    return rows.drop("input").join(made, "input_hash")
 
 
 def record(results: DataFrame, new: DataFrame, run_col: str = "doc_id") -> DataFrame:
@@ -79,8 +117,25 @@ def recurse(aggregates: DataFrame, analyse=first_words, limit: int = LIMIT_TOKEN
     return cols.mapInPandas(again, f"{run_col} {kind}, batches bigint, chunk_ids array<bigint>, text string, tokens bigint, rounds bigint").withColumn("fits", F.col("tokens") <= limit)
 
 
+def refused(final: DataFrame, limit: int = LIMIT_TOKENS) -> DataFrame:
+    """Aggregates that are over the limit after all rounds, which a caller must not take for results."""
+    return final.where(F.col("tokens") > limit)
+
+
+def round_input(aggregates: DataFrame, number: int, run_col: str = "doc_id") -> DataFrame:
+    """(run, input): what a further round is given, the aggregate under a line that says which round it is and what it covers."""
+    head = F.concat(F.lit(f"Recursive round {number}: "), F.col("batches").cast("string"), F.lit(" batches, "), F.size("chunk_ids").cast("string"), F.lit(" chunks.\n\n"))
+    return aggregates.select(run_col, F.concat(head, F.col("text")).alias("input"))
+
+
+def numbered(analyses: DataFrame, run_col: str, order: str, text_col: str = "text") -> DataFrame:
+    """Adds batch_index: the number that an analysis states among its first lines, else its ordinal in the run."""
+    ordinal = F.row_number().over(Window.partitionBy(run_col).orderBy(order)) - 1
+    return analyses.withColumn("batch_index", F.coalesce(fx.batch_index(text_col), ordinal.cast("long")))
+
+
 def run_metrics(results: DataFrame, expected: DataFrame, run_col: str = "doc_id") -> DataFrame:
-    """(run, batches, failed, chunks, tokens, coverage): totals of a run, coverage the share of expected batches that are done."""
-    r = results.groupBy(run_col).agg(F.count_if(F.col("status") == "ok").alias("batches"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum(F.size("chunk_ids")).cast("long").alias("chunks"), F.sum("tokens").alias("tokens"))
+    """(run, batches, failed, chunks, tokens, retries, coverage): totals of a run, coverage the share of expected batches that are done."""
+    r = results.groupBy(run_col).agg(F.count_if(F.col("status") == "ok").alias("batches"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum(F.size("chunk_ids")).cast("long").alias("chunks"), F.sum("tokens").alias("tokens"), F.sum("retries").alias("retries"))
     rows = expected.join(r, run_col, "left")
-    return rows.select(run_col, F.coalesce("batches", F.lit(0)).alias("batches"), F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("batches"), F.lit(0)) / F.col("expected"), 6).alias("coverage"))
+    return rows.select(run_col, F.coalesce("batches", F.lit(0)).alias("batches"), F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("retries", F.lit(0)).alias("retries"), F.round(F.coalesce(F.col("batches"), F.lit(0)) / F.col("expected"), 6).alias("coverage"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
@@ -68,9 +68,36 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("parent"), F.explode("children").alias("child"))
 
 
+def recursive_parents(nodes: DataFrame) -> DataFrame:
+    """(session_id, node_id, level, span_start, span_end, tokens, children, kind): for each session a node over all its active nodes that leaves them active."""
+    active = frontier(nodes)
+    rows = active.groupBy("session_id").agg((F.max("level") + 1).alias("level"), F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.floor(F.sum("tokens") / 2).cast("long").alias("tokens"), F.array_sort(F.collect_list("node_id")).alias("children"))
+    return rows.select("session_id", F.concat(F.lit("r"), F.col("session_id").cast("string")).alias("node_id"), "level", "span_start", "span_end", "tokens", "children", F.lit("recursive").alias("kind"))
+
+
+def active_summaries(nodes: DataFrame) -> DataFrame:
+    """The frontier in order for each session: higher levels first, then the later span; adds place."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("level"), F.desc("span_end"), "node_id")).cast("long")
+    return frontier(nodes).withColumn("place", place)
+
+
+def find_by_ref(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, node_id): nodes whose source_refs name a ref, by membership and not by text; refs: (ref)."""
+    return nodes.select("node_id", F.explode("source_refs").alias("ref")).join(refs.select("ref").distinct(), "ref").distinct()
+
+
+def leaf_nodes(spans: DataFrame) -> DataFrame:
+    """Leaves from spans (session_id, span_start, span_end, content, file_ids, source_refs): ids by span, given and found file ids and refs, canonical footers, tokens."""
+    ids = F.array_union(F.coalesce("file_ids", F.array().cast("array<string>")), fx.file_ids("content"))
+    refs = F.array_union(F.coalesce("source_refs", F.array().cast("array<string>")), fx.source_refs(fx.strip_footers("content")))
+    rows = spans.withColumn("file_ids", ids).withColumn("source_refs", refs).withColumn("content", fx.add_footers("content", "file_ids", "source_refs"))
+    return rows.withColumn("node_id", fx.stable_id("node_", "session_id", "span_start", "span_end")).withColumn("tokens", F.floor(F.char_length("content") / 4).cast("long"))
+
+
 def frontier(nodes: DataFrame) -> DataFrame:
     """Nodes that no parent has taken in, the active ones."""
-    return nodes.join(edges(nodes).select(F.col("child").alias("node_id")), "node_id", "left_anti")
+    taken = nodes.where("kind != 'recursive'") if "kind" in nodes.columns else nodes
+    return nodes.join(edges(taken).select(F.col("child").alias("node_id")), "node_id", "left_anti")
 
 
 def lineage(spark: SparkSession, nodes: DataFrame) -> DataFrame:

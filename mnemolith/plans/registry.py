@@ -347,7 +347,7 @@ def source_refs_extract(spark, d):
     return noted(spark, d).select("doc_id", F.array_join(fx.source_refs("t"), ",").alias("refs"))
 
 
-@query(f"WITH {NOTED} SELECT doc_id, rtrim(regexp_replace(t, '\\s*\\[LCM File IDs: [^\\]]*\\]\\s*$', ''), ' ') AS stripped FROM n")
+@query(f"WITH {NOTED} SELECT doc_id, regexp_replace(t, '\\n*\\[LCM File IDs:[^\\[\\]]*\\]\\s*$', '') AS stripped FROM n")
 def footer_strip(spark, d):
     return noted(spark, d).select("doc_id", fx.strip_footers("t").alias("stripped"))
 
@@ -399,7 +399,7 @@ RUNS = f"{o.chunk_ctes(1000, 100)}, b AS (SELECT doc_id, chunk_index // 4 AS bat
 def run_metrics(spark, d):
     c, r = runs(spark, d)
     want = c.groupBy("doc_id").agg((F.max("batch_index") + 1).alias("expected"))
-    return mapreduce.run_metrics(r, want).drop("tokens")
+    return mapreduce.run_metrics(r, want)
 
 
 @query(f"WITH RECURSIVE {RUNS} SELECT doc_id, count(*) + 1 AS expected, count(*) AS found, CAST(count(*) AS VARCHAR) AS missing, CASE WHEN doc_id % 40 = 0 THEN '0' ELSE '' END AS duplicates FROM b GROUP BY doc_id")

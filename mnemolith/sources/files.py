@@ -39,15 +39,20 @@ def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "path", order: st
     return old.unionByName(new).withColumn("_n", last).where("_n = 1").drop("_n")
 
 
-def session_files(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, turn, role, content) of JSON files that hold a list of turns or an object with turns or messages."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("v"))
+def session_json(df: DataFrame, path_col: str = "path", json_col: str = "value") -> DataFrame:
+    """(session_id, turn, role, content) of JSON texts that hold a list of turns or an object with turns or messages; without an id the file's name is the session."""
+    raw = df.select(F.col(path_col).alias("path"), F.try_parse_json(json_col).alias("v"))
     turn = "array<struct<role string, content string>>"
     turns = F.coalesce(F.try_variant_get("v", "$.turns", turn), F.try_variant_get("v", "$.messages", turn), F.try_variant_get("v", "$", turn))
     rows = raw.select(F.coalesce(F.try_variant_get("v", "$.session_id", "string"), F.element_at(F.split("path", "/"), -1)).alias("session_id"), F.posexplode(turns).alias("turn", "t"))
     return rows.select("session_id", F.col("turn").cast("long").alias("turn"), fx.role_of_turn(F.col("t.role")).alias("role"), F.coalesce("t.content", F.lit("")).alias("content"))
 
 
+def session_files(spark: SparkSession, path: str) -> DataFrame:
+    """session_json of files."""
+    return session_json(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+
+
 def labelled_transcript(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, turn, role, content) of transcripts with lines like ``[user]: text``; lines before the first label are dropped."""
     pattern = r"^\[(user|assistant|system)\]:\s?(.*)$"
@@ -83,6 +88,9 @@ PAYLOAD_NAMES = {
 }
 #: Arrays of tool calls in a payload.
 TOOL_LISTS = ["tool_outputs", "toolOutputs", "tool_results", "toolResults", "tool_calls", "toolCalls"]
+#: Fields that make a payload itself a tool output, and those that hold its text.
+TOOL_SIGNS = ["tool_name", "toolName", "tool", "name", "output", "result"]
+TOOL_OUTPUTS = ["output", "result", "stdout", "stderr", "content", "message"]
 #: One name for each lifecycle event.
 EVENT_NAMES = {
     "sessionstart": "session-start",
@@ -111,15 +119,20 @@ def parse_hooks(df: DataFrame, payload_col: str = "payload") -> DataFrame:
 
 
 def tool_turns(df: DataFrame, id_col: str, payload_col: str = "payload") -> DataFrame:
-    """(id, place, tool_name, tool_call_id, tool_state, content): the tool outputs of a payload, one from its own fields or one for each element of its lists; those without text are left out."""
-    v = F.try_parse_json(payload_col)
-    lists = F.filter(F.array(*[F.try_variant_get(v, f"$.{x}", "array<variant>") for x in TOOL_LISTS]), lambda x: x.isNotNull() & (F.size(x) > 0))
-    rows = df.select(id_col, F.posexplode(F.when(F.size(lists) > 0, F.element_at(lists, 1)).otherwise(F.array(v))).alias("place", "_t"))
-
-    def field(name):
-        return F.coalesce(*[F.nullif(F.try_variant_get("_t", f"$.{x}", "string"), F.lit("")) for x in PAYLOAD_NAMES[name]])
+    """(id, place, tool_name, tool_call_id, tool_state, content): the tool outputs of a payload, one for each element of all its lists and one from its own fields.
 
-    out = rows.select(id_col, F.col("place").cast("long").alias("place"), F.coalesce(field("tool_name"), F.lit("tool")).alias("tool_name"), field("tool_call_id").alias("tool_call_id"), F.coalesce(field("tool_state"), F.lit("completed")).alias("tool_state"), field("output").alias("content"))
+    All fields of an output count, a line each; one without any is told by its arguments, and left out if it has none.
+    """
+    v = F.try_parse_json(payload_col)
+    none = F.array().cast("array<variant>")
+    lists = [F.coalesce(F.try_variant_get(v, f"$.{x}", "array<variant>"), F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{x}", "variant")).startswith("OBJECT"), F.array(F.try_variant_get(v, f"$.{x}", "variant"))), none) for x in TOOL_LISTS]
+    itself = F.when(F.coalesce(*[F.try_variant_get(v, f"$.{x}", "variant").cast("string") for x in TOOL_SIGNS]).isNotNull(), F.array(v)).otherwise(none)
+    rows = df.select(id_col, F.posexplode(F.concat(*lists, itself)).alias("place", "_t"))
+    get = lambda x: F.nullif(F.try_variant_get("_t", f"$.{x}", "string"), F.lit(""))
+    field = lambda name: F.coalesce(*[get(x) for x in PAYLOAD_NAMES[name]])
+    said = F.array_join(F.array_compact(F.array(*[get(x) for x in TOOL_OUTPUTS])), "\n")
+    said = F.coalesce(F.nullif(F.trim(said), F.lit("")), get("arguments"), get("input"))
+    out = rows.select(id_col, F.col("place").cast("long").alias("place"), F.coalesce(get("tool_name"), get("toolName"), get("name"), get("tool.name"), get("tool.tool_name"), get("tool"), F.lit("tool")).alias("tool_name"), field("tool_call_id").alias("tool_call_id"), F.coalesce(field("tool_state"), F.lit("completed")).alias("tool_state"), said.alias("content"))
     return out.where("content is not null")
 
 

@@ -91,3 +91,22 @@ def ingest_batches(stream: DataFrame, target: str, key: list[str]):
         new.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(one)
+
+
+def subscribed(events: DataFrame, subscriptions: DataFrame, kind: str = "kind") -> DataFrame:
+    """Events with each subscriber that asked for their kind, or for all by ``*``; subscriptions: (subscriber, kind). A subscriber has an event once."""
+    s = subscriptions.select("subscriber", F.col("kind").alias("_asked")).distinct()
+    own = events.join(s, events[kind] == F.col("_asked")).drop("_asked")
+    every = s.where("_asked = '*'").groupBy().agg(F.collect_set("subscriber").alias("_all"))
+    rest = events.withColumn("subscriber", F.explode(F.coalesce(every.select("_all").scalar(), F.array().cast("array<string>"))))
+    return own.unionByName(rest).distinct()
+
+
+def deliver(stream: DataFrame, handlers: dict, kind: str = "kind"):
+    """Starts a query that hands each batch of events to the handlers of their kind, and to those of ``*``."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        for name, handler in handlers.items():
+            handler(batch if name == "*" else batch.where(F.col(kind) == name), number)
+
+    return stream.writeStream.foreachBatch(one)

@@ -236,7 +236,7 @@ def test_references(spark):
     t = "see file_deadbeef and file_DEADBEEF, rlm_chunk:a/b-1. message:m2/ file_xyz"
     assert one(spark, fx.file_ids("t"), t=t) == ["file_deadbeef", "file_DEADBEEF"] and one(spark, fx.source_refs("t"), t=t) == ["rlm_chunk:a/b-1", "message:m2"]
     foot = one(spark, fx.add_footers(F.col("t"), F.array(F.lit("file_aaaaaa")), F.array(F.lit("message:1"))), t="body\n[LCM File IDs: file_old000]")
-    assert foot == "body\n[LCM File IDs: file_aaaaaa]\n[LCM Source Refs: message:1]" and one(spark, fx.strip_footers("t"), t=foot) == "body"
+    assert foot == "body\n\n[LCM File IDs: file_aaaaaa]\n\n[LCM Source Refs: message:1]" and one(spark, fx.strip_footers("t"), t=foot) == "body"
     lossless = lambda a, b: one(spark, summary.is_lossless(F.col("a"), F.col("b")), a=a, b=b)
     assert lossless(["f1"], ["f1", "f2"]) and not lossless(["f1", "f3"], ["f1"])
     assert one(spark, fx.is_file_id("t"), t="file_abcdef") and not one(spark, fx.is_file_id("t"), t="xfile_abcdef")
@@ -307,8 +307,8 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.last_assistant(lines, "id", "line", "n").collect()] == [(1, "b")]
     hook = files.parse_hooks(spark.createDataFrame([('{"hook_event_name":"UserPromptSubmit","sessionId":"q","prompt":"do"}',), ("plain words",)], "payload string")).collect()
     assert (hook[0].event, hook[0].session_id, hook[0].prompt) == ("user-prompt-submit", "q", "do") and hook[1].prompt == "plain words"
-    tools = spark.createDataFrame([(1, '{"tool_name":"grep","output":"hit","id":"c1"}'), (2, '{"toolResults":[{"name":"a","result":"x"},{"name":"b"},{"tool":{"name":"c"},"stdout":"y","status":"failed"}]}'), (3, "{}"), (4, "no json")], "id long, payload string")
-    assert sorted((r.id, r.place, r.tool_name, r.tool_state, r.content) for r in files.tool_turns(tools, "id").collect()) == [(1, 0, "grep", "completed", "hit"), (2, 0, "a", "completed", "x"), (2, 2, "c", "failed", "y")]
+    tools = spark.createDataFrame([(1, '{"tool_name":"grep","output":"hit","id":"c1"}'), (2, '{"toolResults":[{"name":"a","result":"x"},{"name":"b"},{"tool":{"name":"c"},"stdout":"y","status":"failed"}]}'), (3, "{}"), (4, "no json"), (5, '{"tool_outputs":[{"name":"p","stdout":"o","stderr":"e"}],"toolCalls":{"name":"q","arguments":"args"},"name":"r","result":"z"}')], "id long, payload string")
+    assert sorted((r.id, r.place, r.tool_name, r.tool_state, r.content) for r in files.tool_turns(tools, "id").collect()) == [(1, 0, "grep", "completed", "hit"), (2, 0, "a", "completed", "x"), (2, 2, "c", "failed", "y"), (5, 0, "p", "completed", "o\ne"), (5, 1, "q", "completed", "args"), (5, 2, "r", "completed", "z")]
     listing = spark.createDataFrame([("docs/a.md",)], "path string")
     asks = spark.createDataFrame([(1, "read `docs/a.md`, then docs/a.md and b.md")], "id long, t string")
     assert [tuple(r) for r in files.prompt_files(asks, listing, "id", "t").collect()] == [(1, "docs/a.md", 1)]
@@ -352,11 +352,53 @@ def test_references_after_long_text(spark, tmp_path):
     assert registry.source_refs_extract(spark, str(tmp_path)).first().refs == "message:m77,rlm_chunk:1/a.b,message:m1"
 
 
-def test_more_than_a_million_positive(spark, tmp_path):
-    from mnemolith.plans import registry
-
+def test_more_than_a_million_positive(spark):
     n = 1_000_010
     v = F.when(F.col("id") == n - 1, F.array(F.lit(0.1), F.lit(1.0))).when(F.col("id") == n - 2, F.array(F.lit(-1.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
-    spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
-    out = registry.vector_positive_only(spark, str(tmp_path)).collect()
-    assert sorted(r.query_id for r in out) == [0, 1, 2, 3, 4] and {(r.hits, r.least) for r in out} == {(n - 1, 0.099504)}
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding"))
+    out = vector.cosine_hits(rows, rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")).collect()
+    assert sorted(r.query_id for r in out) == [0, 1, 2, 3, 4] and {(r.hits, round(r.least, 6)) for r in out} == {(n - 1, 0.099504)}
+
+
+def test_failures_of_an_analyser(spark):
+    """Transient failures are tried again, others are rows; equal inputs are analysed once."""
+    tries = []
+
+    def odd(texts):
+        tries.append(1)
+        if "never" in texts[0]:
+            raise ValueError("no")
+        if "late" in texts[0] and len(tries) < 3:
+            raise mapreduce.TransientError("later")
+        return texts[0].upper()
+
+    assert mapreduce.attempt(odd, ["late"], 2) == ("LATE", 1, "ok", None, None, None, 2)
+    assert mapreduce.attempt(odd, ["never"], 5)[2:] == ("failed", "ValueError: no", "ValueError", False, 0)
+    tries.clear()
+    assert mapreduce.attempt(odd, ["late"], 0)[5:] == (True, 0)
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "never")], "id long, input string")
+    known = spark.createDataFrame([("b", "old")], "input string, output string").select(fx.content_hash("input").alias("input_hash"), "output")
+    out = {r.id: (r.output, r.status, r.cached) for r in mapreduce.analyse_once(rows, odd, known).collect()}
+    assert out == {1: ("A", "ok", False), 2: ("A", "ok", False), 3: ("old", "ok", True), 4: (None, "failed", False)}
+    big = spark.createDataFrame([(1, 2, [0, 1], "x" * 400, 100)], "doc_id long, batches long, chunk_ids array<bigint>, text string, tokens long")
+    final = mapreduce.recurse(big, lambda t: t[0], limit=50, rounds=2)
+    assert mapreduce.refused(final, 50).count() == 1 and final.first().rounds == 2
+
+
+def test_passages_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "xabcdefghijklmnopqrstuvwxyz0123456789"), (2, "a"), (3, None), (4, "zz\u00e9z")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "bc"), (3, "cdefg"), (4, "efghijklmn"), (5, "fghijklmnopqrstuvwxy"), (6, "bcdefghijklmnopqrstuvwxyz0123456789"), (7, ""), (8, None), (9, "\u00e9"), (10, "nowhere")], "item_id long, text string")
+    out = sorted(map(tuple, evaluate.containing(docs, asked).collect()))
+    assert out == [(1, 1, 1), (1, 2, 0), (2, 1, 2), (3, 1, 3), (4, 1, 5), (5, 1, 6), (6, 1, 2), (9, 4, 2)]
+    assert evaluate.containing(docs, asked.limit(0)).count() == 0
+
+
+def test_bundles_for_models_and_audits(spark):
+    rows = spark.createDataFrame([(1, 1, "system", "system", "system", "be brief", 2, False), (1, 2, "message", "m1", "user", "hi", 1, True)], "session_id long, place long, source string, source_id string, role string, text string, tokens long, is_cut boolean")
+    assert json.loads(bundle.model_payload(rows).first().payload) == {"messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "hi"}]}
+    audit = bundle.audit_payload(rows, 100)
+    assert audit.first().asDict() == {"session_id": 1, "token_estimate": 8, "budget": 100, "messages": 1, "summaries": 0, "truncated": True, "raw_refs": ["system:system", "message:m1"]}
+    assert json.loads(bundle.snapshot_events(audit).first().detail) == {"budget": 100, "messages": 1, "summaries": 0, "token_estimate": 8, "truncated": True}
+    with pytest.raises(ValueError):
+        bundle.guarded(rows)
+    assert bundle.guarded(rows.select("session_id", "role", "text")).count() == 1
