@@ -83,6 +83,12 @@ def compaction_due(stats: DataFrame, budget: Budget, newest_sessions: int | None
     return rows.where(due).withColumn("reason", F.when(F.col("hard_overflow"), "hard_overflow").otherwise("soft_overflow"))
 
 
+def due_totals(stats: DataFrame, budget: Budget) -> DataFrame:
+    """(sessions, due, hard, not_due): how many sessions are over which limit."""
+    rows = assess(stats, budget)
+    return rows.agg(F.count("*").alias("sessions"), F.count_if(F.col("soft_overflow") | F.col("hard_overflow")).alias("due"), F.count_if("hard_overflow").alias("hard"), F.count_if(~(F.col("soft_overflow") | F.col("hard_overflow"))).alias("not_due"))
+
+
 def candidates(messages: DataFrame, keep: int) -> DataFrame:
     """Messages before the recent ones: all but the last ``keep``, and none from the keep-th last user message on."""
     if keep <= 0:

@@ -61,7 +61,7 @@ n{r} AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position)
 an{r} AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY i) AS k FROM n{r} WHERE i = 0 OR i = c - 1 OR (c > 2 AND i = c // 2) OR i >= greatest(0, c - 8 + {fixed})),
 li{r} AS (SELECT session_id, string_agg('- #' || i || ' ' || role || ': ' || substr(text, 1, 300), chr(10) ORDER BY i) AS lines FROM an{r} WHERE k <= 8 GROUP BY 1),
 z{r} AS (SELECT session_id, count(*) AS n, CAST(sum(CASE kind WHEN 'message' THEN tokens + 5 ELSE {cost('text')} END) AS BIGINT) AS raw, min(position) AS position, max(level) + 1 AS level, min_by(a, position) AS a, max_by(b, position) AS b, bool_or(kind = 'summary') AS nodes FROM x{r} GROUP BY 1),
-y{r} AS (SELECT z.*, rtrim('[L3 DETERMINISTIC COMPACTION — ' || n || ' messages]' || chr(10) || chr(10) || chr(10) || 'Context Anchors:' || chr(10) || lines, ' ') AS l3,
+y{r} AS (SELECT z.*, '[L3 DETERMINISTIC COMPACTION — ' || n || ' messages]' || chr(10) || chr(10) || chr(10) || 'Context Anchors:' || chr(10) || lines AS l3,
  CASE WHEN nodes THEN '[LCM deterministic condensation: ' || n || ' summary nodes. Raw sources preserved from ' || a || ' to ' || b || '.]' ELSE '[LCM deterministic compaction: ' || n || ' messages. Raw sources preserved from ' || a || ' to ' || b || '.]' END AS ref FROM z{r} z JOIN li{r} USING (session_id)),
 q{r} AS (SELECT *, CASE WHEN n = 1 OR {cost('l3')} < raw THEN l3 WHEN {cost('ref')} < raw THEN ref END AS content, 'sum_' || substr(sha256(session_id || chr(31) || level || chr(31) || a || chr(31) || b), 1, 32) AS id FROM y{r}),
 new{r} AS (SELECT {r} AS round, session_id, position, level, a, b, content, id, nodes, {TOKENS.format("('[LCM summary node ' || id || ']' || chr(10) || content)")} AS tokens FROM q{r} WHERE content IS NOT NULL),

@@ -395,7 +395,7 @@ def runs(spark, d):
 RUNS = f"{o.chunk_ctes(1000, 100)}, b AS (SELECT doc_id, chunk_index // 4 AS batch_index, count(*) AS chunks FROM chunks GROUP BY ALL)"
 
 
-@query(f"WITH RECURSIVE {RUNS} SELECT doc_id, count(*) AS batches, CAST(0 AS BIGINT) AS failed, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(1.0 AS DOUBLE) AS coverage FROM b GROUP BY doc_id")
+@query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)}, w AS (SELECT doc_id, chunk_index, array_to_string(regexp_extract_all(substr(text, char_start + 1, char_end - char_start), '\\S+')[1:12], ' ') AS t FROM chunks), b AS (SELECT doc_id, chunk_index // 4 AS batch_index, count(*) AS chunks, greatest(1, length(string_agg(t, chr(10) ORDER BY chunk_index)) // 4) AS tokens FROM w GROUP BY ALL) SELECT doc_id, count(*) AS batches, CAST(0 AS BIGINT) AS failed, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS retries, CAST(1.0 AS DOUBLE) AS coverage FROM b GROUP BY doc_id")
 def run_metrics(spark, d):
     c, r = runs(spark, d)
     want = c.groupBy("doc_id").agg((F.max("batch_index") + 1).alias("expected"))
@@ -495,7 +495,7 @@ COMPACTED = f"""n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER
 a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY i) AS k FROM n WHERE i = 0 OR i = c - 1 OR (c > 2 AND i = c // 2) OR i >= c - 8 + CASE WHEN c > 2 THEN 3 WHEN c = 2 THEN 2 ELSE 1 END),
 l AS (SELECT session_id, string_agg('- #' || i || ' ' || role || ': ' || substr(text, 1, 300), chr(10) ORDER BY i) AS lines FROM a WHERE k <= 8 GROUP BY session_id),
 z AS (SELECT session_id, count(*) AS covered, min_by(turn, position) AS span_start, max_by(turn, position) AS span_end, sum(tokens + 5) AS cost FROM m GROUP BY session_id),
-y AS (SELECT z.*, rtrim('[L3 DETERMINISTIC COMPACTION — ' || covered || ' messages]' || chr(10) || chr(10) || chr(10) || 'Context Anchors:' || chr(10) || lines, ' ') AS content FROM z JOIN l USING (session_id))"""
+y AS (SELECT z.*, '[L3 DETERMINISTIC COMPACTION — ' || covered || ' messages]' || chr(10) || chr(10) || chr(10) || 'Context Anchors:' || chr(10) || lines AS content FROM z JOIN l USING (session_id))"""
 
 
 @query(f"WITH {o.MESSAGES}, {COMPACTED} SELECT session_id, sha256(content) AS content, CAST(length(content) // 4 AS BIGINT) AS tokens, covered, span_start, span_end, covered = 1 OR length(content) // 4 + 5 < cost AS shrinks FROM y")
@@ -737,3 +737,6 @@ def bundle_policy(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid recall for a batch of queries: lexical and vector rankings, fused, champions first, with previews."""
     return recall_with_content(spark, sf_dir)
+
+
+from . import sources as _sources  # noqa: E402, F401  (registers its queries, which build on those above)

@@ -401,4 +401,4 @@ def test_bundles_for_models_and_audits(spark):
     assert json.loads(bundle.snapshot_events(audit).first().detail) == {"budget": 100, "messages": 1, "summaries": 0, "token_estimate": 8, "truncated": True}
     with pytest.raises(ValueError):
         bundle.guarded(rows)
-    assert bundle.guarded(rows.select("session_id", "role", "text")).count() == 1
+    assert bundle.guarded(rows.select("session_id", "role", "text")).count() == 2
