@@ -1,21 +1,26 @@
 """The engine as one object over a folder of Parquet tables.
 
 Tables are append-only logs: a write adds rows with the number of its batch, and a read takes the last row of each key.
-So a repeated write changes nothing, readers never see half a batch of one table, and ``vacuum`` rewrites a log as its
-present state. Times are given by the caller; ids are hashes of natural keys.
+So a repeated write changes nothing, readers never see half a batch of one table, and ``vacuum`` writes a log's present state as
+its next generation. Batches are numbered by the clock, so writers need not know of each other; all other times are given by the caller; ids
+are hashes of natural keys.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
-from mnemolith.operators import bundle, chunking, content, fusion, lexical, lifecycle, mapreduce, session, summary, vector
+from mnemolith.operators import bundle, chunking, content, fusion, lexical, lifecycle, mapreduce, parts, session, summary, vector
+from mnemolith.sources.tables import cut
 
 #: Columns and key of each table.
 TABLES = {
     "messages": ("session_id string, turn long, agent_id string, role string, text string, tokens long, is_summary boolean, created_at double", ["session_id", "turn"]),
+    "parts": ("session_id string, turn long, part_index long, part_id string, part_type string, content string, tool_name string, tool_call_id string, tool_state string, compacted_at double", ["part_id"]),
     "items": (
         "item_id string, agent_id string, source_type string, source_id string, session_id string, text string, confidence string, controller_ignored boolean, merge_key string, "
         "superseded_by array<string>, supersedes array<string>, contradicts array<string>, contradicted_by array<string>, valid_to double, freshness double, indexed_at double, raw_refs array<string>",
@@ -25,7 +30,7 @@ TABLES = {
     "chunks": ("chunk_id string, buffer_id string, agent_id string, chunk_index long, char_start long, char_end long, byte_start long, byte_end long, start_line long, end_line long, has_overlap boolean, content string", ["chunk_id"]),
     "summaries": ("summary_id string, session_id string, level long, span_start long, span_end long, tokens long, content string, superseded boolean, children array<string>, file_ids array<string>, created_at double", ["summary_id"]),
     "context": ("session_id string, item_type string, item_id string, position long, gone boolean", ["session_id", "item_type", "item_id"]),
-    "results": ("buffer_id string, batch_index long, chunk_ids array<long>, analysis string, tokens long, status string, error string", ["buffer_id", "batch_index"]),
+    "results": ("buffer_id string, batch_index long, chunk_ids array<long>, analysis string, tokens long, status string, error string, error_type string, transient boolean, retries long", ["buffer_id", "batch_index"]),
     "embeddings": ("model string, content_hash string, embedding array<float>", ["model", "content_hash"]),
 }
 NONE = "cast(null as {})"
@@ -39,13 +44,18 @@ class Memory:
 
     # --- tables
 
+    def _generations(self, name: str) -> list[int]:
+        """Numbers of the generations of a log that are there in whole."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        return sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("g"))
+
     def log(self, name: str) -> DataFrame:
         schema = TABLES[name][0] + ", batch long"
-        path = f"{self.root}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        found = self._generations(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/g{found[-1]}") if found else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
         """The present rows: the last of each key."""
@@ -54,15 +64,21 @@ class Memory:
         return self.log(name).withColumn("_n", last).where("_n = 1").drop("_n", "batch")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        batch = self.log(name).agg(F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()[0]
         columns = [c.strip().rsplit(" ", 1) for c in TABLES[name][0].split(",")]
-        rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.root}/{name}")
+        at = (self._generations(name) or [0])[-1]
+        rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(time.time_ns()).alias("batch")).write.mode("append").parquet(f"{self.root}/{name}/g{at}")
 
     def vacuum(self, name: str) -> None:
-        """Rewrites a log as its present state, through a folder of its own."""
-        now, path = self.table(name).withColumn("batch", F.lit(0).cast("long")), f"{self.root}/{name}"
-        now.write.mode("overwrite").parquet(f"{path}.new")
-        self.spark.read.schema(now.schema).parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+        """Writes a log's present state as its next generation, for reads to come; reads that have begun go on in the one before, which stays until the next vacuum. No writer may run beside it."""
+        if not (found := self._generations(name)):
+            return
+        now = self.table(name).withColumn("batch", F.lit(0).cast("long"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, fs = path(f"{self.root}/{name}/g{found[-1] + 1}"), path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        now.write.mode("overwrite").parquet(f"{self.root}/{name}/_new")
+        fs.rename(path(f"{self.root}/{name}/_new"), new)
+        for old in found[:-1]:
+            fs.delete(path(f"{self.root}/{name}/g{old}"), True)
 
     def counts(self) -> dict[str, int]:
         return {name: self.table(name).count() for name in TABLES}
@@ -70,14 +86,18 @@ class Memory:
     # --- conversations
 
     def store_session(self, turns: DataFrame, agent: str, at: float) -> None:
-        """turns: (session_id, turn, role, text). Texts are items of long-term memory as well; turns that are there stay."""
-        rows = turns.select(F.col("session_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), fx.role_of_message("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = rows.join(self.table("messages").select("session_id", "turn"), ["session_id", "turn"], "left_anti")
-        rows = rows.withColumn("agent_id", F.lit(agent)).withColumn("tokens", fx.tokens("text")).withColumn("is_summary", F.lit(False)).withColumn("created_at", F.lit(float(at))).cache()
+        """turns: (session_id, turn, role, text, optional parts). Texts are items of long-term memory as well, and every turn has its parts; turns that are there stay."""
+        names = ["session_id", "turn"]
+        rows = turns.select(F.col("session_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), fx.role_of_message("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"), *[c for c in turns.columns if c == "parts"])
+        rows = rows.join(self.table("messages").select(*names), names, "left_anti").cache()
         try:
-            self.index(rows.where("text != ''").select("agent_id", F.lit("message").alias("source_type"), F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("source_id"), "session_id", "text"), at)
-            self.write("context", rows.select("session_id", F.lit("message").alias("item_type"), F.col("turn").cast("string").alias("item_id"), (F.col("turn") + 1).alias("position"), F.lit(False).alias("gone")))
-            self.write("messages", rows)
+            own = parts.parts_of(rows, names)
+            said = parts.message_texts(own, names)
+            whole = rows.drop("text", "parts").join(said, names).withColumn("agent_id", F.lit(agent)).withColumn("tokens", fx.tokens("text")).withColumn("is_summary", F.lit(False)).withColumn("created_at", F.lit(float(at)))
+            self.index(whole.where("searchable != ''").select("agent_id", F.lit("message").alias("source_type"), F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("source_id"), "session_id", F.col("searchable").alias("text")), at)
+            self.write("parts", own)
+            self.write("context", whole.select("session_id", F.lit("message").alias("item_type"), F.col("turn").cast("string").alias("item_id"), (F.col("turn") + 1).alias("position"), F.lit(False).alias("gone")))
+            self.write("messages", whole)
         finally:
             rows.unpersist()
 
@@ -123,15 +143,7 @@ class Memory:
         items = self.table("items")
         items = items.where(F.col("agent_id") == agent) if agent else items
         lex = lexical.bm25(items, queries, ["item_id"], 4 * k).select("query_id", F.col("item_id").alias("id"), "rank", "score")
-        ranks = lex.limit(0)
-        if self.encode:
-            asked = queries.select("query_id", F.col("query").alias("content"))
-            now, _ = vector.encode_missing(asked, self.table("embeddings").limit(0), self.encode, self.model, self.dimensions)
-            asked = asked.withColumn("content_hash", fx.content_hash("content")).join(now, "content_hash").select("query_id", "embedding")
-            held = self.table("embeddings").where(F.col("model") == self.model).withColumn("n", F.xxhash64("content_hash"))
-            near = vector.cosine_topk(held, asked, 4 * k, id_col="n").join(held.select("n", "content_hash"), "n")
-            found = near.join(items.select("item_id", fx.content_hash("text").alias("content_hash")), "content_hash").select("query_id", F.col("item_id").alias("id"), "score")
-            ranks = lexical.ranked(found, ["query_id"], ["id"], 4 * k).select("query_id", "id", "rank", "score")
+        ranks = self.near(queries, items.select(F.col("item_id").alias("id"), "text"), 4 * k)
         return fusion.recall(lex, ranks, items.select(F.col("item_id").alias("id"), "text"), k)
 
     def active_recall(self, limit: int = 8, session_id: str | None = None) -> DataFrame:
@@ -184,11 +196,11 @@ class Memory:
         known = self.table("buffers").select("buffer_id", F.lit(True).alias("deduped"))
         rows = rows.join(known, "buffer_id", "left").withColumn("deduped", F.coalesce("deduped", F.lit(False))).cache()
         try:
-            done = self.spark.createDataFrame(rows.select("buffer_id", "name", "deduped").collect(), "buffer_id string, name string, deduped boolean")  # one row for each document of this call
+            done = cut(rows.select("buffer_id", "name", "deduped"))
             new = rows.where("not deduped")
-            cut = chunking.chunk_documents(new, "buffer_id", "content", size, overlap).join(new.select("buffer_id", "agent_id"), "buffer_id")
-            cut = cut.withColumn("chunk_id", F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string")))
-            self.write("chunks", cut)
+            made = chunking.chunk_documents(new, "buffer_id", "content", size, overlap).join(new.select("buffer_id", "agent_id"), "buffer_id")
+            made = made.withColumn("chunk_id", F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string")))
+            self.write("chunks", made)
             own = self.table("chunks").join(new.select("buffer_id"), "buffer_id", "left_semi")
             self.index(own.select("agent_id", F.lit("rlm_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.lit(None).cast("string").alias("session_id"), F.col("content").alias("text")), at)
             n = own.groupBy("buffer_id").agg(F.count("*").alias("chunks"))
@@ -197,12 +209,32 @@ class Memory:
             rows.unpersist()
         return done
 
-    def search_chunks(self, queries: DataFrame, buffer_id: str | None = None, k: int = 10) -> DataFrame:
+    def near(self, queries: DataFrame, contents: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, rank, score): the k nearest of contents (id, text) by the vectors of their texts; none without an embedder."""
+        empty = self.spark.createDataFrame([], "query_id long, id string, rank long, score double")
+        if not self.encode:
+            return empty
+        asked = queries.select("query_id", F.col("query").alias("content"))
+        now, _ = vector.encode_missing(asked, self.table("embeddings").limit(0), self.encode, self.model, self.dimensions)
+        asked = asked.withColumn("content_hash", fx.content_hash("content")).join(now, "content_hash").select("query_id", "embedding")
+        own = contents.select("id", fx.content_hash("text").alias("content_hash"))
+        held = self.table("embeddings").where(F.col("model") == self.model).join(own.select("content_hash").distinct(), "content_hash", "left_semi").withColumn("n", F.xxhash64("content_hash"))
+        best = vector.cosine_topk(held, asked, k, id_col="n").join(held.select("n", "content_hash"), "n").join(own, "content_hash").select("query_id", "id", "score")
+        return lexical.ranked(best, ["query_id"], ["id"], k).select("query_id", "id", "rank", "score")
+
+    def search_chunks(self, queries: DataFrame, buffer_id: str | None = None, k: int = 10, mode: str = "bm25") -> DataFrame:
+        """(query_id, rank, chunk_id, score, preview) by mode: bm25, semantic or hybrid."""
         c = self.table("chunks")
         c = c.where(F.col("buffer_id") == buffer_id) if buffer_id else c
-        best = lexical.bm25(c, queries, ["chunk_id"], k, text_col="content")
+        lex = lexical.bm25(c, queries, ["chunk_id"], 3 * k, text_col="content").select("query_id", F.col("chunk_id").alias("id"), "rank", "score")
+        near = self.near(queries, c.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), 3 * k) if mode != "bm25" else lex.limit(0)
+        best = fusion.by_mode(lex, near, mode, k).withColumnRenamed("id", "chunk_id")
         return best.join(c.select("chunk_id", fx.preview("content", 240).alias("preview")), "chunk_id")
 
+    def chunks(self, buffer_id: str | None = None, limit: int = 100) -> DataFrame:
+        """The first chunks in order of buffer and index."""
+        return chunking.list_chunks(self.table("chunks"), "buffer_id", limit, buffer_id)
+
     def chunk(self, ids: list[str]) -> DataFrame:
         return content.multi_get(self.table("chunks"), ids, "chunk_id")
 
@@ -224,7 +256,9 @@ class Memory:
         lacking = mapreduce.completeness(results.where("status = 'ok'"), want, "buffer_id").where("size(missing) > 0")
         if bad := lacking.select("buffer_id", "missing").first():
             raise RuntimeError(f"batches {bad.missing} of {bad.buffer_id} are missing")
-        whole = mapreduce.recurse(mapreduce.aggregate(results, "buffer_id"), analyser, limit, rounds, "buffer_id")
+        whole = cut(mapreduce.recurse(mapreduce.aggregate(results, "buffer_id"), analyser, limit, rounds, "buffer_id"))
+        if big := mapreduce.refused(whole, limit).select("buffer_id", "tokens").first():
+            raise RuntimeError(f"the result of {big.buffer_id} has {big.tokens} tokens after {rounds} rounds, {limit} are allowed")
         owner = self.table("buffers").select("buffer_id", "agent_id")
         ref = lambda i: F.concat(F.lit("rlm_chunk:"), F.col("buffer_id"), F.lit("_"), i.cast("string"))
         parts = results.select("buffer_id", F.lit("rlm_analysis").alias("source_type"), F.concat_ws(":", "buffer_id", F.col("batch_index").cast("string")).alias("source_id"), F.col("analysis").alias("text"), F.transform("chunk_ids", ref).alias("raw_refs"))
@@ -234,44 +268,51 @@ class Memory:
 
     # --- context
 
-    def compact(self, budget: session.Budget = session.Budget(), keep: int = 2, at: float = 0.0, hard_only: bool = False, force: bool = False) -> DataFrame:
-        """Summarises what sessions over their budget hold but for the recent messages: (session_id, before, after). One round for all sessions at once."""
-        view = self.view()
-        stats = view.groupBy("session_id").agg(F.sum(F.col("tokens") + session.OVERHEAD).alias("context_tokens"))
-        due = stats if force else session.compaction_due(stats, budget, hard_only=hard_only)
-        raw = view.where("item_type = 'message'").join(due.select("session_id"), "session_id", "left_semi")
-        old = session.candidates(raw.withColumn("turn", F.col("item_id").cast("long")), keep)
-        made = summary.compact(old).where("shrinks").withColumns({"level": F.lit(0), "superseded": F.lit(False), "children": F.array().cast("array<string>"), "created_at": F.lit(float(at))}).cache()
-        try:
-            items = self.table("context").where("not gone").drop("gone")
-            swaps = old.join(made.select("session_id", "summary_id"), "session_id").select("session_id", F.col("item_id"), "summary_id")
-            swapped = content.swap_context(items.where("item_type = 'message'"), swaps).where("item_type = 'summary'").withColumn("gone", F.lit(False))
-            gone = items.where("item_type = 'message'").join(swaps.select("session_id", "item_id"), ["session_id", "item_id"], "left_semi").withColumn("gone", F.lit(True))
-            out = self.spark.createDataFrame(made.select("session_id", "summary_id", "covered", "tokens").collect(), "session_id string, summary_id string, covered long, tokens long")  # one row for each session compacted
-            both = swapped.unionByName(gone)
-            self.write("summaries", made)
-            self.write("context", both)
-        finally:
-            made.unpersist()
-        return out
+    def compact(self, budget: session.Budget = session.Budget(), keep: int = 2, at: float = 0.0, hard_only: bool = False, force: bool = False, rounds: int = 3, protect_tokens: int = 40_000, least: int = 20_000) -> DataFrame:
+        """Compacts the sessions over their budget, all at once: (session_id, triggered, deferred, rounds, before, after, effective, summaries) of those due.
+
+        Old tool outputs are pruned first; then rounds of summaries, and summaries of summaries, until a session is below its soft limit or nothing shrinks it.
+        """
+        view = self._items()
+        cost = view.groupBy("session_id").agg(F.sum(F.col("tokens") + session.OVERHEAD).alias("context_tokens"))
+        due = cost if force else session.compaction_due(cost, budget, hard_only=hard_only)
+        due = cut(due.select("session_id"))
+        seen = self.table("parts").join(due, "session_id", "left_semi").join(self.messages().select("session_id", "turn", "position", "role", "is_summary"), ["session_id", "turn"])
+        tool = seen.withColumns({"is_protected": F.lit(False), "compacted": F.col("compacted_at").isNotNull(), "tokens": fx.tokens("content")})
+        old = session.prune_tools(tool, protect_tokens, least).select("part_id")
+        self.write("parts", cut(content.mark_compacted(self.table("parts").join(old, "part_id", "left_semi"), old, F.lit(float(at)))))
+        after, made, report = summary.compact_context(cut(self._items()), budget, keep, rounds, force, defer_soft=hard_only)
+        report = cut(report)
+        if made is not None:
+            made = cut(made)
+            self.write("summaries", made.withColumns({"superseded": F.lit(False), "created_at": F.lit(float(at))}))
+            taken = made.where("condensed").select(F.explode("children").alias("summary_id"))
+            self.write("summaries", cut(self.table("summaries").join(taken, "summary_id", "left_semi").withColumn("superseded", F.lit(True))))
+            gone = made.select("session_id", F.when(F.col("condensed"), "summary").otherwise("message").alias("item_type"), F.explode("replaced").alias("item_id"))
+            stands = made.select("session_id", F.lit("summary").alias("item_type"), F.col("summary_id").alias("item_id"), "position", F.lit(False).alias("gone"))
+            items = stands.unionByName(self.table("context").drop("gone").unionByName(stands.drop("gone")).join(gone, ["session_id", "item_type", "item_id"], "left_semi").withColumn("gone", F.lit(True)))
+            last = items.groupBy("session_id", "item_type", "item_id").agg(F.min("position").alias("position"), F.max("gone").alias("gone"))
+            self.write("context", cut(last))
+        return report.where("triggered or deferred")
+
+    def _items(self) -> DataFrame:
+        """What each session's context holds now, summaries without their heads: the view that compaction works on."""
+        items = self.table("context").where("not gone").drop("gone")
+        m = self.messages().select("session_id", F.col("turn").cast("string").alias("item_id"), F.lit("message").alias("item_type"), "role", "turn", F.col("text").alias("_t"), F.col("tokens").alias("_n"))
+        said = parts.message_texts(self.table("parts"), ["session_id", "turn"]).select("session_id", "turn", F.col("text").alias("_p"))
+        m = m.join(said, ["session_id", "turn"], "left").select("session_id", "item_id", "item_type", "role", F.coalesce("_p", "_t").alias("text")).withColumn("tokens", fx.tokens("text"))
+        m = m.withColumns({"level": F.lit(-1).cast("long"), "span_start": F.col("item_id"), "span_end": F.col("item_id")})
+        s = self.table("summaries").where("not superseded").select("session_id", F.col("summary_id").alias("item_id"), F.lit("summary").alias("item_type"), F.lit("assistant").alias("role"), F.col("content").alias("text"), fx.tokens(summary.node_text(F.col("summary_id"), F.col("content"))).alias("tokens"), "level", F.col("span_start").cast("string").alias("span_start"), F.col("span_end").cast("string").alias("span_end"))
+        return items.join(m.unionByName(s), ["session_id", "item_type", "item_id"]).select("session_id", "position", "item_type", "item_id", "role", "text", "tokens", "level", "span_start", "span_end")
 
     def view(self) -> DataFrame:
-        """(session_id, position, item_type, item_id, role, text, tokens) of what each session's context holds now."""
-        items = self.table("context").where("not gone").drop("gone")
-        sums = self.table("summaries").where("not superseded").withColumn("content", F.concat(F.lit("[LCM summary node "), "summary_id", F.lit("]\n"), "content")).withColumn("tokens", fx.tokens("content"))
-        seen = session.context_view(items, self.messages(), sums)
-        return seen.join(items.select("session_id", "position", "item_id"), ["session_id", "position"])
-
-    def context(self, budget: int) -> DataFrame:
-        """For all sessions: summaries from the oldest on, then the newest messages that fit what they leave; in order of position."""
-        seen = self.view()
-        sums = session.budget_prefix(seen.where("item_type = 'summary'"), budget)
-        used = sums.groupBy("session_id").agg(F.sum(F.coalesce(F.col("room") + session.OVERHEAD, F.col("cost"))).alias("_used"))
-        raw = seen.where("item_type = 'message'").join(used, "session_id", "left")
-        cost = F.col("tokens") + session.OVERHEAD
-        raw = raw.withColumn("running", F.sum(cost).over(session.newest())).where(F.col("running") <= budget - F.coalesce("_used", F.lit(0)))
-        cols = ["session_id", "position", "item_type", "item_id", "role", "text", "tokens"]
-        return sums.select(*cols).unionByName(raw.select(*cols))
+        """(session_id, position, item_type, item_id, role, text, tokens) of what each session's context holds now, summaries with their heads."""
+        text = F.when(F.col("item_type") == "summary", summary.node_text(F.col("item_id"), F.col("text"))).otherwise(F.col("text"))
+        return self._items().withColumn("text", text).drop("level", "span_start", "span_end")
+
+    def context(self, budget: int, system_prompt: str = "") -> DataFrame:
+        """For all sessions: the system prompt, summaries from the oldest on, then the newest messages that fit what they leave; what is too long for what is left is cut."""
+        return session.build_context(self.view(), budget, system_prompt).withColumnsRenamed({"place": "position", "source": "item_type", "source_id": "item_id"})
 
     def bundle(self, session_id: str, queries: DataFrame, agent: str | None = None, budget: int = 4000, recall_budget: int = 2000, k: int = 10) -> dict[str, DataFrame]:
         """What one answer needs: messages of the session, recalled and active items, the injection policy that fits, and where all of it comes from."""

@@ -87,7 +87,7 @@ def test_compaction(spark, memory):
     memory.store_session(turns, "a", 100.0)
     assert memory.compact(Budget(10**6), at=1.0).count() == 0
     done = memory.compact(Budget(2500, 100, 100), at=200.0).collect()
-    assert [(r.session_id, r.covered) for r in done] == [("long", 6)]
+    assert [(r.session_id, r.rounds, len(r.summaries), r.effective) for r in done] == [("long", 1, 1, True)]
     view = memory.view().where("session_id = 'long'").orderBy("position").collect()
     assert [r.item_type for r in view] == ["summary", "message", "message"] and "file_abcd03" in view[0].text and memory.messages().where("session_id = 'long'").count() == 8
     kept = memory.context(1000).where("session_id = 'long'").collect()
@@ -96,6 +96,41 @@ def test_compaction(spark, memory):
     assert parts["messages"].count() == 3 and parts["policy"].first().policy in ("full", "champion", "snippet", "preview", "trimmed") and parts["provenance"].count() > 3
 
 
+def test_compaction_again(spark, memory):
+    """Summaries of summaries, old tool outputs noted only, contexts cut to any limit."""
+    part = "struct<part_type string, content string, tool_name string, tool_call_id string, tool_state string>"
+    rows = [("w", i, "user" if i % 2 == 0 else "assistant", f"fact {i} " + "long text " * 60, [("tool", f"out {i} " + "x" * 900, "grep", f"c{i}", "completed"), ("text", f"fact {i} " + "long text " * 60, None, None, None)] if i % 2 else None) for i in range(6)]
+    more = [("w", i, "user" if i % 2 == 0 else "assistant", f"late {i} " + "more words " * 60, None) for i in range(6, 14)]
+    kind = f"session_id string, turn long, role string, text string, parts array<{part}>"
+    memory.store_session(spark.createDataFrame(rows, kind), "a", 100.0)
+    assert memory.table("parts").where("session_id = 'w'").count() == 9 and memory.search(ask(spark, "grep"), "a").count() == 3
+    tight = Budget(800, 0, 0)
+    first = memory.compact(tight, at=200.0, protect_tokens=100, least=50).where("session_id = 'w'").first()
+    assert first.rounds == 1 and memory.table("parts").where("compacted_at is not null").count() > 0
+    memory.store_session(spark.createDataFrame(more, kind), "a", 300.0)
+    second = memory.compact(tight, at=400.0, protect_tokens=100, least=50).where("session_id = 'w'").first()
+    assert second.rounds == 2 and second.after < second.before
+    sums = {r.summary_id: r for r in memory.table("summaries").where("session_id = 'w'").collect()}
+    assert sorted(r.level for r in sums.values()) == [0, 0, 1] and sum(r.superseded for r in sums.values()) == 2
+    top = next(r for r in sums.values() if r.level == 1)
+    assert sorted(top.children) == sorted(i for i, r in sums.items() if r.superseded)
+    view = memory.view().where("session_id = 'w'").orderBy("position").collect()
+    assert [r.item_type for r in view].count("summary") == 1 and view[0].text.startswith("[LCM summary node sum_")
+    for budget in (20, 60, 200):
+        kept = memory.context(budget, "Be brief. " * 30).where("session_id = 'w'").collect()
+        assert sum(r.tokens + 5 * (r.role != "system") for r in kept) <= budget
+    memory.vacuum("context")
+    assert [r.item_id for r in memory.view().where("session_id = 'w'").orderBy("position").collect()] == [r.item_id for r in view]
+
+
+def test_chunk_modes(spark, memory):
+    docs = spark.createDataFrame([("a.md", "the sqlite file " * 90), ("b.md", "a button of the layout " * 70)], "name string, content string")
+    memory.load(docs, "a", 100.0, 1000, 0)
+    hits = {mode: memory.search_chunks(ask(spark, "database"), None, 4, mode).collect() for mode in ("bm25", "semantic", "hybrid")}
+    assert not hits["bm25"] and hits["semantic"] and "sqlite" in min(hits["semantic"], key=lambda r: r.rank).preview and len(hits["hybrid"]) == len(hits["semantic"])
+    assert memory.chunks(limit=3).count() == 3
+
+
 def test_empty(spark, tmp_path):
     m = Memory(spark, str(tmp_path / "none"))
     assert set(m.counts().values()) == {0} and len(m.counts()) == len(TABLES)
