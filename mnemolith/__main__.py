@@ -41,13 +41,16 @@ def parser() -> argparse.ArgumentParser:
     add("index", "folder", max_files=1000, chunk_size=4000, overlap=200)
     add("ingest-file", "path", chunk_size=4000, overlap=200)
     add("rlm-load", "path", chunk_size=4000, overlap=200)
-    add("rlm-search", "query", buffer_id=None, top_k=10)
+    add("rlm-search", "query", buffer_id=None, top_k=10, mode="bm25")
+    add("rlm-record", "buffer_id", "batch_index", "analysis", batch_size=4)
+    add("context-get", buffer_id=None, limit=100)
+    add("long-term-source", "items")
     add("rlm-chunk-get", "ids")
     add("chunk", "path", chunk_size=4000, overlap=200)
     add("dispatch", buffer_id=None, batch_size=4)
     add("rlm-run", buffer_id=None, batch_size=4)
     add("aggregate", buffer_id=None)
-    add("lcm-context", session_id=None, budget=session.Budget().hard)
+    add("lcm-context", session_id=None, budget=session.Budget().hard, system_prompt="")
     add("lcm-sessions")
     add("lcm-messages", session_id=None)
     add("lcm-summary", session_id=None)
@@ -96,7 +99,13 @@ def run(memory: Memory, a: argparse.Namespace):
             docs = files.read_documents(spark, a.path).select(F.col("source_path").alias("name"), "content")
             return memory.load(docs, a.agent, at, a.chunk_size, a.overlap)
         case "rlm-search":
-            return memory.search_chunks(asked(a.query), a.buffer_id, a.top_k)
+            return memory.search_chunks(asked(a.query), a.buffer_id, a.top_k, a.mode)
+        case "rlm-record":
+            return memory.record(a.buffer_id, int(a.batch_index), a.analysis, a.batch_size)
+        case "context-get":
+            return memory.chunks(a.buffer_id, a.limit)
+        case "long-term-source":
+            return memory.source(a.items.split(","))
         case "rlm-chunk-get":
             return memory.chunk(a.ids.split(","))
         case "chunk":
@@ -108,7 +117,7 @@ def run(memory: Memory, a: argparse.Namespace):
         case "aggregate":
             return of_buffer(memory.table("results"))
         case "lcm-context":
-            return of_session(memory.context(a.budget)).orderBy("session_id", "position")
+            return of_session(memory.context(a.budget, a.system_prompt)).orderBy("session_id", "position")
         case "lcm-sessions":
             return memory.sessions()
         case "lcm-messages":

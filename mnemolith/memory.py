@@ -238,6 +238,20 @@ class Memory:
     def chunk(self, ids: list[str]) -> DataFrame:
         return content.multi_get(self.table("chunks"), ids, "chunk_id")
 
+    def source(self, item_ids: list[str]) -> DataFrame:
+        """(item_id, raw_ref, agent_id, text) of items, in the order asked for: what a recalled ref points to."""
+        rows = self.table("items").withColumn("raw_ref", F.concat_ws(":", "source_type", "source_id"))
+        return content.multi_get(rows, item_ids, "item_id").select("item_id", "raw_ref", "agent_id", "text")
+
+    def record(self, buffer_id: str, batch_index: int, analysis: str, batch: int = 4) -> DataFrame:
+        """Records an analysis that was made elsewhere, for a batch that has none; gives the result that stands."""
+        plan = self.dispatch(buffer_id, batch).where(F.col("batch_index") == batch_index)
+        kinds = dict(c.strip().rsplit(" ", 1) for c in TABLES["results"][0].split(","))
+        said = {"analysis": F.lit(analysis), "tokens": fx.tokens(F.lit(analysis)), "status": F.lit("ok"), "retries": F.lit(0)}
+        new = plan.withColumns({c: F.expr(NONE.format(t)) for c, t in kinds.items() if c not in plan.columns and c not in said} | said)
+        self.write("results", new.join(self.table("results").where("status = 'ok'").select("buffer_id", "batch_index"), ["buffer_id", "batch_index"], "left_anti"))
+        return self.table("results").where((F.col("buffer_id") == buffer_id) & (F.col("batch_index") == batch_index))
+
     def dispatch(self, buffer_id: str | None = None, batch: int | None = None) -> DataFrame:
         """(buffer_id, batch_index, chunk_ids): the plan of an analysis."""
         c = self.table("chunks")

@@ -727,7 +727,12 @@ def bundle_provenance(spark, d):
     return bundle.provenance(bundle_messages(spark, d), recall_with_content(spark, d), active_recall(spark, d))
 
 
-@query()
+_COST = "length('[' || en.rank || '] ' || id || chr(10) || {0} || chr(10))"
+
+
+@query(f"""WITH {STREAMS}, {ACTIVE}, {ENSEMBLE}, hit AS (SELECT query_id, en.rank, {_COST.format('text')} AS c0, {_COST.format(f"CASE WHEN champion_of IS NULL THEN {PREVIEW.format('text')} ELSE text END")} AS c1, {_COST.format('substr(text, 1, 720)')} AS c2, {_COST.format(PREVIEW.format('text'))} AS c3 FROM en JOIN documents ON doc_id = id WHERE rank <= 10),
+run AS (SELECT query_id, sum(c3) OVER (PARTITION BY query_id ORDER BY rank) AS c FROM hit), opt AS (SELECT query_id, 0 AS i, 'full' AS policy, sum(c0) // 4 AS tokens FROM hit GROUP BY 1 UNION ALL SELECT query_id, 1, 'champion', sum(c1) // 4 FROM hit GROUP BY 1 UNION ALL SELECT query_id, 2, 'snippet', sum(c2) // 4 FROM hit GROUP BY 1 UNION ALL SELECT query_id, 3, 'preview', sum(c3) // 4 FROM hit GROUP BY 1
+ UNION ALL SELECT query_id, 4, 'trimmed', max(c) // 4 FROM run WHERE c // 4 <= 2000 GROUP BY 1 UNION ALL SELECT DISTINCT query_id, 5, 'none', 0 FROM hit) SELECT query_id, arg_min(policy, i) AS policy, CAST(arg_min(tokens, i) AS BIGINT) AS tokens FROM opt WHERE tokens <= 2000 GROUP BY query_id""")
 def bundle_policy(spark, d):
     hits = recall_with_content(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("full")), "id")
     hits = hits.withColumn("champion", F.when(F.col("champion_of").isNotNull(), F.col("full")).otherwise(F.col("preview"))).withColumn("snippet", F.substring("full", 1, 720))
@@ -739,4 +744,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_with_content(spark, sf_dir)
 
 
-from . import sources as _sources  # noqa: E402, F401  (registers its queries, which build on those above)
+from . import facade as _facade  # noqa: E402, F401  (these register queries that build on those above)
+from . import sources as _sources  # noqa: E402, F401

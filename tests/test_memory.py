@@ -151,6 +151,9 @@ def test_command_line(spark, tmp_path):
     assert call("search", "door")[1][0]["session_id"] == "s" and call("recall-memory", "door")[1]
     assert call("index", tmp_path / "docs", "--chunk-size", 1000)[1][0]["deduped"] is False and call("ingest-file", tmp_path / "docs" / "a.md", "--chunk-size", 1000)[1][0]["deduped"] is True
     assert call("rlm-search", "river")[1] and call("rlm-run")[1][0]["fits"] and call("dispatch")[1] and call("chunk", tmp_path / "docs" / "a.md")[1]
+    held = call("context-get")[1]
+    assert held and call("rlm-record", held[0]["buffer_id"], 0, "other words")[1][0]["analysis"] != "other words"
+    assert call("long-term-source", call("recall-memory", "door")[1][0]["id"])[1][0]["text"]
     fixed = call("record-correction", "the door is red")[1][0]["item_id"]
     assert call("record-contradiction", "the door is green", fixed)[0] == 0 and len(call("find-contradictions", "--query", "door")[1]) == 2
     assert call("record-contradiction", "x", "missing")[0] == 1
