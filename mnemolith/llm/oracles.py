@@ -85,8 +85,8 @@ tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
 dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 ds AS (SELECT doc_id, q, i - 1 AS i, array_to_string(w[i : i + q - 1], ' ') AS s FROM (SELECT doc_id, w, q, unnest(range(1, len(w) - q + 2)) AS i FROM dw, (SELECT DISTINCT q FROM ts) WHERE len(w) >= q)),
 h AS (SELECT doc_id, license, s, size // 2 AS step, unnest(range(greatest(0, CAST(ceil((i - (3 * size // 2 - q)) / (size // 2)) AS BIGINT)), i // (size // 2) + 1)) AS j FROM ds JOIN ts USING (q, s)),
-c AS (SELECT doc_id, license, j * step AS at, count(DISTINCT s) / any_value(n) AS c FROM h JOIN tn USING (license) GROUP BY ALL)
-SELECT doc_id, license, max(c) AS containment, CAST(min(at) AS BIGINT) AS first_word FROM c WHERE c >= 0.8 GROUP BY ALL"""
+c AS (SELECT doc_id, license, j * step AS place, count(DISTINCT s) / any_value(n) AS c FROM h JOIN tn USING (license) GROUP BY ALL)
+SELECT doc_id, license, max(c) AS containment, CAST(min(place) AS BIGINT) AS first_word FROM c WHERE c >= 0.8 GROUP BY ALL"""
 
 #: Each operator to its SQL.
 ORACLE = {"op3_mixing": MIXING, "op5_quality": QUALITY, "op6_lines": LINES, "op7_substrings": SUBSTRINGS, "op8_licenses": LICENSES, "op9_topk": TOP_K, "op10_jaccard": JACCARD}
