@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,25 +45,31 @@ def _at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def _forget(spark: SparkSession) -> None:
-    """Lets Spark's cleaner find the shuffle and checkpoint files of results that are no longer referred to; else they wait until the driver runs short of heap."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """While it lasts, an execution's shuffle files go when it ends; what is written to the shared folder doesn't need them, and else they would wait for the driver's heap to run short."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that all executors share."""
     _at_end(df.sparkSession, _shared_folder(df.sparkSession))
-    _forget(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _cleaning(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a compressed table and read again; for intermediate results of some size."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     _at_end(df.sparkSession, path)
-    _forget(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaning(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
