@@ -15,8 +15,8 @@ from .common import WORD_PATTERN, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
-#: Hexadecimal digits of a hash by which rows of one source and size are dealt, so that no group of them meets in one task.
-SALT_DIGITS = 3
+#: Rows of one source and size are dealt to so many salts, so that no group of them meets in one task.
+SALTS = 1024
 #: Offsets have 20 binary places, which keeps rank * rate + offset exact where the rate is a whole number.
 OFFSET_DIGITS = 5
 
@@ -62,7 +62,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("_size"), F.xxhash64(text_col).alias("_th"), F.md5(text.cast("binary")).alias("_md5"))
     key = F.coalesce(F.concat(F.lit("a"), "_source"), F.lit("b"))  # by code point, null last
-    salt = F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("_md5", F.lit(""))).cast("binary")), 1, SALT_DIGITS)
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("_md5", F.lit(""))).cast("binary")), 1, 5)
+    salt = F.conv(digits, 16, 10).cast("int") % SALTS
     base = cut(base.select("_id", "_source", "_size", "_th", key.alias("_key"), salt.alias("_salt")))
     cells = base.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n"))
     groups = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))

@@ -9,7 +9,7 @@ SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 MIXING = rf"""WITH b AS (SELECT doc_id, coalesce('a' || source, 'b') AS key, CAST(coalesce(len(regexp_extract_all(text, {WORD})), 0) AS BIGINT) AS size,
-  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 3) AS salt FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 5) AS BIGINT) % 1024 AS salt FROM documents),
 s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY key),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY key) - 1) % 3 AS BIGINT) + 1] AS weight, 3 * CAST(source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, cap / weight AS ratio, greatest(CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER o, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w

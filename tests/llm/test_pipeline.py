@@ -76,7 +76,7 @@ def mixed(rows):
         live -= set(over)
     out = []
     for k in names:
-        own = sorted((size[i], md5(f"{i}:{md5(t)}")[:3], i, t) for i, t, s in rows if s == k)
+        own = sorted((size[i], int(md5(f"{i}:{md5(t)}")[:5], 16) % 1024, i, t) for i, t, s in rows if s == k)
         rate = min(3.0, target[k] / total[k]) if total[k] else 0.0
         offset = int(md5("0:" + ("b" if k is None else "a" + k))[:5], 16) / 2**20
         for r, (_, _, i, t) in enumerate(own):
