@@ -61,14 +61,15 @@ class Index:
         self.spark, self.path = spark, path
 
     @classmethod
-    def build(cls, docs: DataFrame, keys: list[str], path: str, text_col: str = "text", analyse=fx.terms) -> Index:
-        """Tokenises a corpus once and writes its postings; statistics are counted from what is written."""
+    def build(cls, docs: DataFrame, keys: list[str], path: str, text_col: str = "text", analyse=fx.terms, stem: bool = False) -> Index:
+        """Tokenises a corpus once and writes its postings, by Porter stems if asked for; statistics are counted from what is written."""
         spark = docs.sparkSession
         bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
-        rows = postings(docs, keys, text_col, analyse).withColumn("bucket", bucket)
+        rows = postings(docs, keys, text_col, analyse)
+        rows = (stemmed(rows, keys) if stem else rows).withColumn("bucket", bucket)
         rows.repartitionByRange("bucket", "term", *keys).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         # an empty document has no posting, but counts
-        docs.select(F.size(analyse(text_col)).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
+        docs.select(F.size(analyse(text_col)).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"), F.lit(stem).alias("stem")).coalesce(1).write.parquet(f"{path}/stats")
         spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartitionByRange("bucket", "term").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
         return cls(spark, path)
 
@@ -78,7 +79,10 @@ class Index:
     def search(self, queries: DataFrame, keys: list[str], k: int | None = 10, query_col: str = "query", analyse=fx.terms) -> DataFrame:
         """What bm25 gives over the indexed corpus; the batch of queries is taken to be small, which is checked before it is broadcast."""
         stats = self.table("stats").first()
-        asked = queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        asked = queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term"))
+        if stats.stem:
+            asked = asked.join(stems(asked), "term").select("query_id", F.col("stem").alias("term")).distinct()
+        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
         small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         hint = F.broadcast if small else lambda x: x
         known = self.table("terms").join(hint(asked), ["bucket", "term"]).select("query_id", "bucket", "term", "df")
@@ -176,18 +180,16 @@ def porter(word: str) -> str:
     return w
 
 
-def stemmed_terms(text_col):
-    """terms with Porter stems, for the analyse parameter; each distinct word of a batch is stemmed once, in Python."""
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms of a vocabulary; each is stemmed once, in Arrow batches."""
 
-    @F.pandas_udf("array<string>")
-    def stem(lists: pd.Series) -> pd.Series:
-        seen: dict[str, str] = {}
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"term": pdf["term"], "stem": pdf["term"].map(porter)})
 
-        def of(w):
-            if w not in seen:
-                seen[w] = porter(w)
-            return seen[w]
+    return vocabulary.select("term").distinct().mapInPandas(run, "term string, stem string")
 
-        return lists.map(lambda ws: [of(w) for w in ws])
 
-    return stem(fx.terms(text_col))
+def stemmed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings (keys, doc_len, term, tf) by stem: the vocabulary is stemmed and joined, so no text passes through Python."""
+    return counts.join(stems(counts), "term").groupBy(*keys, "doc_len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))

@@ -24,15 +24,16 @@ def test_bm25_prefers_more_and_shorter(spark):
     assert [r.id for r in out] == [1, 2] and out[1].score > 0
 
 
-def test_bm25_is_that_of_the_index(spark):
+def test_bm25_is_that_of_the_index(spark, tmp_path):
     texts = ["the cats are running fast", "a cat ran", "running runners run", "dogs and cats", "nothing here at all", "relational databases relate"]
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='porter unicode61')")
     con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts, 1)))
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "id long, text string")
+    index = lexical.Index.build(docs, ["id"], str(tmp_path / "stems"), stem=True)
     for q in ("cats", "running cats", "relational", "fast dogs"):
         want = {i: round(-r, 6) for i, r in con.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (" OR ".join(q.split()),))}
-        got = {r.id: r.score for r in lexical.bm25(docs, spark.createDataFrame([(1, q)], "query_id long, query string"), ["id"], analyse=lexical.stemmed_terms).collect()}
+        got = {r.id: r.score for r in lexical.Index(spark, index.path).search(spark.createDataFrame([(1, q)], "query_id long, query string"), ["id"]).collect()}
         assert got == pytest.approx(want, abs=2e-6)
 
 
