@@ -32,7 +32,11 @@ TABLES = {
     "context": ("session_id string, item_type string, item_id string, position long, gone boolean", ["session_id", "item_type", "item_id"]),
     "results": ("buffer_id string, batch_index long, chunk_ids array<long>, analysis string, tokens long, status string, error string, error_type string, transient boolean, retries long", ["buffer_id", "batch_index"]),
     "embeddings": ("model string, content_hash string, embedding array<float>", ["model", "content_hash"]),
+    "lengths": ("kind string, doc_id string, version string, doc_len long", ["kind", "doc_id", "version"]),
+    "postings": ("doc_id string, version string, term string, tf long, doc_len long, kind string, bucket int", ["kind", "doc_id", "version", "term"]),
 }
+#: Tables that are dealt to folders by columns, so that a read of some of them leaves the rest alone.
+FOLDERS = {"postings": ["kind", "bucket"]}
 NONE = "cast(null as {})"
 
 
@@ -66,7 +70,7 @@ class Memory:
     def write(self, name: str, rows: DataFrame) -> None:
         columns = [c.strip().rsplit(" ", 1) for c in TABLES[name][0].split(",")]
         at = (self._generations(name) or [0])[-1]
-        rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(time.time_ns()).alias("batch")).write.mode("append").parquet(f"{self.root}/{name}/g{at}")
+        rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(time.time_ns()).alias("batch")).write.mode("append").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/g{at}")
 
     def vacuum(self, name: str) -> None:
         """Writes a log's present state as its next generation, for reads to come; reads that have begun go on in the one before, which stays until the next vacuum. No writer may run beside it."""
@@ -75,7 +79,7 @@ class Memory:
         now = self.table(name).withColumn("batch", F.lit(0).cast("long"))
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         new, fs = path(f"{self.root}/{name}/g{found[-1] + 1}"), path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        now.write.mode("overwrite").parquet(f"{self.root}/{name}/_new")
+        now.write.mode("overwrite").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/_new")
         fs.rename(path(f"{self.root}/{name}/_new"), new)
         for old in found[:-1]:
             fs.delete(path(f"{self.root}/{name}/g{old}"), True)
@@ -83,6 +87,30 @@ class Memory:
     def counts(self) -> dict[str, int]:
         return {name: self.table(name).count() for name in TABLES}
 
+    # --- the inverted index of messages, items and chunks
+
+    def post(self, kind: str, docs: DataFrame) -> None:
+        """Adds documents (doc_id, text) to the index. A version of a document, told by its text, is posted once and for all; searches look at the versions that are present."""
+        version = fx.content_hash(F.coalesce("text", F.lit("")))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int")
+        rows = docs.select("doc_id", version.alias("version"), "text").dropDuplicates(["doc_id", "version"])
+        counts = lexical.postings(rows, ["doc_id", "version"])
+        self.write("postings", counts.withColumn("kind", F.lit(kind)).withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term"))
+        self.write("lengths", rows.select("doc_id", "version", F.size(fx.terms("text")).cast("long").alias("doc_len"), F.lit(kind).alias("kind")))
+
+    def bm25(self, kind: str, present: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of present documents (doc_id, text) of a kind; only the postings of the queries' terms are read, and no text but for its hash."""
+        now = present.select("doc_id", fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"))
+        asked = lexical.asked_terms(queries)
+        words = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
+        few = words.limit(lexical.BROADCAST_TERMS + 1).count() <= lexical.BROADCAST_TERMS
+        own = F.col("kind") == kind
+        held = self.log("postings").where(own).join(F.broadcast(words) if few else words, ["bucket", "term"]).dropDuplicates(["doc_id", "version", "term"])
+        held = held.join(now, ["doc_id", "version"]).select("doc_id", "doc_len", "term", "tf")
+        sizes = self.log("lengths").where(own).dropDuplicates(["doc_id", "version"]).join(now, ["doc_id", "version"])
+        stats = sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("l")).select(F.struct("n", "l")).scalar()
+        return lexical.scored(held.withColumn("_s", stats), F.col("_s.n"), F.col("_s.l"), asked, ["doc_id"])
+
     # --- conversations
 
     def store_session(self, turns: DataFrame, agent: str, at: float) -> None:
@@ -95,6 +123,7 @@ class Memory:
             said = parts.message_texts(own, names)
             whole = rows.drop("text", "parts").join(said, names).withColumn("agent_id", F.lit(agent)).withColumn("tokens", fx.tokens("text")).withColumn("is_summary", F.lit(False)).withColumn("created_at", F.lit(float(at)))
             self.index(whole.where("searchable != ''").select("agent_id", F.lit("message").alias("source_type"), F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("source_id"), "session_id", F.col("searchable").alias("text")), at)
+            self.post("message", whole.select(F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("doc_id"), "text"))
             self.write("parts", own)
             self.write("context", whole.select("session_id", F.lit("message").alias("item_type"), F.col("turn").cast("string").alias("item_id"), (F.col("turn") + 1).alias("position"), F.lit(False).alias("gone")))
             self.write("messages", whole)
@@ -108,8 +137,9 @@ class Memory:
         """(query_id, rank, session_id, turn, role, score, preview) of stored messages."""
         m = self.table("messages")
         m = m.where(F.col("agent_id") == agent) if agent else m
-        best = lexical.bm25(m, queries, ["session_id", "turn"], k)
-        return best.join(m.select("session_id", "turn", "role", fx.preview("text").alias("preview")), ["session_id", "turn"])
+        m = m.withColumn("doc_id", F.concat_ws(":", "session_id", F.col("turn").cast("string")))
+        found = self.bm25("message", m, queries).join(m.select("doc_id", "session_id", "turn", "role", fx.preview("text").alias("preview")), "doc_id").drop("doc_id")
+        return lexical.ranked(found, ["query_id"], ["session_id", "turn"], k)
 
     def sessions(self) -> DataFrame:
         return session.session_stats(self.messages())
@@ -133,6 +163,7 @@ class Memory:
         stale = self.table("items").join(touched, "item_id").withColumn("superseded_by", F.array_union(F.coalesce("superseded_by", none), "_by")).withColumn("valid_to", F.lit(float(at))).withColumn("freshness", F.lit(float(at)))
         rows = rows.join(back, "item_id", "left").withColumn("supersedes", F.when(F.col("_of").isNotNull(), F.array_union(F.coalesce("supersedes", none), "_of")).otherwise(F.col("supersedes")))
         names = list(kinds)
+        self.post("item", rows.select(F.col("item_id").alias("doc_id"), "text"))
         self.write("items", rows.select(*names).unionByName(stale.select(*names)))
         if self.encode:
             new, _ = vector.encode_missing(rows.select(F.col("text").alias("content")), self.table("embeddings"), self.encode, self.model, self.dimensions)
@@ -142,7 +173,8 @@ class Memory:
         """Hybrid recall (query_id, rank, id, fused, champion_of, preview) over items, filtered by agent before ranking."""
         items = self.table("items")
         items = items.where(F.col("agent_id") == agent) if agent else items
-        lex = lexical.bm25(items, queries, ["item_id"], 4 * k).select("query_id", F.col("item_id").alias("id"), "rank", "score")
+        lex = self.bm25("item", items.withColumnRenamed("item_id", "doc_id"), queries).withColumnRenamed("doc_id", "id")
+        lex = lexical.ranked(lex, ["query_id"], ["id"], 4 * k).select("query_id", "id", "rank", "score")
         ranks = self.near(queries, items.select(F.col("item_id").alias("id"), "text"), 4 * k)
         return fusion.recall(lex, ranks, items.select(F.col("item_id").alias("id"), "text"), k)
 
@@ -200,6 +232,7 @@ class Memory:
             new = rows.where("not deduped")
             made = chunking.chunk_documents(new, "buffer_id", "content", size, overlap).join(new.select("buffer_id", "agent_id"), "buffer_id")
             made = made.withColumn("chunk_id", F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string")))
+            self.post("chunk", made.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
             self.write("chunks", made)
             own = self.table("chunks").join(new.select("buffer_id"), "buffer_id", "left_semi")
             self.index(own.select("agent_id", F.lit("rlm_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.lit(None).cast("string").alias("session_id"), F.col("content").alias("text")), at)
@@ -226,7 +259,8 @@ class Memory:
         """(query_id, rank, chunk_id, score, preview) by mode: bm25, semantic or hybrid."""
         c = self.table("chunks")
         c = c.where(F.col("buffer_id") == buffer_id) if buffer_id else c
-        lex = lexical.bm25(c, queries, ["chunk_id"], 3 * k, text_col="content").select("query_id", F.col("chunk_id").alias("id"), "rank", "score")
+        lex = self.bm25("chunk", c.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), queries).withColumnRenamed("doc_id", "id")
+        lex = lexical.ranked(lex, ["query_id"], ["id"], 3 * k).select("query_id", "id", "rank", "score")
         near = self.near(queries, c.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), 3 * k) if mode != "bm25" else lex.limit(0)
         best = fusion.by_mode(lex, near, mode, k).withColumnRenamed("id", "chunk_id")
         return best.join(c.select("chunk_id", fx.preview("content", 240).alias("preview")), "chunk_id")

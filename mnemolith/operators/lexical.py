@@ -30,22 +30,30 @@ def corpus_stats(docs: DataFrame, text_col: str = "text", analyse=fx.terms) -> D
     return docs.select(F.size(analyse(text_col)).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"))
 
 
+def asked_terms(queries: DataFrame, query_col: str = "query", analyse=fx.terms) -> DataFrame:
+    """(query_id, term) of a batch of queries, each term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term"))
+
+
+def scored(counts: DataFrame, n_docs, avgdl, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, score) from the postings (keys, doc_len, term, tf) of asked terms in a corpus of n_docs documents of mean length avgdl."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avgdl))
+    rows = counts.join(df, "term").withColumn("_part", part).join(asked, "term")
+    return rows.groupBy("query_id", *keys).agg(F.round(F.sum("_part"), 6).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | None = 10, text_col: str = "text", query_col: str = "query", analyse=fx.terms) -> DataFrame:
     """(query_id, keys, score, rank) of the documents that hold a term of a query, best first, ties by key.
 
-    Only postings of query terms are counted; the corpus statistics are one scalar subquery.
+    The plain way over a corpus without an index: only postings of query terms are counted; the corpus statistics are one scalar subquery.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term"))
+    asked = asked_terms(queries, query_col, analyse)
     each = docs.select(*keys, analyse(text_col).alias("_t")).select(*keys, F.size("_t").cast("long").alias("doc_len"), F.explode("_t").alias("term"))
     tf = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*keys, "doc_len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text_col, analyse).select(F.struct("n_docs", "avgdl")).scalar()
-    n = F.col("_s.n_docs")
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("_s.avgdl")))
-    scored = tf.join(df, "term").withColumn("_s", stats).select(*keys, "term", part.alias("part")).join(asked, "term")
-    out = scored.groupBy("query_id", *keys).agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(out, ["query_id"], keys, k)
+    return ranked(scored(tf.withColumn("_s", stats), F.col("_s.n_docs"), F.col("_s.avgdl"), asked, keys), ["query_id"], keys, k)
 
 
 class Index:
@@ -79,7 +87,7 @@ class Index:
     def search(self, queries: DataFrame, keys: list[str], k: int | None = 10, query_col: str = "query", analyse=fx.terms) -> DataFrame:
         """What bm25 gives over the indexed corpus; the batch of queries is taken to be small, which is checked before it is broadcast."""
         stats = self.table("stats").first()
-        asked = queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term"))
+        asked = asked_terms(queries, query_col, analyse)
         if stats.stem:
             asked = asked.join(stems(asked), "term").select("query_id", F.col("stem").alias("term")).distinct()
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
