@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MAX_ROUNDS = 60
-
-
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -21,9 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -33,6 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
