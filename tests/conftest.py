@@ -12,6 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    from mnemolith.operators.lexical import Index
+
+    Index.BUCKETS = 4  # fewer small files than an index of some size has
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
