@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 

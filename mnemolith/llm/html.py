@@ -68,6 +68,8 @@ SAME_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in SWALLOWED}
 END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ROOT, ALL = 0, 1
+#: Longer names stand by their hash, and what longer attributes say is not kept in mind.
+LONG_NAME, LONG_ATTRIBUTES = 100, 500
 
 
 @lru_cache(maxsize=20_000)
@@ -82,7 +84,7 @@ def _element(tag: str, attr: str, inside: bool) -> tuple[str, bool, bool]:
         aside |= found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag in ("body", "html", "main") or (tag == "article" and not words & {"comment", "comments", "reply", "teaser", "related"}):
             aside = hint = False
-        name += "".join("." + x for x in names[:2])
+        name += "".join("." + (x if len(x) <= LONG_NAME else str(_hash(x.encode("utf-8", "surrogatepass")))) for x in names[:2])
     return name, aside, hint
 
 
@@ -198,7 +200,7 @@ def blocks(page: str, strip: bool = False) -> tuple[list[tuple[int, bool, str, i
             while any(map(stack[-1][6].get, ends)):
                 pop()
         _, path, aside, link, inside, opened, scope = stack[-1]
-        name, own, hint = _element(tag, attr, inside)
+        name, own, hint = _element(tag, attr, inside) if len(attr) <= LONG_ATTRIBUTES else _element.__wrapped__(tag, attr, inside)
         if inline:
             own |= hint
         else:
@@ -374,7 +376,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return near.groupBy("host").applyInArrow(build, "host string, template string")
 
 
-@lru_cache(maxsize=2_000)
+@lru_cache(maxsize=500)
 def _read(template: str) -> tuple[int, frozenset, frozenset, bool]:
     found = json.loads(template)
     return found["main"], frozenset(found["drop"]), frozenset(found["own"]), found["strip"]
