@@ -15,8 +15,8 @@ from .common import WS_CHARS, cut, let
 
 MIN_DOCUMENTS = 10
 MIN_CODE_POINTS = 1
-#: Bitmaps up to so many bytes in all, which is measured, are broadcast to the text; more meet it in a shuffle join.
-BROADCAST_BYTES = 16_000_000
+#: Bitmaps up to so many bytes in all, counted as they will lie in a hash table, are broadcast to the text; more meet it in a shuffle join.
+BROADCAST_BYTES = 64_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of docs may have any names but those three; packed, they come as one struct ``_row``, and may have any.
     """
     bits = cut(keep_bitmaps(docs, id_col, text_col, min_documents, min_code_points, keep_first).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("keep").alias("_keep")))
-    size = bits.agg(F.sum(F.lit(48) + 16 * F.size("_keep"))).first()[0] or 0
+    size = bits.agg(F.sum(F.lit(160) + 24 * F.size("_keep"))).first()[0] or 0
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text).alias("_rth"))
     both = rows.join(F.broadcast(bits) if size <= BROADCAST_BYTES else bits.hint("shuffle_hash"), F.expr("_rid <=> _id AND _rth = _th"), "left")
