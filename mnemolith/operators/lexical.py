@@ -111,10 +111,16 @@ def term_counts(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | N
     """The plain way without an index: scores are how often the words of a query stand in a text, anywhere."""
     asked = queries.select("query_id", fx.query_words(query_col).alias("_q")).where(F.size("_q") > 0)
     batch = asked.agg(F.array_sort(F.collect_list(F.struct("query_id", "_q"))).alias("b")).scalar()  # a stated batch of queries, as one value in the plan
-    each = docs.withColumn("_batch", batch).select(*keys, text_col, F.explode("_batch").alias("_x"))
-    score = F.aggregate("_x._q", F.lit(0).cast("long"), lambda a, w: a + fx.occurrences(F.col(text_col), w))
-    each = each.select(F.col("_x.query_id").alias("query_id"), *keys, score.alias("score"))
-    return ranked(each.where("score > 0"), ["query_id"], keys, k)
+    kept = F.filter("_batch", lambda x: F.size(x["_q"]) > 0)
+
+    def scores(low):
+        times = lambda w: F.floor((F.char_length(low) - F.char_length(F.replace(low, w, F.lit("")))) / F.char_length(w)).cast("long")
+        return F.transform(kept, lambda x: F.struct(x["query_id"].alias("query_id"), F.aggregate(x["_q"], F.lit(0).cast("long"), lambda a, w: a + times(w)).alias("score")))
+
+    # the text is lower-cased once and looked at in its row; only scores go on
+    found = F.transform(F.array(F.lower(F.coalesce(text_col, F.lit("")))), scores)[0]
+    each = docs.withColumn("_batch", batch).select(*keys, F.explode(F.filter(found, lambda x: x["score"] > 0)).alias("_x"))
+    return ranked(each.select("_x.query_id", *keys, "_x.score"), ["query_id"], keys, k)
 
 
 def porter(word: str) -> str:
