@@ -110,3 +110,10 @@ def expand_refs(texts: DataFrame, store: DataFrame, id_col: str = "id", text_col
     both = each.join(store.select("ref_id", "content"), "ref_id", "left")
     shown = F.coalesce("content", F.when(F.col("ref_id").isNotNull(), F.lit("") if missing == "empty" else F.col("_p")).otherwise(F.col("_p")))
     return both.select(id_col, F.struct("_i", shown.alias("t")).alias("_s")).groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["t"]), "").alias("expanded"))
+
+
+def existing_items(items: DataFrame, new: DataFrame, config: tuple[str, ...] = ("agent_id", "chunk_size", "overlap")) -> DataFrame:
+    """(new_id, item_id, chunk_index): stored items with the chunk configuration of a new document and its content or its path, in order of index; the two ways of being the same are two equi-joins."""
+    n = new.select("new_id", *config, "raw_content_id", "source_path")
+    found = [n.drop(other).join(items.select("item_id", "chunk_index", *config, key), [*config, key]).select("new_id", "item_id", "chunk_index") for key, other in (("raw_content_id", "source_path"), ("source_path", "raw_content_id"))]
+    return found[0].unionByName(found[1]).distinct()

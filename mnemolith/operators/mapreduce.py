@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +74,27 @@ def analyse_once(inputs: DataFrame, analyse, known: DataFrame | None = None, max
     return rows.drop("input").join(made, "input_hash")
 
 
+def completions(inputs: DataFrame, provider, system: str = "", max_tokens: int = 1_000, temperature: float = 0.0, known: DataFrame | None = None, max_retries: int = 2) -> DataFrame:
+    """analyse_once by a model provider, any object with complete(system, user, max_tokens, temperature) that can be sent to executors."""
+    return analyse_once(inputs, lambda texts: provider.complete(system, texts[0], max_tokens, temperature), known, max_retries)
+
+
+class CommandRunner:
+    """An analyser that is a command: it gets the texts on its standard input, parted by form feeds, and prints the analysis. A time-out is worth another try, a failure isn't."""
+
+    def __init__(self, args: list[str], seconds: float = 60.0) -> None:
+        self.args, self.seconds = args, seconds
+
+    def __call__(self, texts: list[str]) -> str:
+        try:
+            done = subprocess.run(self.args, input="\f".join(texts), capture_output=True, text=True, timeout=self.seconds)
+        except subprocess.TimeoutExpired as e:
+            raise TransientError(str(e)) from e
+        if done.returncode:
+            raise RuntimeError(done.stderr.strip() or f"{self.args[0]} ended with {done.returncode}")
+        return done.stdout.strip()
+
+
 def record(results: DataFrame, new: DataFrame, run_col: str = "doc_id") -> DataFrame:
     """Results after new ones; what is there for a batch stays."""
     return results.unionByName(new.join(results.select(run_col, "batch_index"), [run_col, "batch_index"], "left_anti"))

@@ -422,3 +422,28 @@ def dimension_coverage(spark, d):
 @query(f"WITH {o.MESSAGES}, s AS (SELECT session_id, sum(tokens + 5) AS t FROM m GROUP BY 1) SELECT count(*) AS sessions, count(*) FILTER (t >= {r.SMALL.soft}) AS due, count(*) FILTER (t >= {r.SMALL.hard}) AS hard, count(*) FILTER (t < {r.SMALL.soft}) AS not_due FROM s")
 def compaction_totals(spark, d):
     return session.due_totals(session.session_stats(msgs(spark, d)), r.SMALL)
+
+
+# --- ingestion
+
+
+@query(f"WITH {r.LISTING} SELECT path, sha256 FROM l WHERE indexed_at % 3 <> 0 OR indexed_at % 2 = 1")
+def ingest_owned(spark, d):
+    rows = r.listing(spark, d).withColumn("agent_id", F.lit("a"))
+    old = rows.withColumn("agent_id", F.when(F.col("indexed_at") % 3 == 0, "a").otherwise("b"))
+    items = rows.where("indexed_at % 2 = 0").select("path", "agent_id")
+    return files.ingest_plan(rows, old, ("path", "agent_id"), items=items).select("path", "sha256")
+
+
+@query("WITH i AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) SELECT n.doc_id AS new_id, o.doc_id AS item_id, CAST(0 AS BIGINT) AS chunk_index FROM i n JOIN i o ON n.h = o.h OR o.doc_id = n.doc_id + 1")
+def existing_corpus_items(spark, d):
+    rows = docs(spark, d).select("doc_id", fx.content_hash(F.coalesce("text", F.lit(""))).alias("raw_content_id"), F.lit("a").alias("agent_id"), F.lit(1000).alias("chunk_size"), F.lit(100).alias("overlap"))
+    items = rows.select(F.col("doc_id").alias("item_id"), F.lit(0).cast("long").alias("chunk_index"), "agent_id", "chunk_size", "overlap", "raw_content_id", F.col("doc_id").cast("string").alias("source_path"))
+    new = rows.select(F.col("doc_id").alias("new_id"), "agent_id", "chunk_size", "overlap", "raw_content_id", (F.col("doc_id") + 1).cast("string").alias("source_path"))
+    return content.existing_items(items, new)
+
+
+@query("SELECT doc_id, '{\"content\":[{\"type\":\"text\",\"text\":' || CAST(to_json(CASE WHEN length(t) > 30 THEN rtrim(substr(t, 1, 30)) || ' ...' ELSE t END) AS VARCHAR) || '}],\"truncated\":' || (length(t) > 30) || ',\"chars\":' || length(t) || '}' AS payload FROM (SELECT doc_id, source || ' ' || lang || repeat(' more', CAST(doc_id % 8 AS INTEGER)) AS t FROM documents) WHERE t IS NOT NULL")
+def tool_contents(spark, d):
+    text = F.concat("source", F.lit(" "), "lang", F.repeat(F.lit(" more"), (F.col("doc_id") % 8).cast("int")))
+    return files.tool_contents(docs(spark, d).select("doc_id", text.alias("t")).where("t is not null"), "doc_id", "t", 30)

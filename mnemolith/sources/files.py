@@ -28,9 +28,34 @@ def discover_markdown(spark: SparkSession, root: str, max_files: int = 1000, max
     return rows.join(kept, "path", "left").withColumn("skipped", F.coalesce("skipped", F.when(F.col("_in").isNull(), "beyond"))).drop("_in")
 
 
-def ingest_plan(listing: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("path",), fingerprint: tuple[str, ...] = ("sha256",)) -> DataFrame:
-    """The rows of a listing whose fingerprint the manifest does not hold: new or changed files."""
-    return listing.join(manifest.select(*keys, *fingerprint), [*keys, *fingerprint], "left_anti")
+def ingest_plan(listing: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("path",), fingerprint: tuple[str, ...] = ("sha256",), items: DataFrame | None = None) -> DataFrame:
+    """The rows of a listing whose fingerprint the manifest does not hold: new or changed files, or with another owner if keys say so. With items (keys), a file of which no item is left is read again."""
+    held = manifest.select(*keys, *fingerprint)
+    held = held.join(items.select(*keys).distinct(), list(keys), "left_semi") if items is not None else held
+    return listing.join(held, [*keys, *fingerprint], "left_anti")
+
+
+def tool_contents(df: DataFrame, id_col: str, text_col: str, most: int = 1600) -> DataFrame:
+    """(id, payload): rows as the JSON that a tool call returns, texts clipped, with a flag and the length of what was cut."""
+    cut = F.char_length(text_col) > most
+    part = F.struct(F.lit("text").alias("type"), fx.clip(text_col, most).alias("text"))
+    return df.select(id_col, F.to_json(F.struct(F.array(part).alias("content"), cut.alias("truncated"), F.char_length(text_col).alias("chars"))).alias("payload"))
+
+
+def write_whole(df: DataFrame, path: str) -> None:
+    """Writes a small table as one JSON-lines file that appears at its place in whole or not at all."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    df.coalesce(1).write.mode("overwrite").json(f"{path}.part")
+    (made,) = [x.getPath() for x in fs.listStatus(at(f"{path}.part")) if x.getPath().getName().startswith("part-")] or [None]
+    if made is None:
+        fs.create(at(f"{path}.part/part-none")).close()
+        made = at(f"{path}.part/part-none")
+    if fs.exists(at(path)):
+        fs.delete(at(path), False)
+    fs.rename(made, at(path))
+    fs.delete(at(f"{path}.part"), True)
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "path", order: str = "indexed_at") -> DataFrame:

@@ -403,3 +403,20 @@ def test_bundles_for_models_and_audits(spark):
     with pytest.raises(ValueError):
         bundle.guarded(rows)
     assert bundle.guarded(rows.select("session_id", "role", "text")).count() == 2
+
+
+class Loud:
+    def complete(self, system, user, max_tokens, temperature):
+        return f"{system}:{user.upper()[:max_tokens]}"
+
+
+def test_providers_and_commands(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ab"), (2, "cd")], "id long, input string")
+    assert {r.id: r.output for r in mapreduce.completions(rows, Loud(), "s", 1).collect()} == {1: "s:A", 2: "s:C"}
+    assert mapreduce.CommandRunner(["tr", "a-z", "A-Z"])(["ab", "c"]) == "AB\x0cC"
+    assert mapreduce.attempt(mapreduce.CommandRunner(["sleep", "5"], 0.1), ["x"], 1)[3:] == (mapreduce.attempt(mapreduce.CommandRunner(["sleep", "5"], 0.1), ["x"], 1)[3], "TransientError", True, 1)
+    assert mapreduce.attempt(mapreduce.CommandRunner(["false"]), ["x"], 1)[5:] == (False, 0)
+    place = tmp_path / "pending.json"
+    files.write_whole(rows, str(place))
+    files.write_whole(rows.where("id = 2"), str(place))
+    assert [json.loads(x) for x in place.read_text().splitlines()] == [{"id": 2, "input": "cd"}] and not (tmp_path / "pending.json.part").exists()
