@@ -100,6 +100,12 @@ def record(results: DataFrame, new: DataFrame, run_col: str = "doc_id") -> DataF
     return results.unionByName(new.join(results.select(run_col, "batch_index"), [run_col, "batch_index"], "left_anti"))
 
 
+def analyses_of_run(nodes: DataFrame, run_col: str = "session_id") -> DataFrame:
+    """The leaves of a run that rest on chunks, in order of batch: nodes (run, node_id, level, content, source_refs) with a ``rlm_chunk:`` ref; adds batch_index, stated or ordinal."""
+    own = nodes.where((F.col("level") == 0) & F.exists("source_refs", lambda r: r.startswith("rlm_chunk:")))
+    return numbered(own, run_col, "node_id", "content")
+
+
 def completeness(results: DataFrame, expected: DataFrame, run_col: str = "doc_id") -> DataFrame:
     """(run, expected, found, missing, duplicates, extra): batch numbers that lack, repeat or go beyond those expected. expected: (run, batches)."""
     seen = results.groupBy(run_col, "batch_index").agg(F.count("*").alias("_k")).groupBy(run_col).agg(F.collect_list(F.struct("batch_index", "_k")).alias("_s"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolith.functions import text as fx
+
 from .lexical import ranked
 
 #: Query vectors that one pass over the vectors takes along; more are taken in several passes.
@@ -107,3 +109,34 @@ def encode_missing(items: DataFrame, cache: DataFrame, encode, model: str, dimen
     total = wanted.agg(F.count("*").alias("requested"))
     counts = total.select("requested", missing.agg(F.count("*")).scalar().alias("encoded")).select("requested", "encoded", (F.col("requested") - F.col("encoded")).alias("cached"))
     return new, counts
+
+
+def term_cell(term, dimensions: int):
+    """The component that a term counts in: the first digits of its hash."""
+    return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 6), 16, 10).cast("long") % dimensions).cast("int")
+
+
+def hashed_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64) -> DataFrame:
+    """(id, embedding): counts of a text's terms by hashed component, scaled to length 1, as hashed_encoder gives them; null where there is no term."""
+    cells = docs.select(F.col(id_col), F.explode(fx.terms(text_col)).alias("_t")).groupBy(id_col, term_cell(F.col("_t"), dimensions).alias("_c")).agg(F.count("*").alias("_n"))
+    rows = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n")).cast("double")).alias("_l"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)) / F.col("_l"))
+    return docs.select(id_col).join(rows.select(id_col, vector.alias("embedding")), id_col, "left")
+
+
+def hashed_encoder(dimensions: int = 64):
+    """An embedder that needs no model: counts of hashed words, scaled to length 1."""
+    import hashlib
+    import re
+    import unicodedata
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for row, text in zip(out, texts):
+            plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.combining(c))
+            for word in re.findall(r"[^\W_]+", plain):
+                row[int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dimensions] += 1
+            row /= np.linalg.norm(row) or 1
+        return out
+
+    return encode

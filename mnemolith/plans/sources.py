@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
-from mnemolith.operators import bundle, chunking, content, evaluate, fusion, mapreduce, parts, session, summary
+from mnemolith.operators import bundle, chunking, content, evaluate, fusion, mapreduce, parts, session, summary, vector
 from mnemolith.sources import files
 from mnemolith.sources import tables as src
 from mnemolith.streaming import sessions
@@ -447,3 +447,35 @@ def existing_corpus_items(spark, d):
 def tool_contents(spark, d):
     text = F.concat("source", F.lit(" "), "lang", F.repeat(F.lit(" more"), (F.col("doc_id") % 8).cast("int")))
     return files.tool_contents(docs(spark, d).select("doc_id", text.alias("t")).where("t is not null"), "doc_id", "t", 30)
+
+
+# --- vectors and recorded results
+
+
+@query("SELECT DISTINCT 'm' AS model, sha256(text) AS content_hash, CAST(length(text) AS DOUBLE) AS first FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def embedding_cache(spark, d):
+    rows = docs(spark, d).where("text is not null")
+    held = rows.where("doc_id % 3 = 0").select(F.lit("m").alias("model"), fx.content_hash("text").alias("content_hash")).distinct()
+    new, _ = vector.encode_missing(rows.select(F.col("text").alias("content")), held, lambda texts: [[len(t)] for t in texts], "m", 1)
+    return new.select("model", "content_hash", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({o.TERMS.format('text')}) AS t FROM documents), c AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 16 AS BIGINT) AS cell, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM c GROUP BY 1) SELECT doc_id, cell, round(n / l, 6) AS weight FROM c JOIN l USING (doc_id)")
+def hashed_vectors(spark, d):
+    rows = vector.hashed_vectors(docs(spark, d), dimensions=16).where("embedding is not null")
+    return rows.select("doc_id", F.posexplode("embedding").alias("cell", "w")).where("w > 0").select("doc_id", F.col("cell").cast("long").alias("cell"), F.round("w", 6).alias("weight"))
+
+
+@query(f"WITH RECURSIVE {r.RUNS} SELECT doc_id, batch_index, CASE WHEN batch_index % 2 = 0 THEN 'first' ELSE 'second' END AS analysis FROM b")
+def recorded_results(spark, d):
+    c = chunking.batches(r.chunks(spark, d), ["doc_id"], ["chunk_index"], 4)
+    first, second = (mapreduce.run_batches(c, lambda _, x=x: x) for x in ("first", "second"))
+    return mapreduce.record(first.where("batch_index % 2 = 0"), second).select("doc_id", "batch_index", "analysis")
+
+
+@query("SELECT conv_id AS session_id, turn, turn + 100 AS batch_index FROM conversations WHERE role <> 'system'")
+def analyses_of_run(spark, d):
+    turn = F.col("turn").cast("string")
+    refs = F.when(F.col("role") == "system", F.array(F.concat(F.lit("message:"), turn))).otherwise(F.array(F.concat(F.lit("rlm_chunk:"), turn), F.lit("file:a")))
+    nodes = convs(spark, d).select(F.col("conv_id").alias("session_id"), "turn", F.lpad(turn, 6, "0").alias("node_id"), F.lit(0).alias("level"), F.concat(F.lit("Batch index: "), (F.col("turn") + 100).cast("string")).alias("content"), refs.alias("source_refs"))
+    return mapreduce.analyses_of_run(nodes).select("session_id", "turn", "batch_index")

@@ -420,3 +420,12 @@ def test_providers_and_commands(spark, tmp_path):
     files.write_whole(rows, str(place))
     files.write_whole(rows.where("id = 2"), str(place))
     assert [json.loads(x) for x in place.read_text().splitlines()] == [{"id": 2, "input": "cd"}] and not (tmp_path / "pending.json.part").exists()
+
+
+def test_hashed_encoder(spark):
+    texts = ["The caf\u00e9, the cat", "a cat", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    native = {r.doc_id: r.embedding for r in vector.hashed_vectors(df, dimensions=8).collect()}
+    own = vector.hashed_encoder(8)(texts)
+    assert native[2] is native[3] is None and not own[2:].any()
+    assert native[0] == pytest.approx(own[0].tolist(), abs=1e-6) and native[1] == pytest.approx(own[1].tolist(), abs=1e-6)
