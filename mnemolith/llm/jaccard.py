@@ -32,7 +32,7 @@ HELD, BLOCK = 500_000, 1_000
 #: A token that more groups hold brings their signatures to the pair search, which then tells of no pair that they refuse.
 HOT = 32
 #: Pairs of holders, by count of tokens, that a task of the pair search gets on average.
-PAIRS = 1_000_000
+PAIRS = 250_000
 #: Ids up to this number are broadcast (8 bytes each) to pick out candidate texts; more of them meet the texts in a join.
 BROADCAST_IDS = 1_000_000
 #: A prefix has one more token for so many shingles; a group's key has its size in the low bits.
