@@ -40,7 +40,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def _at_end(spark: SparkSession, path: str) -> None:
-    """Has a folder deleted when the driver ends; until then results that aren't read yet may need it."""
+    """Has a folder that is there deleted when the driver ends; until then results that aren't read yet may need it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
@@ -67,9 +67,9 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a compressed table and read again; for intermediate results of some size."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _at_end(df.sparkSession, path)
     with _cleaning(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    _at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
