@@ -71,25 +71,33 @@ def _literal(values) -> Column:
     return F.from_json(F.lit(json.dumps(sorted(values))), "array<bigint>")
 
 
-def _scan(docs: DataFrame, known: list, k: int, id_col: str, text_col: str, containment: float) -> DataFrame:
-    """(id, license, c, at): windows that contain templates, all of shingles of k words, to the given share."""
-    table = docs.sparkSession.createDataFrame([(x, size, s) for x, _, size, s in known], "license string, size int, t array<bigint>")
-    bands = table.select("license", "size", "t", F.posexplode(min_hashes(F.col("t"))).alias("band", "value"))
-    every = _literal({x for *_, s in known for x in s})
+def _scan(docs: DataFrame, known: list, id_col: str, text_col: str, containment: float) -> DataFrame:
+    """(id, license, c, at): windows that contain one of the known templates to the given share. Texts are read once, for shingles of all lengths that the templates have."""
+    table = docs.sparkSession.createDataFrame(known, "license string, k int, size int, t array<bigint>")
+    bands = table.select("license", "k", "size", "t", F.posexplode(min_hashes(F.col("t"))).alias("band", "value"))
+    lengths = sorted({k for _, k, _, _ in known})
+    every = {k: _literal({x for _, own, _, s in known if own == k for x in s}) for k in lengths}
     hashed = docs.select(F.col(id_col).alias("_id"), F.transform(scan_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
-    rows = hashed.select("_id", shingles(F.col("_h"), k).alias("_s")).where(F.arrays_overlap("_s", every))
+    rows = hashed.select("_id", *[shingles(F.col("_h"), k).alias(f"_s{k}") for k in lengths])
+    found = {k: F.arrays_overlap(f"_s{k}", every[k]) for k in lengths}
+    rows = rows.where(reduce(Column.__or__, found.values()))
 
-    def starts(size: int) -> Column:
-        step, most = size // 2, 3 * size // 2 - k + 1
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / step).cast("int")), lambda i: F.struct(F.lit(size).alias("size"), (i * step).alias("at"), F.lit(most).alias("n")))
+    def windows(k: int) -> Column:
+        own = F.col(f"_s{k}")
+
+        def starts(size: int) -> Column:
+            step, most = size // 2, 3 * size // 2 - k + 1
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / step).cast("int")), lambda i: F.struct(F.lit(size).alias("size"), (i * step).alias("at"), F.lit(most).alias("n")))
+
+        cut = lambda w: F.struct(F.lit(k).alias("k"), w["size"].alias("size"), w["at"].alias("at"), F.array_distinct(F.slice(own, w["at"] + 1, w["n"])).alias("s"))
+        some = F.filter(F.transform(F.concat(*[starts(size) for size in sorted({x[2] for x in known if x[1] == k})]), cut), lambda w: F.arrays_overlap(w["s"], every[k]))
+        return F.when(found[k], some).otherwise(F.array().cast("array<struct<k:int,size:int,at:int,s:array<bigint>>>"))
 
     # windows are made in one array: exploded first, each would carry the shingles of the whole text
-    cut = lambda w: F.struct(w["size"].alias("size"), w["at"].alias("at"), F.array_distinct(F.slice("_s", w["at"] + 1, w["n"])).alias("s"))
-    windows = F.filter(F.transform(F.concat(*[starts(size) for size in sorted({x[2] for x in known})]), cut), lambda w: F.arrays_overlap(w["s"], every))
-    windows = rows.select("_id", F.explode(windows).alias("_w")).select("_id", "_w.size", "_w.at", F.col("_w.s").alias("_s"))
-    marked = windows.select("_id", "size", "at", "_s", F.posexplode(min_hashes(F.col("_s"))).alias("band", "value"))
+    each = rows.select("_id", F.explode(F.concat(*[windows(k) for k in lengths])).alias("_w")).select("_id", "_w.k", "_w.size", "_w.at", F.col("_w.s").alias("_s"))
+    marked = each.select("_id", "k", "size", "at", "_s", F.posexplode(min_hashes(F.col("_s"))).alias("band", "value"))
     # templates of a pass are of bounded number, so their bands can be broadcast
-    meet = marked.join(F.broadcast(bands), ["size", "band", "value"]).dropDuplicates(["_id", "at", "license", "_s"])
+    meet = marked.join(F.broadcast(bands), ["k", "size", "band", "value"]).dropDuplicates(["_id", "at", "license", "_s"])
     share = F.size(F.array_intersect("_s", "t")) / F.size("t")
     return meet.select("_id", "license", share.alias("c"), "at").where(F.col("c") >= containment)
 
@@ -106,13 +114,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     passes, size = [], 0
-    for k, x in sorted((x[1], x) for x in template_table(spark, templates)):
-        if not passes or passes[-1][0] != k or size + len(x[3]) > PART:
-            passes.append((k, []))
+    for x in template_table(spark, templates):
+        if not passes or size + len(x[3]) > PART:
+            passes.append([])
             size = 0
-        passes[-1][1].append(x)
+        passes[-1].append(x)
         size += len(x[3])
     if not passes:
         return spark.createDataFrame([], f"{id_col} {kind}, license string, containment double, first_word bigint")
-    found = reduce(DataFrame.unionByName, [_scan(docs, known, k, id_col, text_col, containment) for k, known in passes])
+    found = reduce(DataFrame.unionByName, [_scan(docs, known, id_col, text_col, containment) for known in passes])
     return found.groupBy(F.col("_id").alias(id_col), "license").agg(F.max("c").alias("containment"), F.min("at").cast("long").alias("first_word"))
