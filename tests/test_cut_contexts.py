@@ -22,3 +22,8 @@ def tight(spark, tmp_path_factory):
 def test_context_build_note_alone(spark, tight):
     d, con = tight
     assert oracle.differences(registry.QUERIES["context_build"](spark, d), con, registry.ORACLES["context_build"]) is None
+
+
+def test_audit_payload_note_alone(spark, tight):
+    d, con = tight
+    assert oracle.differences(registry.QUERIES["audit_payload"](spark, d), con, registry.ORACLES["audit_payload"]) is None
