@@ -27,3 +27,8 @@ def test_context_build_note_alone(spark, tight):
 def test_audit_payload_note_alone(spark, tight):
     d, con = tight
     assert oracle.differences(registry.QUERIES["audit_payload"](spark, d), con, registry.ORACLES["audit_payload"]) is None
+
+
+def test_context_snapshot_note_alone(spark, tight):
+    d, con = tight
+    assert oracle.differences(registry.QUERIES["context_snapshot"](spark, d), con, registry.ORACLES["context_snapshot"]) is None
