@@ -9,13 +9,15 @@ are hashes of natural keys.
 from __future__ import annotations
 
 import time
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions import text as fx
 from mnemolith.operators import bundle, chunking, content, fusion, lexical, lifecycle, mapreduce, parts, session, summary, vector
-from mnemolith.sources.tables import cut
+from mnemolith.sources.tables import cut, no_shuffle_files_left
 
 #: Columns and key of each table.
 TABLES = {
@@ -32,11 +34,14 @@ TABLES = {
     "context": ("session_id string, item_type string, item_id string, position long, gone boolean", ["session_id", "item_type", "item_id"]),
     "results": ("buffer_id string, batch_index long, chunk_ids array<long>, analysis string, tokens long, status string, error string, error_type string, transient boolean, retries long", ["buffer_id", "batch_index"]),
     "embeddings": ("model string, content_hash string, embedding array<float>", ["model", "content_hash"]),
-    "lengths": ("kind string, doc_id string, version string, doc_len long", ["kind", "doc_id", "version"]),
-    "postings": ("doc_id string, version string, term string, tf long, doc_len long, kind string, bucket int", ["kind", "doc_id", "version", "term"]),
+    "postings": (lexical.SEGMENT + ", bucket int", ["bucket", "segment", "term"]),
 }
 #: Tables that are dealt to folders by columns, so that a read of some of them leaves the rest alone.
-FOLDERS = {"postings": ["kind", "bucket"]}
+FOLDERS = {"postings": ["bucket"]}
+#: The folder of the postings that lists the texts of the segments, and how many tasks write another folder.
+LISTS, TASKS = -1, 4
+#: Repeated keys of a log up to this number are broadcast to it.
+FEW_KEYS = 100_000
 NONE = "cast(null as {})"
 
 
@@ -62,15 +67,29 @@ class Memory:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/g{found[-1]}") if found else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
-        """The present rows: the last of each key."""
-        key = TABLES[name][1]
+        """The present rows: the last of each key. Which keys repeat is looked up first, so that only their rows are sorted and others are read as they lie."""
+        key, log = TABLES[name][1], self.log(name)
         last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))
-        return self.log(name).withColumn("_n", last).where("_n = 1").drop("_n", "batch")
-
-    def write(self, name: str, rows: DataFrame) -> None:
+        present = lambda rows: rows.withColumn("_n", last).where("_n = 1").drop("_n", "batch")
+        if not self._generations(name):
+            return log.drop("batch")
+        again = log.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key])
+        with no_shuffle_files_left(self.spark):
+            few = again.limit(FEW_KEYS + 1).count()
+        if few > FEW_KEYS:
+            return present(log)
+        if not few:
+            return log.drop("batch")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+        return log.join(F.broadcast(again), same, "left_anti").drop("batch").unionByName(present(log.join(F.broadcast(again), same, "left_semi")))
+
+    def write(self, name: str, rows: DataFrame) -> int:
+        """Appends rows to a log and gives the number of their batch."""
         columns = [c.strip().rsplit(" ", 1) for c in TABLES[name][0].split(",")]
-        at = (self._generations(name) or [0])[-1]
-        rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(time.time_ns()).alias("batch")).write.mode("append").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/g{at}")
+        at, batch = (self._generations(name) or [0])[-1], time.time_ns()
+        with no_shuffle_files_left(self.spark):
+            rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns], F.lit(batch).alias("batch")).write.mode("append").option("compression", "zstd").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/g{at}")
+        return batch
 
     def vacuum(self, name: str) -> None:
         """Writes a log's present state as its next generation, for reads to come; reads that have begun go on in the one before, which stays until the next vacuum. No writer may run beside it."""
@@ -79,7 +98,7 @@ class Memory:
         now = self.table(name).withColumn("batch", F.lit(0).cast("long"))
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         new, fs = path(f"{self.root}/{name}/g{found[-1] + 1}"), path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        now.write.mode("overwrite").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/_new")
+        now.write.mode("overwrite").option("compression", "zstd").partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/_new")
         fs.rename(path(f"{self.root}/{name}/_new"), new)
         for old in found[:-1]:
             fs.delete(path(f"{self.root}/{name}/g{old}"), True)
@@ -89,26 +108,29 @@ class Memory:
 
     # --- the inverted index of messages, items and chunks
 
-    def post(self, kind: str, docs: DataFrame) -> None:
-        """Adds documents (doc_id, text) to the index. A version of a document, told by its text, is posted once and for all; searches look at the versions that are present."""
-        version = fx.content_hash(F.coalesce("text", F.lit("")))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int")
-        rows = docs.select("doc_id", version.alias("version"), "text").dropDuplicates(["doc_id", "version"])
-        counts = lexical.postings(rows, ["doc_id", "version"])
-        self.write("postings", counts.withColumn("kind", F.lit(kind)).withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term"))
-        self.write("lengths", rows.select("doc_id", "version", F.size(fx.terms("text")).cast("long").alias("doc_len"), F.lit(kind).alias("kind")))
-
-    def bm25(self, kind: str, present: DataFrame, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of present documents (doc_id, text) of a kind; only the postings of the queries' terms are read, and no text but for its hash."""
+    def post(self, texts: DataFrame) -> None:
+        """Adds texts (text) to the index, in segments of their own. A text is known by its hash, whether it is that of a message, an item or a chunk; searches look at the texts that are present."""
+        rows = texts.select(fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"), fx.terms("text").alias("terms"))
+        bucket = F.when(F.col("term").isNull(), F.lit(LISTS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
+        # the rows of a term are one for each segment; they go to some tasks, so that a term that most texts hold isn't one task's
+        self.write("postings", lexical.segments(rows).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(TASKS))).sortWithinPartitions("bucket", "term"))
+
+    def bm25(self, present: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of present documents (doc_id, text); only the postings of the queries' terms are read, and no text but for its hash."""
         now = present.select("doc_id", fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"))
         asked = lexical.asked_terms(queries)
         words = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
         few = words.limit(lexical.BROADCAST_TERMS + 1).count() <= lexical.BROADCAST_TERMS
-        own = F.col("kind") == kind
-        held = self.log("postings").where(own).join(F.broadcast(words) if few else words, ["bucket", "term"]).dropDuplicates(["doc_id", "version", "term"])
-        held = held.join(now, ["doc_id", "version"]).select("doc_id", "doc_len", "term", "tf")
-        sizes = self.log("lengths").where(own).dropDuplicates(["doc_id", "version"]).join(now, ["doc_id", "version"])
-        stats = sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("l")).select(F.struct("n", "l")).scalar()
+        folders = [r.bucket for r in words.select("bucket").distinct().collect()]
+        log = self.log("postings")
+        lists = log.where(F.col("bucket") == LISTS).select("segment", F.posexplode(F.arrays_zip("versions", "lens")).alias("place", "_d"))
+        # a text that was posted again has its place in the first segment only
+        own = lists.groupBy(F.col("_d.versions").alias("version")).agg(F.min(F.struct("segment", "place", F.col("_d.lens").cast("long").alias("doc_len"))).alias("_x"))
+        here = now.join(own, "version").select("doc_id", "_x.*")
+        held = log.where(F.col("bucket").isin(folders)).join(F.broadcast(words) if few else words, ["bucket", "term"]).dropDuplicates(["segment", "term"])
+        held = held.select("segment", "term", F.explode(F.arrays_zip("places", "tfs")).alias("_p")).select("segment", "term", F.col("_p.places").alias("place"), F.col("_p.tfs").cast("long").alias("tf"))
+        held = held.join(here, ["segment", "place"]).select("doc_id", "doc_len", "term", "tf")
+        stats = here.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("l")).select(F.struct("n", "l")).scalar()
         return lexical.scored(held.withColumn("_s", stats), F.col("_s.n"), F.col("_s.l"), asked, ["doc_id"])
 
     # --- conversations
@@ -122,8 +144,8 @@ class Memory:
             own = parts.parts_of(rows, names)
             said = parts.message_texts(own, names)
             whole = rows.drop("text", "parts").join(said, names).withColumn("agent_id", F.lit(agent)).withColumn("tokens", fx.tokens("text")).withColumn("is_summary", F.lit(False)).withColumn("created_at", F.lit(float(at)))
-            self.index(whole.where("searchable != ''").select("agent_id", F.lit("message").alias("source_type"), F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("source_id"), "session_id", F.col("searchable").alias("text")), at)
-            self.post("message", whole.select(F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("doc_id"), "text"))
+            self.post(whole.select(F.explode(F.array_distinct(F.array("text", "searchable"))).alias("text")))
+            self.index(whole.where("searchable != ''").select("agent_id", F.lit("message").alias("source_type"), F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("source_id"), "session_id", F.col("searchable").alias("text")), at, posted=True)
             self.write("parts", own)
             self.write("context", whole.select("session_id", F.lit("message").alias("item_type"), F.col("turn").cast("string").alias("item_id"), (F.col("turn") + 1).alias("position"), F.lit(False).alias("gone")))
             self.write("messages", whole)
@@ -138,7 +160,7 @@ class Memory:
         m = self.table("messages")
         m = m.where(F.col("agent_id") == agent) if agent else m
         m = m.withColumn("doc_id", F.concat_ws(":", "session_id", F.col("turn").cast("string")))
-        found = self.bm25("message", m, queries).join(m.select("doc_id", "session_id", "turn", "role", fx.preview("text").alias("preview")), "doc_id").drop("doc_id")
+        found = self.bm25(m, queries).join(m.select("doc_id", "session_id", "turn", "role", fx.preview("text").alias("preview")), "doc_id").drop("doc_id")
         return lexical.ranked(found, ["query_id"], ["session_id", "turn"], k)
 
     def sessions(self) -> DataFrame:
@@ -146,8 +168,8 @@ class Memory:
 
     # --- long-term items
 
-    def index(self, items: DataFrame, at: float) -> None:
-        """Adds items (agent_id, source_type, source_id, session_id, text and optional columns); an item of a known key replaces it, one with the merge key of others supersedes them."""
+    def index(self, items: DataFrame, at: float, posted: bool = False) -> None:
+        """Adds items (agent_id, source_type, source_id, session_id, text and optional columns); an item of a known key replaces it, one with the merge key of others supersedes them. posted: their texts are in the index of texts."""
         have = set(items.columns)
         kinds = dict(c.strip().rsplit(" ", 1) for c in TABLES["items"][0].split(","))
         rows = items.withColumns({c: F.expr(NONE.format(t)) for c, t in kinds.items() if c not in have})
@@ -155,16 +177,18 @@ class Memory:
             "item_id": F.coalesce("item_id", fx.stable_id("ltm_", "agent_id", "source_type", "source_id")), "confidence": F.coalesce("confidence", F.lit("medium")), "controller_ignored": F.coalesce("controller_ignored", F.lit(False)),
             "indexed_at": F.lit(float(at)), "freshness": F.coalesce("freshness", F.lit(float(at))), "raw_refs": F.array_union(F.coalesce("raw_refs", F.array().cast("array<string>")), F.array(F.concat_ws(":", "source_type", "source_id"))),
         })
-        keyed = rows.where("merge_key is not null").select(F.col("item_id").alias("new_id"), "agent_id", "merge_key")
-        old = self.table("items").where("valid_to is null and merge_key is not null").join(keyed, ["agent_id", "merge_key"]).where("item_id != new_id")
-        touched = old.groupBy("item_id").agg(F.array_sort(F.collect_set("new_id")).alias("_by"))
-        back = old.groupBy(F.col("new_id").alias("item_id")).agg(F.array_sort(F.collect_set("item_id")).alias("_of"))
-        none = F.array().cast("array<string>")
-        stale = self.table("items").join(touched, "item_id").withColumn("superseded_by", F.array_union(F.coalesce("superseded_by", none), "_by")).withColumn("valid_to", F.lit(float(at))).withColumn("freshness", F.lit(float(at)))
-        rows = rows.join(back, "item_id", "left").withColumn("supersedes", F.when(F.col("_of").isNotNull(), F.array_union(F.coalesce("supersedes", none), "_of")).otherwise(F.col("supersedes")))
         names = list(kinds)
-        self.post("item", rows.select(F.col("item_id").alias("doc_id"), "text"))
-        self.write("items", rows.select(*names).unionByName(stale.select(*names)))
+        if "merge_key" in have:
+            keyed = rows.where("merge_key is not null").select(F.col("item_id").alias("new_id"), "agent_id", "merge_key")
+            old = self.table("items").where("valid_to is null and merge_key is not null").join(keyed, ["agent_id", "merge_key"]).where("item_id != new_id")
+            touched = old.groupBy("item_id").agg(F.array_sort(F.collect_set("new_id")).alias("_by"))
+            back = old.groupBy(F.col("new_id").alias("item_id")).agg(F.array_sort(F.collect_set("item_id")).alias("_of"))
+            none = F.array().cast("array<string>")
+            stale = self.table("items").join(touched, "item_id").withColumn("superseded_by", F.array_union(F.coalesce("superseded_by", none), "_by")).withColumn("valid_to", F.lit(float(at))).withColumn("freshness", F.lit(float(at)))
+            rows = rows.join(back, "item_id", "left").withColumn("supersedes", F.when(F.col("_of").isNotNull(), F.array_union(F.coalesce("supersedes", none), "_of")).otherwise(F.col("supersedes")))
+        if not posted:
+            self.post(rows.select("text"))
+        self.write("items", rows.select(*names).unionByName(stale.select(*names)) if "merge_key" in have else rows.select(*names))
         if self.encode:
             new, _ = vector.encode_missing(rows.select(F.col("text").alias("content")), self.table("embeddings"), self.encode, self.model, self.dimensions)
             self.write("embeddings", new)
@@ -173,7 +197,7 @@ class Memory:
         """Hybrid recall (query_id, rank, id, fused, champion_of, preview) over items, filtered by agent before ranking."""
         items = self.table("items")
         items = items.where(F.col("agent_id") == agent) if agent else items
-        lex = self.bm25("item", items.withColumnRenamed("item_id", "doc_id"), queries).withColumnRenamed("doc_id", "id")
+        lex = self.bm25(items.withColumnRenamed("item_id", "doc_id"), queries).withColumnRenamed("doc_id", "id")
         lex = lexical.ranked(lex, ["query_id"], ["id"], 4 * k).select("query_id", "id", "rank", "score")
         ranks = self.near(queries, items.select(F.col("item_id").alias("id"), "text"), 4 * k)
         return fusion.recall(lex, ranks, items.select(F.col("item_id").alias("id"), "text"), k)
@@ -224,22 +248,21 @@ class Memory:
         """Loads documents (name, content): buffers, chunks and items of what is not there with this configuration. Gives (buffer_id, name, deduped)."""
         rows = docs.select(F.lit(agent).alias("agent_id"), "name", F.coalesce("content", F.lit("")).alias("content")).withColumn("content_hash", fx.content_hash("content"))
         rows = rows.withColumn("buffer_id", fx.stable_id("buf_", "agent_id", "content_hash", F.lit(str(size)), F.lit(str(overlap))))
-        rows = rows.groupBy("buffer_id", "agent_id", "content_hash").agg(F.min("name").alias("name"), F.first("content").alias("content"))
         known = self.table("buffers").select("buffer_id", F.lit(True).alias("deduped"))
-        rows = rows.join(known, "buffer_id", "left").withColumn("deduped", F.coalesce("deduped", F.lit(False))).cache()
-        try:
-            done = cut(rows.select("buffer_id", "name", "deduped"))
-            new = rows.where("not deduped")
-            made = chunking.chunk_documents(new, "buffer_id", "content", size, overlap).join(new.select("buffer_id", "agent_id"), "buffer_id")
-            made = made.withColumn("chunk_id", F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string")))
-            self.post("chunk", made.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
-            self.write("chunks", made)
-            own = self.table("chunks").join(new.select("buffer_id"), "buffer_id", "left_semi")
-            self.index(own.select("agent_id", F.lit("rlm_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.lit(None).cast("string").alias("session_id"), F.col("content").alias("text")), at)
-            n = own.groupBy("buffer_id").agg(F.count("*").alias("chunks"))
-            self.write("buffers", new.join(n, "buffer_id", "left").withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap), "size": F.octet_length("content"), "chunks": F.coalesce("chunks", F.lit(0)), "created_at": F.lit(float(at))}))
-        finally:
-            rows.unpersist()
+        found = rows.groupBy("buffer_id", "agent_id", "content_hash").agg(F.min("name").alias("name"), F.min(F.octet_length("content")).alias("size"))
+        found = cut(found.join(known, "buffer_id", "left").withColumn("deduped", F.coalesce("deduped", F.lit(False))))
+        done, new = found.select("buffer_id", "name", "deduped"), found.where("not deduped")
+        if not new.limit(1).count():
+            return done
+        # the one shuffle of whole texts, gone when their chunks are written
+        texts = rows.groupBy("buffer_id").agg(F.first("content").alias("content")).join(new.select("buffer_id"), "buffer_id", "left_semi")
+        made = chunking.chunk_documents(texts, "buffer_id", "content", size, overlap).withColumns({"agent_id": F.lit(agent), "chunk_id": F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string"))})
+        batch = self.write("chunks", made)
+        own = self.log("chunks").where(F.col("batch") == batch)
+        self.post(own.select(F.col("content").alias("text")))
+        self.index(own.select("agent_id", F.lit("rlm_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.lit(None).cast("string").alias("session_id"), F.col("content").alias("text")), at, posted=True)
+        n = own.groupBy("buffer_id").agg(F.count("*").alias("chunks"))
+        self.write("buffers", new.join(n, "buffer_id", "left").withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap), "chunks": F.coalesce("chunks", F.lit(0)), "created_at": F.lit(float(at))}))
         return done
 
     def near(self, queries: DataFrame, contents: DataFrame, k: int) -> DataFrame:
@@ -259,7 +282,7 @@ class Memory:
         """(query_id, rank, chunk_id, score, preview) by mode: bm25, semantic or hybrid."""
         c = self.table("chunks")
         c = c.where(F.col("buffer_id") == buffer_id) if buffer_id else c
-        lex = self.bm25("chunk", c.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), queries).withColumnRenamed("doc_id", "id")
+        lex = self.bm25(c.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), queries).withColumnRenamed("doc_id", "id")
         lex = lexical.ranked(lex, ["query_id"], ["id"], 3 * k).select("query_id", "id", "rank", "score")
         near = self.near(queries, c.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), 3 * k) if mode != "bm25" else lex.limit(0)
         best = fusion.by_mode(lex, near, mode, k).withColumnRenamed("id", "chunk_id")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +127,64 @@ def term_counts(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | N
     return ranked(each.select("_x.query_id", *keys, "_x.score"), ["query_id"], keys, k)
 
 
+#: A segment of an index closes at so many texts or words.
+SEGMENT_TEXTS, SEGMENT_WORDS = 1 << 14, 4_000_000
+SEGMENT = "segment string, term string, places array<int>, tfs array<int>, versions array<string>, lens array<int>"
+_INTS = pa.list_(pa.int32())
+_SEGMENT = pa.schema([("segment", pa.string()), ("term", pa.string()), ("places", _INTS), ("tfs", _INTS), ("versions", pa.list_(pa.string())), ("lens", _INTS)])
+
+
+def segment(versions: pa.Array, terms: pa.Array):
+    """The rows of one segment as Arrow batches. Its name is the hash of its versions, so equal names hold equal rows."""
+    first = {}
+    for i, v in enumerate(versions.to_pylist()):
+        first.setdefault(v, i)
+    if len(first) < len(versions):
+        terms, versions = terms.take(pa.array(first.values())), pa.array(first)
+    n, lens = len(versions), terms.value_lengths().to_numpy()
+    name = hashlib.sha256("".join(first).encode()).hexdigest()[:32]
+    none = lambda k: pa.nulls(k)
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
+    whole = [pa.array([name]), none(1).cast(pa.string()), none(1).cast(_INTS), none(1).cast(_INTS), one(versions), one(pa.array(lens, pa.int32()))]
+    yield pa.RecordBatch.from_arrays(whole, schema=_SEGMENT)
+    words = terms.flatten().dictionary_encode()
+    if not len(words):
+        return
+    k = len(words.dictionary)
+    pairs, tfs = np.unique(words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
+    at = pa.array(np.searchsorted(pairs, np.arange(k + 1, dtype=np.int64) * n), pa.int32())
+    lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (pairs % n, tfs)]
+    rows = pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(k, np.int32))), words.dictionary, *lists, none(k).cast(pa.list_(pa.string())), none(k).cast(_INTS)], schema=_SEGMENT)
+    for i in range(0, k, 20_000):
+        yield rows.slice(i, 20_000)
+
+
+def segments(texts: DataFrame) -> DataFrame:
+    """Inverted segments of texts (version, terms): for each term its texts, by their places in the segment, and its counts in them; and a row without a term that lists the texts and their lengths.
+
+    Each task inverts what it reads, so no posting is shuffled on its own; equal versions are taken once within a segment.
+    """
+
+    def run(batches):
+        held, n, words = [], 0, 0
+        for batch in batches:
+            versions, terms = (batch.column(i) for i in (0, 1))
+            ends = np.cumsum(terms.value_lengths().to_numpy())
+            start = 0
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                stop = min(start + SEGMENT_TEXTS - n, max(start + 1, int(np.searchsorted(ends, before + SEGMENT_WORDS - words, "right"))))
+                held.append((versions.slice(start, stop - start), terms.slice(start, stop - start)))
+                n, words, start = n + stop - start, words + int(ends[stop - 1] - before), stop
+                if n >= SEGMENT_TEXTS or start < len(ends) or words >= SEGMENT_WORDS:
+                    yield from segment(*map(pa.concat_arrays, zip(*held)))
+                    held, n, words = [], 0, 0
+        if held:
+            yield from segment(*map(pa.concat_arrays, zip(*held)))
+
+    return texts.select("version", "terms").mapInArrow(run, SEGMENT)
+
+
 def porter(word: str) -> str:
     """The stem of a lower-case word by Porter's algorithm of 1980."""
     if len(word) <= 2:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -29,19 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that all executors share; the shuffle files behind it go at once."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+@contextlib.contextmanager
+def no_shuffle_files_left(spark: SparkSession):
+    """The shuffle files of what runs inside go when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(key, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that all executors share; the shuffle files behind it go at once."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with no_shuffle_files_left(spark):
+        return df.checkpoint(eager=True)
+
+
 def derived(spark: SparkSession, name: str, source: DataFrame, build) -> str:
     """The folder of a table derived from the files of a source, written by build(folder) where it isn't there yet.
 
