@@ -26,7 +26,7 @@ def size(folder):
     return sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*.parquet"))
 
 
-@pytest.mark.parametrize("name", ["memory_recall", "memory_context", "memory_messages", "memory_search", "memory_buffers", "memory_chunks", "memory_counts", "memory_dispatch", "memory_items"])
+@pytest.mark.parametrize("name", ["memory_recall", "memory_context", "memory_messages", "memory_search", "memory_buffers", "memory_chunks", "memory_counts", "memory_dispatch", "memory_items", "memory_sessions"])
 def test_memory_within_four_times_its_input(spark, tables, name):
     registry.QUERIES[name](spark, tables).collect()
     assert size(facade.memory(spark, tables).root) <= 4 * size(tables)
