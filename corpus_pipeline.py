@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from mnemolith.llm.bpe import bpe_encode
 from mnemolith.llm.common import cut, table
-from mnemolith.llm.jaccard import jaccard_components
+from mnemolith.llm.jaccard import BROADCAST_IDS, jaccard_components
 from mnemolith.llm.linededup import dedup_lines
 from mnemolith.llm.mixing import mix_sources
 from mnemolith.llm.quality import quality_rules
 from mnemolith.llm.queries import word_vocabulary
 
+#: Keys of repeated rows up to this number are broadcast.
+BROADCAST_KEYS = 100_000
+
 
 def packed(docs: DataFrame) -> DataFrame:
     """(_row, _id, _th): each row of docs as a struct, its id, and a hash of its text."""
@@ -50,9 +53,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words and null ids are near nothing and stay. Rows that share an id but not the text stay together, if one of them does.
     """
-    kept = jaccard_components(docs, n=5, percent=80).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    both = packed(docs).join(kept, F.expr("_id <=> _kept"), "left_semi")
-    return both.dropDuplicates(["_id", "_th"]).select("_row.*")
+    components = jaccard_components(docs, n=5, percent=80).where("doc_id is not null")
+    gone = cut(components.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("_stays")).where("not _stays").select(F.col("doc_id").alias("_gone")))
+    rows, keys, same = packed(docs), ["_id", "_th"], F.expr("_id <=> _rid AND _th = _rth")
+    if gone.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        # one shuffle of texts: both steps want the rows of an id together
+        return rows.join(gone.hint("merge"), F.expr("_id = _gone"), "left_anti").dropDuplicates(keys).select("_row.*")
+    stay = rows.join(F.broadcast(gone), F.expr("_id = _gone"), "left_anti")
+    again = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth")))
+    if not (n := again.limit(BROADCAST_KEYS + 1).count()):
+        return stay.select("_row.*")
+    if n > BROADCAST_KEYS:
+        return stay.dropDuplicates(keys).select("_row.*")
+    # only texts of rows that repeat are shuffled
+    return stay.join(F.broadcast(again), same, "left_anti").unionByName(stay.join(F.broadcast(again), same, "left_semi").dropDuplicates(keys)).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def _at_end(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _cleaning(spark: SparkSession):
+def cleaning(spark: SparkSession):
     """While it lasts, an execution's shuffle files go when it ends; what is written to the shared folder doesn't need them, and else they would wait for the driver's heap to run short."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
@@ -60,14 +60,14 @@ def _cleaning(spark: SparkSession):
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that all executors share."""
     _at_end(df.sparkSession, _shared_folder(df.sparkSession))
-    with _cleaning(df.sparkSession):
+    with cleaning(df.sparkSession):
         return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a compressed table and read again; for intermediate results of some size."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    with _cleaning(df.sparkSession):
+    with cleaning(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     _at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

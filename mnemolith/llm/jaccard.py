@@ -84,7 +84,7 @@ def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int =
     def run(batches):
         common = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1)
             for at, to in slices(texts):
                 for row, end, of, h in shingles(texts.slice(at, to - at).to_pylist(), n):
                     docs = end - row
@@ -120,7 +120,7 @@ def shingle_sets(rows: DataFrame, order: np.ndarray, n: int = N, percent: int =
                     parity = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[at + row : at + end]), pa.array(size), pa.array(digest(mix(h)).view(np.int64)), pa.array(digest(mix(h ^ ODD)).view(np.int64)), pa.array(group.view(np.int64)),
+                            ids.slice(at + row, end - row), pa.array(size), pa.array(digest(mix(h)).view(np.int64)), pa.array(digest(mix(h ^ ODD)).view(np.int64)), pa.array(group.view(np.int64)),
                             pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))), pa.array([parity[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary()),
                         ],
                         schema=schema,

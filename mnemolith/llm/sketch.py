@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import cleaning
 
 #: log2 of the number of counters, the parts they are added in, and the salts of their first sums.
 BITS, PARTS, SALTS = 20, 64, 1024
@@ -43,6 +44,7 @@ def levels(texts: DataFrame, hashes) -> np.ndarray:
     each = texts.mapInArrow(count, "part int, n binary").withColumn("salt", F.spark_partition_id() % SALTS)
     some = each.groupBy("part", "salt").applyInArrow(add, "part int, n binary")
     out = np.zeros((PARTS, size), np.int32)
-    for r in some.groupBy("part").applyInArrow(add, "part int, n binary").collect():
-        out[r.part] = np.frombuffer(r.n, np.int32)
+    with cleaning(texts.sparkSession):
+        for r in some.groupBy("part").applyInArrow(add, "part int, n binary").collect():
+            out[r.part] = np.frombuffer(r.n, np.int32)
     return np.log2(out.ravel() + 1.0).astype(np.uint8)
