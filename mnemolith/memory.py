@@ -40,6 +40,8 @@ TABLES = {
 FOLDERS = {"postings": ["bucket"]}
 #: The folder of the postings that lists the texts of the segments, and how many tasks write another folder.
 LISTS, TASKS = -1, 4
+#: Chunks are posted in so many rounds; the shuffle files of each, of postings, are gone before the next.
+POST_ROUNDS = 3
 #: Repeated keys of a log up to this number are broadcast to it.
 FEW_KEYS = 100_000
 NONE = "cast(null as {})"
@@ -108,12 +110,14 @@ class Memory:
 
     # --- the inverted index of messages, items and chunks
 
-    def post(self, texts: DataFrame) -> None:
-        """Adds texts (text) to the index, in segments of their own. A text is known by its hash, whether it is that of a message, an item or a chunk; searches look at the texts that are present."""
-        rows = texts.select(fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"), fx.terms("text").alias("terms"))
+    def post(self, texts: DataFrame, rounds: int = 1) -> None:
+        """Adds texts (text) to the index, in segments of their own. A text is known by its hash, whether it is that of a message, an item or a chunk; searches look at the texts that are present. rounds: parts of the texts, by their hashes, that are posted one after the other."""
+        every = texts.select(fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"), fx.terms("text").alias("terms"))
         bucket = F.when(F.col("term").isNull(), F.lit(LISTS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
         # the rows of a term are one for each segment; they go to some tasks, so that a term that most texts hold isn't one task's
-        self.write("postings", lexical.segments(rows).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(TASKS))).sortWithinPartitions("bucket", "term"))
+        for i in range(rounds):
+            rows = every if rounds == 1 else every.where(F.pmod(F.xxhash64("version"), F.lit(rounds)) == i)
+            self.write("postings", lexical.segments(rows).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(TASKS))).sortWithinPartitions("bucket", "term"))
 
     def bm25(self, present: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of present documents (doc_id, text); only the postings of the queries' terms are read, and no text but for its hash."""
@@ -259,7 +263,7 @@ class Memory:
         made = chunking.chunk_documents(texts, "buffer_id", "content", size, overlap).withColumns({"agent_id": F.lit(agent), "chunk_id": F.concat_ws("_", "buffer_id", F.col("chunk_index").cast("string"))})
         batch = self.write("chunks", made)
         own = self.log("chunks").where(F.col("batch") == batch)
-        self.post(own.select(F.col("content").alias("text")))
+        self.post(own.select(F.col("content").alias("text")), POST_ROUNDS)
         self.index(own.select("agent_id", F.lit("rlm_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.lit(None).cast("string").alias("session_id"), F.col("content").alias("text")), at, posted=True)
         n = own.groupBy("buffer_id").agg(F.count("*").alias("chunks"))
         self.write("buffers", new.join(n, "buffer_id", "left").withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap), "chunks": F.coalesce("chunks", F.lit(0)), "created_at": F.lit(float(at))}))

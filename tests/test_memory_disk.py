@@ -52,3 +52,18 @@ def test_last_row_of_repeated_keys(spark, tmp_path, monkeypatch):
     for most in (100, 0):
         monkeypatch.setattr(memory, "FEW_KEYS", most)
         assert {(r.session_id, r.position) for r in m.table("context").collect()} == {("a", 2), ("b", 1), (None, 2)} and m.table("context").count() == 3
+
+
+def test_rounds_post_each_text_once(spark, tmp_path):
+    texts = spark.createDataFrame([(f"x y{i % 7} z{i}",) for i in range(40)], "text string")
+    found = []
+    for rounds in (1, 3):
+        m = memory.Memory(spark, str(tmp_path / f"m{rounds}"))
+        m.post(texts, rounds)
+        lists = m.log("postings").where("term is null")
+        versions = [r.v for r in lists.select(F.explode("versions").alias("v")).collect()]
+        asked = spark.createDataFrame([(1, "y3 z3"), (2, "x")], "query_id long, query string")
+        best = m.bm25(texts.withColumn("doc_id", F.col("text")), asked).collect()
+        found.append((sorted(versions), {(r.query_id, r.doc_id, round(r.score, 9)) for r in best}))
+        assert lists.select("batch").distinct().count() == rounds
+    assert found[0] == found[1] and len(found[0][0]) == 40
