@@ -38,8 +38,6 @@ TABLES = {
 }
 #: Tables that are dealt to folders by columns, so that a read of some of them leaves the rest alone.
 FOLDERS = {"postings": ["bucket"]}
-#: The folder of the postings that lists the texts of the segments, and how many tasks write another folder.
-LISTS, TASKS = -1, 4
 #: Chunks are posted in so many rounds; the shuffle files of each, of postings, are gone before the next.
 POST_ROUNDS = 3
 #: Repeated keys of a log up to this number are broadcast to it.
@@ -113,21 +111,19 @@ class Memory:
     def post(self, texts: DataFrame, rounds: int = 1) -> None:
         """Adds texts (text) to the index, in segments of their own. A text is known by its hash, whether it is that of a message, an item or a chunk; searches look at the texts that are present. rounds: parts of the texts, by their hashes, that are posted one after the other."""
         every = texts.select(fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"), fx.terms("text").alias("terms"))
-        bucket = F.when(F.col("term").isNull(), F.lit(LISTS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
-        # the rows of a term are one for each segment; they go to some tasks, so that a term that most texts hold isn't one task's
         for i in range(rounds):
             rows = every if rounds == 1 else every.where(F.pmod(F.xxhash64("version"), F.lit(rounds)) == i)
-            self.write("postings", lexical.segments(rows).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(TASKS))).sortWithinPartitions("bucket", "term"))
+            self.write("postings", lexical.dealt(lexical.segments(rows)))
 
     def bm25(self, present: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of present documents (doc_id, text); only the postings of the queries' terms are read, and no text but for its hash."""
         now = present.select("doc_id", fx.content_hash(F.coalesce("text", F.lit(""))).alias("version"))
         asked = lexical.asked_terms(queries)
-        words = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(lexical.Index.BUCKETS)).cast("int"))
+        words = asked.select("term").distinct().withColumn("bucket", lexical.folder())
         few = words.limit(lexical.BROADCAST_TERMS + 1).count() <= lexical.BROADCAST_TERMS
         folders = [r.bucket for r in words.select("bucket").distinct().collect()]
         log = self.log("postings")
-        lists = log.where(F.col("bucket") == LISTS).select("segment", F.posexplode(F.arrays_zip("versions", "lens")).alias("place", "_d"))
+        lists = log.where(F.col("bucket") == lexical.LISTS).select("segment", F.posexplode(F.arrays_zip("versions", "lens")).alias("place", "_d"))
         # a text that was posted again has its place in the first segment only
         own = lists.groupBy(F.col("_d.versions").alias("version")).agg(F.min(F.struct("segment", "place", F.col("_d.lens").cast("long").alias("doc_len"))).alias("_x"))
         here = now.join(own, "version").select("doc_id", "_x.*")

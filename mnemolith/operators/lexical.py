@@ -7,10 +7,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mnemolith.functions import text as fx
+from mnemolith.sources.tables import no_shuffle_files_left
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -39,12 +43,12 @@ def asked_terms(queries: DataFrame, query_col: str = "query", analyse=fx.terms)
     return queries.select("query_id", F.explode(F.array_distinct(analyse(query_col))).alias("term"))
 
 
-def scored(counts: DataFrame, n_docs, avgdl, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """(query_id, keys, score) from the postings (keys, doc_len, term, tf) of asked terms in a corpus of n_docs documents of mean length avgdl."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+def scored(counts: DataFrame, n_docs, avgdl, asked: DataFrame, keys: list[str], hint=lambda x: x) -> DataFrame:
+    """(query_id, keys, score) from the postings (keys, doc_len, term, tf) of asked terms in a corpus of n_docs documents of mean length avgdl. hint: what is done to tables of asked terms before they are joined."""
+    df = counts.groupBy("term").agg(F.count("tf").alias("df"))  # by a column that the scores need too, so that one shuffle serves both
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avgdl))
-    rows = counts.join(df, "term").withColumn("_part", part).join(asked, "term")
+    rows = counts.join(hint(df), "term").withColumn("_part", part).join(hint(asked), "term")
     return rows.groupBy("query_id", *keys).agg(F.round(F.sum("_part"), 6).alias("score"))
 
 
@@ -61,10 +65,10 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | None = 1
 
 
 class Index:
-    """A stored inverted index: postings in ranges of (bucket, term), term counts, and corpus statistics.
+    """A stored inverted index: segments of postings, dealt to folders by term, and corpus statistics.
 
-    A search reads the buckets of its terms only: they are partitions of the table, and within them files hold ranges of terms. Ranges go by the
-    documents' keys too, so a term that most documents hold spreads over many files.
+    Each task inverts the documents that it reads, so what is shuffled and written is one row for a term of a segment. A search reads the folders of its
+    terms only, and the lists of the segments' keys.
     """
 
     BUCKETS = 64
@@ -74,35 +78,34 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, keys: list[str], path: str, text_col: str = "text", analyse=fx.terms, stem: bool = False) -> Index:
-        """Tokenises a corpus once and writes its postings, by Porter stems if asked for; statistics are counted from what is written."""
-        spark = docs.sparkSession
-        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
-        rows = postings(docs, keys, text_col, analyse)
-        rows = (stemmed(rows, keys) if stem else rows).withColumn("bucket", bucket)
-        rows.repartitionByRange("bucket", "term", *keys).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        """Tokenises a corpus once and writes its segments, by Porter stems if asked for; statistics are counted from what is written."""
+        texts = docs.select(F.struct(*keys).alias("version"), analyse(text_col).alias("terms"))
+        with no_shuffle_files_left(docs.sparkSession):
+            dealt(segments(texts, distinct=False, stem=stem)).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+        kind = texts.schema["version"].dataType.simpleString()
+        lens = docs.sparkSession.read.schema(f"{segment_schema(kind)}, bucket int").parquet(f"{path}/postings").where(F.col("bucket") == LISTS).select(F.explode(F.col("lens").cast("array<long>")).alias("n"))
         # an empty document has no posting, but counts
-        docs.select(F.size(analyse(text_col)).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"), F.lit(stem).alias("stem")).coalesce(1).write.parquet(f"{path}/stats")
-        spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartitionByRange("bucket", "term").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
-        return cls(spark, path)
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        lens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avgdl"), F.lit(stem).alias("stem"), F.lit(kind).alias("kind")).coalesce(1).write.parquet(f"{path}/stats")
+        return cls(docs.sparkSession, path)
 
     def search(self, queries: DataFrame, keys: list[str], k: int | None = 10, query_col: str = "query", analyse=fx.terms) -> DataFrame:
         """What bm25 gives over the indexed corpus; the batch of queries is taken to be small, which is checked before it is broadcast."""
-        stats = self.table("stats").first()
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
         asked = asked_terms(queries, query_col, analyse)
         if stats.stem:
             asked = asked.join(stems(asked), "term").select("query_id", F.col("stem").alias("term")).distinct()
-        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
         small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         hint = F.broadcast if small else lambda x: x
-        known = self.table("terms").join(hint(asked), ["bucket", "term"]).select("query_id", "bucket", "term", "df")
-        df = F.col("df")
-        idf = F.greatest(F.log((stats.n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(stats.avgdl)))
-        hits = self.table("postings").join(hint(known.withColumn("idf", idf)), ["bucket", "term"])
-        return ranked(hits.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score")), ["query_id"], keys, k)
+        words = asked.select("term").distinct().withColumn("bucket", folder())
+        folders = [r.bucket for r in words.select("bucket").distinct().collect()]
+        log = self.spark.read.schema(f"{segment_schema(stats.kind)}, bucket int").parquet(f"{self.path}/postings")
+        held = log.where(F.col("bucket").isin(folders)).join(hint(words), ["bucket", "term"]).select("segment", "term", "places", "tfs")
+        lists = log.where(F.col("bucket") == LISTS).select("segment", "versions", "lens")
+        each = F.transform(F.arrays_zip("places", "tfs"), lambda x: F.struct(F.get("versions", x["places"]).alias("_k"), F.get("lens", x["places"]).cast("long").alias("doc_len"), x["tfs"].cast("long").alias("tf")))
+        rows = held.join(lists, "segment").select("term", F.explode(each).alias("_p")).select(*[F.col(f"_p._k.{c}").alias(c) for c in keys], "_p.doc_len", "term", "_p.tf")
+        # a key may stand for several documents, so its counts are put together; all that follows goes by keys as well
+        counts = rows.repartition(*keys).groupBy(*keys, "doc_len", "term").agg(F.sum("tf").alias("tf"))
+        return ranked(scored(counts, F.lit(stats.n_docs), F.lit(stats.avgdl), asked, keys, hint), ["query_id"], keys, k)
 
 
 def ranked(scores: DataFrame, group: list[str], keys: list[str], k: int | None, score: str = "score") -> DataFrame:
@@ -129,46 +132,69 @@ def term_counts(docs: DataFrame, queries: DataFrame, keys: list[str], k: int | N
 
 #: A segment of an index closes at so many texts or words.
 SEGMENT_TEXTS, SEGMENT_WORDS = 1 << 14, 4_000_000
-SEGMENT = "segment string, term string, places array<int>, tfs array<int>, versions array<string>, lens array<int>"
+#: The folder of an index that lists the texts of its segments, and how many tasks write another folder.
+LISTS, TASKS = -1, 4
 _INTS = pa.list_(pa.int32())
-_SEGMENT = pa.schema([("segment", pa.string()), ("term", pa.string()), ("places", _INTS), ("tfs", _INTS), ("versions", pa.list_(pa.string())), ("lens", _INTS)])
-
-
-def segment(versions: pa.Array, terms: pa.Array):
-    """The rows of one segment as Arrow batches. Its name is the hash of its versions, so equal names hold equal rows."""
-    first = {}
-    for i, v in enumerate(versions.to_pylist()):
-        first.setdefault(v, i)
-    if len(first) < len(versions):
-        terms, versions = terms.take(pa.array(first.values())), pa.array(first)
-    n, lens = len(versions), terms.value_lengths().to_numpy()
-    name = hashlib.sha256("".join(first).encode()).hexdigest()[:32]
+
+
+def segment_schema(kind: str = "string") -> str:
+    """Columns of segments whose versions are of a kind."""
+    return f"segment string, term string, places array<int>, tfs array<int>, versions array<{kind}>, lens array<int>"
+
+
+SEGMENT = segment_schema()
+
+
+def segment(versions: pa.Array, terms: pa.Array, name: str | None = None, stem: bool = False):
+    """The rows of one segment as Arrow batches. Without a name equal versions are taken once, and the hash of the versions is its name, so equal names hold equal rows."""
+    if name is None:
+        first = {}
+        for i, v in enumerate(versions.to_pylist()):
+            first.setdefault(v, i)
+        if len(first) < len(versions):
+            terms, versions = terms.take(pa.array(first.values())), pa.array(first)
+        name = hashlib.sha256("".join(first).encode()).hexdigest()[:32]
+    n, lens, lists_of = len(versions), terms.value_lengths().to_numpy(), pa.list_(versions.type)
+    schema = pa.schema([("segment", pa.string()), ("term", pa.string()), ("places", _INTS), ("tfs", _INTS), ("versions", lists_of), ("lens", _INTS)])
     none = lambda k: pa.nulls(k)
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
     whole = [pa.array([name]), none(1).cast(pa.string()), none(1).cast(_INTS), none(1).cast(_INTS), one(versions), one(pa.array(lens, pa.int32()))]
-    yield pa.RecordBatch.from_arrays(whole, schema=_SEGMENT)
+    yield pa.RecordBatch.from_arrays(whole, schema=schema)
     words = terms.flatten().dictionary_encode()
     if not len(words):
         return
+    if stem:
+        by_stem = pa.array(map(porter, words.dictionary.to_pylist())).dictionary_encode()
+        words = pa.DictionaryArray.from_arrays(by_stem.indices.take(words.indices), by_stem.dictionary)
     k = len(words.dictionary)
     pairs, tfs = np.unique(words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
     at = pa.array(np.searchsorted(pairs, np.arange(k + 1, dtype=np.int64) * n), pa.int32())
     lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (pairs % n, tfs)]
-    rows = pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(k, np.int32))), words.dictionary, *lists, none(k).cast(pa.list_(pa.string())), none(k).cast(_INTS)], schema=_SEGMENT)
+    rows = pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(k, np.int32))), words.dictionary, *lists, pa.nulls(k, lists_of), none(k).cast(_INTS)], schema=schema)
     for i in range(0, k, 20_000):
         yield rows.slice(i, 20_000)
 
 
-def segments(texts: DataFrame) -> DataFrame:
+def segments(texts: DataFrame, distinct: bool = True, stem: bool = False) -> DataFrame:
     """Inverted segments of texts (version, terms): for each term its texts, by their places in the segment, and its counts in them; and a row without a term that lists the texts and their lengths.
 
-    Each task inverts what it reads, so no posting is shuffled on its own; equal versions are taken once within a segment.
+    Each task inverts what it reads, so no posting is shuffled on its own. Equal versions are taken once within a segment, or else (distinct=False) each
+    row is a text of its own; stem: terms are put together by Porter stem.
     """
+    schema = segment_schema(texts.schema["version"].dataType.simpleString())
+    kind = to_arrow_schema(T._parse_datatype_string(schema)).field("versions").type.value_type
 
     def run(batches):
-        held, n, words = [], 0, 0
+        held, n, words, closed = [], 0, 0, 0
+
+        def close():
+            nonlocal held, n, words, closed
+            rows = segment(*map(pa.concat_arrays, zip(*held)), None if distinct else f"{TaskContext.get().partitionId()}-{closed}", stem)
+            held, n, words, closed = [], 0, 0, closed + 1
+            return rows
+
         for batch in batches:
-            versions, terms = (batch.column(i) for i in (0, 1))
+            versions, terms = batch.column(0).cast(kind), batch.column(1)
             ends = np.cumsum(terms.value_lengths().to_numpy())
             start = 0
             while start < len(ends):
@@ -177,12 +203,21 @@ def segments(texts: DataFrame) -> DataFrame:
                 held.append((versions.slice(start, stop - start), terms.slice(start, stop - start)))
                 n, words, start = n + stop - start, words + int(ends[stop - 1] - before), stop
                 if n >= SEGMENT_TEXTS or start < len(ends) or words >= SEGMENT_WORDS:
-                    yield from segment(*map(pa.concat_arrays, zip(*held)))
-                    held, n, words = [], 0, 0
+                    yield from close()
         if held:
-            yield from segment(*map(pa.concat_arrays, zip(*held)))
+            yield from close()
+
+    return texts.select("version", "terms").mapInArrow(run, schema)
+
+
+def folder():
+    """The folder of a term, -1 that of lists."""
+    return F.when(F.col("term").isNull(), F.lit(LISTS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(Index.BUCKETS)).cast("int"))
 
-    return texts.select("version", "terms").mapInArrow(run, SEGMENT)
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Segments with their folder (bucket), in order of terms. The rows of a term are one for each segment; they go to some tasks, so that a term that most texts hold isn't one task's."""
+    return rows.withColumn("bucket", folder()).repartition("bucket", F.pmod(F.xxhash64("term", "segment"), F.lit(TASKS))).sortWithinPartitions("bucket", "term")
 
 
 def porter(word: str) -> str:
@@ -264,8 +299,3 @@ def stems(vocabulary: DataFrame) -> DataFrame:
             yield pd.DataFrame({"term": pdf["term"], "stem": pdf["term"].map(porter)})
 
     return vocabulary.select("term").distinct().mapInPandas(run, "term string, stem string")
-
-
-def stemmed(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Postings (keys, doc_len, term, tf) by stem: the vocabulary is stemmed and joined, so no text passes through Python."""
-    return counts.join(stems(counts), "term").groupBy(*keys, "doc_len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))

@@ -378,7 +378,8 @@ def chunk_lossless(spark, d):
 
 @query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)}, ck AS (SELECT doc_id, chunk_index, substr(text, char_start + 1, char_end - char_start) AS text FROM chunks), {o.bm25_ctes('ck', 'doc_id, chunk_index', ASKED)} {o.top('scored', 'query_id', 'doc_id, chunk_index', 10)}")
 def chunk_search(spark, d):
-    return index(spark, d, "chunks", ["doc_id", "chunk_index"], "content", lambda: chunks(spark, d)).search(asked(spark), ["doc_id", "chunk_index"], 10)
+    # chunks go straight into the index, which takes their place on disk
+    return index(spark, d, "chunks", ["doc_id", "chunk_index"], "content", lambda: chunking.chunk_documents(docs(spark, d))).search(asked(spark), ["doc_id", "chunk_index"], 10)
 
 
 @query(f"WITH RECURSIVE {o.chunk_ctes(1000, 100)} SELECT doc_id, CAST(chunk_index // 4 AS BIGINT) AS batch_index, count(*) AS chunks, CAST(min(chunk_index) AS BIGINT) AS first_chunk FROM chunks GROUP BY ALL")
